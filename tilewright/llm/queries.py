@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, simhash, substring
+from . import exact_dedup, langid, packing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, substring, warc
 from .common import documents
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("group_size")
 
@@ -18,22 +22,48 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(*wanted)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(documents(spark, sf_dir))
 
 
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(documents(spark, sf_dir))
+
+
+def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lexical_packing,
         op2_simhash_near_dedup,
         op3_exact_dedup,
+        op4_sentencepiece,
         op5_quality_rules,
+        op6_language_id,
+        op7_warc,
         op8_substring_dedup,
+        op9_kd_sharding,
+        op10_hierarchical_quality,
     )
 }
 
@@ -68,6 +98,18 @@ ORACLES: dict[str, str] = {
                AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_stop_words >= 2 * n_words AS kept
         FROM b
     """,
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+             h AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM p),
+             d AS (SELECT page_id, payload_bytes,
+                          array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              CAST((CAST(('0x' || substring(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+                   FROM h),
+             f AS (SELECT payload_digest, payload_bytes, min(page_id) AS low FROM d GROUP BY ALL)
+        SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN d.page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN d.page_id <> low THEN low END AS refers_to
+        FROM d JOIN f USING (payload_digest, payload_bytes)
+    """,
     "op8_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
              v AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS win
