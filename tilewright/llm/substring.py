@@ -4,8 +4,8 @@ A difference cover modulo *v* is a set of residues such that for any two positio
 brings both onto the cover.  Two equal windows of ``window`` words therefore share an equal *anchor*, a
 shorter window of ``window - v + 1`` words that starts on the cover in both documents, whatever their
 alignment.  Only anchors (4 of 13 positions, for windows of 20 words) are exchanged; where an anchor occurs
-again, the match is extended: the complete windows around it are compared under a 128-bit hash, and the
-first start of each stays.
+again, the match is extended: the complete windows around it are compared under a 95-bit hash, and the
+first start of each stays.  Documents that are whole copies of earlier ones are settled before.
 
 Equal anchors and windows inside one batch are settled there, and only one of each leaves it, so a passage
 in every document sends one row per batch.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, Words, id_order, mix, slices, text_or_empty
+from .common import WS_CLASS, WindowHasher, Words, id_order, materialize, mix, slices, text_or_empty
 
 WINDOW_WORDS = 20
 #: Perfect difference sets: period -> residues whose differences give each nonzero residue.
@@ -110,7 +110,14 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[new], at[new], at[ends]
 
 
-_WINDOW_ROWS = "route long, h2 long, ord long, th long, start long, last long"
+#: A window's 64-bit hash; 32 more bits of another, above 32 bits that tell apart rows of one identifier;
+#: the identifier; the start, above the last start of a run (or LAST for a single window that is to be judged).
+_WINDOW_ROWS = "route long, extra long, ord long, span long"
+LAST = (1 << 31) - 1
+
+
+def _row_tag(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("th").to_numpy() & 0xFFFFFFFF
 
 
 def _window_rows(window: int):
@@ -136,7 +143,8 @@ def _window_rows(window: int):
             at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (inner + window <= words.n[doc]))
             begin, end = words.start[at], words.end[at + window - 1] if len(at) else at
             h1, h2 = hasher(begin, end), WindowHasher(words.canon, 1)(begin, end)
-            ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
+            ords, ths = batch.column("ord").to_numpy(), _row_tag(batch)
+            h2 = h2 & 0x7FFFFFFF
             d, i = doc[at], inner[at]
             order = np.lexsort((i, ths[d], ords[d], h2, h1))
             h1, h2, d, i = h1[order], h2[order], d[order], i[order]
@@ -147,19 +155,16 @@ def _window_rows(window: int):
             later = ~itself
             by = np.lexsort((i[later], d[later]))
             rd, first, last = _runs(d[later][by], i[later][by])
-            n, m = int(new.sum()), len(rd)
-            mask = np.concatenate([np.ones(n, dtype=bool), np.zeros(m, dtype=bool)])
-            owner = np.concatenate([d[new], rd])
+            owner, start = np.concatenate([d[new], rd]), np.concatenate([i[new], first])
+            upto = np.concatenate([np.full(int(new.sum()), LAST), last])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([h1[new], mix((ths[rd] + first).view(np.uint64))])),
-                    pa.array(np.concatenate([h2[new], np.zeros(m, dtype=np.int64)])),
+                    pa.array((np.concatenate([h2[new], np.zeros(len(rd), dtype=np.int64)]) << 32) | ths[owner]),
                     pa.array(ords[owner]),
-                    pa.array(ths[owner]),
-                    pa.array(np.concatenate([i[new], first]).astype(np.int64)),
-                    pa.array(np.concatenate([np.zeros(n, dtype=np.int64), last]).astype(np.int64), mask=mask),
+                    pa.array((start << 32) | upto),
                 ],
-                names=["route", "h2", "ord", "th", "start", "last"],
+                names=["route", "extra", "ord", "span"],
             )
 
     return run
@@ -169,9 +174,10 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(ord, th, start, last) of window starts that are not the first of their window; sorted input."""
     head: tuple | None = None
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy() for c in ("route", "h2", "ord", "th", "start")}
-        run = batch.column("last").is_valid().to_numpy(zero_copy_only=False)
-        passed = {c: cols[c][run] for c in ("ord", "th", "start")} | {"last": batch.column("last").filter(pa.array(run)).to_numpy().astype(np.int64)}
+        route, extra, ord_, span = (batch.column(c).to_numpy() for c in ("route", "extra", "ord", "span"))
+        cols = {"route": route, "h2": extra >> 32, "ord": ord_, "th": extra & 0xFFFFFFFF, "start": span >> 32, "last": span & 0xFFFFFFFF}
+        run = cols["last"] != LAST
+        passed = {c: cols[c][run] for c in ("ord", "th", "start", "last")}
         one = {c: v[~run] for c, v in cols.items()}
         n = len(one["route"])
         if n:
@@ -184,9 +190,14 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             later = ~((one["ord"] == firsts[0]) & (one["th"] == firsts[1]) & (one["start"] == firsts[2]))
             head = (one["route"][-1], one["h2"][-1], firsts[0][-1], firsts[1][-1], firsts[2][-1])
             by = np.lexsort((one["start"][later], one["th"][later], one["ord"][later]))
-            single = {c: one[c][later][by] for c in ("ord", "th", "start")}
-            single["last"] = single["start"]
-            passed = {c: np.concatenate([passed[c], single[c]]) for c in passed}
+            o, t, i = (one[c][later][by] for c in ("ord", "th", "start"))
+            if len(o):
+                fresh = np.ones(len(o), dtype=bool)
+                fresh[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
+                which, first, last = _runs(np.cumsum(fresh), i)
+                begin = np.flatnonzero(fresh)[which - 1]
+                single = {"ord": o[begin], "th": t[begin], "start": first, "last": last}
+                passed = {c: np.concatenate([passed[c], single[c]]) for c in passed}
         yield pa.RecordBatch.from_arrays([pa.array(passed[c]) for c in ("ord", "th", "start", "last")], names=["ord", "th", "start", "last"])
 
 
@@ -194,7 +205,8 @@ def _kept_rows(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
-            ths = batch.column("th").to_numpy()
+            ths = _row_tag(batch)
+            copy = batch.column("copy").to_numpy(zero_copy_only=False)
             lists = batch.column("runs")
             flat = lists.flatten()
             r_th, r_start, r_last = (flat.field(c).to_numpy() for c in ("th", "start", "last"))
@@ -203,7 +215,10 @@ def _kept_rows(window: int, with_text: bool):
             for d in range(len(words.n)):
                 a, b = ends[d], ends[d + 1]
                 own = r_th[a:b] == ths[d]
-                if own.any():
+                if copy[d] and words.n[d] >= window:
+                    kept = b""
+                    removed.append(int(words.n[d]))
+                elif own.any():
                     edge = np.zeros(words.n[d] + 1, dtype=np.int64)
                     np.add.at(edge, r_start[a:b][own], 1)
                     np.add.at(edge, r_last[a:b][own] + window, -1)
@@ -230,6 +245,20 @@ def _kept_rows(window: int, with_text: bool):
     return run
 
 
+def _later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(ord, copies): text hashes of rows whose whole word sequence an earlier row has.
+
+    All windows of such a row start earlier, too, and whatever repeats one of them repeats the earlier
+    row's; so it needs no anchors, and loses all its words if it has a window.
+    """
+    text = text_or_empty(text_col)
+    spaced = F.trim(F.regexp_replace(text, WS_CLASS + "+", " "))
+    narrow = materialize(docs.select(id_order(id_col).alias("ord"), F.xxhash64(text).alias("th"), F.unhex(F.sha2(spaced, 256)).alias("sha")), "sequences")
+    firsts = narrow.groupBy("sha").agg(F.min(F.struct("ord", "th")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    later = narrow.join(firsts, "sha").where("ord != low.ord or th != low.th")
+    return later.groupBy("ord").agg(F.collect_set("th").alias("copies"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, with_text: bool = False, keep_columns: bool = False) -> DataFrame:
     """Remove every word that a window of ``window`` words covers whose word sequence starts earlier, too
     (smaller identifier, or the same document and an earlier start).
@@ -247,15 +276,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep_columns else [id_col])])
     text = text_or_empty(text_col)
     whole = docs.select(rest.alias("rest"), id_order(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))
-    anchors = docs.select(id_order(id_col).alias("ord"), text.alias("text")).mapInArrow(_anchor_rows(window), "route long, ord long, h long")
+    later_copies = _later_copies(docs, id_col, text_col)
+    is_copy = F.coalesce(F.array_contains("copies", F.col("th")), F.lit(False))
+    # Each join hashes the same rows on ``ord``, so that the texts are shuffled once and the exchange reused.
+    anchors = whole.join(later_copies, "ord", "left").where(~is_copy).mapInArrow(_anchor_rows(window), "route long, ord long, h long")
     repeated = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, "ord long, h long")
     wanted = repeated.groupBy("ord").agg(F.collect_set("h").alias("hs"))  # as many as the document has anchors at most
-    # Both joins hash the same rows on ``ord``, so that the texts are shuffled once and the exchange reused.
     windows = whole.join(wanted, "ord").mapInArrow(_window_rows(window), _WINDOW_ROWS)
-    later = windows.repartition("route").sortWithinPartitions("route", "h2", "ord", "th", "start").mapInArrow(_later_windows, "ord long, th long, start long, last long")
+    later = windows.repartition("route").sortWithinPartitions("route", F.shiftright("extra", 32), "ord", "extra", "span").mapInArrow(_later_windows, "ord long, th long, start long, last long")
     runs = later.groupBy("ord").agg(F.collect_list(F.struct("th", "start", "last")).alias("runs"))
     schema = f"rest {whole.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    marked = whole.join(runs, "ord", "left").mapInArrow(_kept_rows(window, with_text), schema)
+    judged = whole.join(runs, "ord", "left").join(later_copies, "ord", "left").withColumn("copy", is_copy).drop("copies")
+    marked = judged.mapInArrow(_kept_rows(window, with_text), schema)
     return marked if keep_columns else marked.select(F.col("rest")[id_col].alias(id_col), *[c for c in marked.columns if c != "rest"])
 
 
