@@ -1,408 +1,6 @@
-"""Registered queries over the given tables and their DuckDB SQL."""
+"""All registered queries over the given tables and their DuckDB SQL."""
 
-from __future__ import annotations
+from . import io_queries, library_queries, raster_queries, view_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .. import policy as P
-from ..functions import geometry as G
-from ..functions import naming as N
-from ..operators import caching, catalog, pixels, views
-from .derive import derived, table, with_ctes
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *ctes: str):
-    """Register a query under its function's name, with its SQL over derived tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = with_ctes(sql, *ctes) if ctes else sql
-        return f
-
-    return add
-
-
-def _quoted(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
-_SUPPORTED = _quoted(P.SUPPORTED)
-_SYSTEM = _quoted((*P.TIFF, *P.SYSTEM))
-#: Natural order in DuckDB: the same key by other means (no look-ahead there).
-_KEY = r"""array_to_string(list_transform(regexp_extract_all(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+|[^0-9]+'),
-    lambda t: CASE WHEN regexp_matches(t, '^[0-9]')
-        THEN '0' || lpad(CAST(length(CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END) AS VARCHAR), 6, '0')
-             || CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END || lpad(CAST(length(t) AS VARCHAR), 6, '0')
-        ELSE t END), '')"""
-_PLACED = f"""k AS (SELECT *, {_KEY} AS nk FROM catalog WHERE ext IN ({_SUPPORTED})),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY nk, name, path) - 1 AS position, count(*) OVER (PARTITION BY directory) AS total FROM k)"""
-_MODE = """CASE WHEN ext = 'bmp' AND size // 1048576 >= 300 THEN 'tileRequired' WHEN ext = 'bmp' AND size // 1048576 >= 100 THEN 'largeCandidate'
-    WHEN CAST(width AS BIGINT) * height >= 50000000 OR size // 1048576 >= 300 THEN 'tileRequired' ELSE 'normal' END"""
-_LARGE = "(CAST(width AS BIGINT) * height >= 50000000 OR size // 1048576 >= 300 OR width >= 12000 OR height >= 12000 OR (ext = 'bmp' AND size // 1048576 >= 100))"
-
-
-def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.supported(derived(spark, sf_dir, "catalog"))
-
-
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.position(_listing(spark, sf_dir))
-
-
-# Catalog -------------------------------------------------------------------------------------------------
-
-
-@query(
-    f"WITH {_PLACED} SELECT directory, name, size, position, total, position > 0 AS has_previous, position < total - 1 AS has_next, {_MODE} AS load_mode, {_LARGE} AS is_large FROM placed",
-    "catalog",
-)
-def catalog_listing(spark, sf_dir):
-    """Per directory: supported images in natural order with position, size class and load mode."""
-    ext, size, w, h = F.col("ext"), F.col("size"), F.col("width"), F.col("height")
-    return _placed(spark, sf_dir).select(
-        "directory", "name", "size", "position", "total", "has_previous", "has_next", catalog.load_mode(w, h, size, ext).alias("load_mode"), catalog.is_large(w, h, size, ext).alias("is_large")
-    )
-
-
-QUERIES["position"] = lambda spark, sf_dir: _placed(spark, sf_dir).select("path", "position", "total", "has_previous", "has_next")
-ORACLES["position"] = with_ctes(f"WITH {_PLACED} SELECT path, position, total, position > 0 AS has_previous, position < total - 1 AS has_next FROM placed", "catalog")
-
-
-@query(f"SELECT path, ext IN ({_SUPPORTED}) AS supported FROM catalog", "catalog")
-def is_supported(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("path", N.is_supported(F.col("name")).alias("supported"))
-
-
-@query(f"SELECT directory, name, row_number() OVER (PARTITION BY directory ORDER BY {_KEY}, name, path) AS place FROM catalog", "catalog")
-def natural_sort(spark, sf_dir):
-    placed = catalog.position(derived(spark, sf_dir, "catalog"))
-    return placed.select("directory", "name", (F.col("position") + 1).alias("place"))
-
-
-@query(
-    f"""WITH {_PLACED}, d AS (SELECT * FROM (VALUES (-1, 1), (1, 2), (-2, 3), (2, 4)) AS x(d, rank))
-    SELECT a.path, min(d.rank) AS rank, b.path AS neighbour FROM placed a, d, placed b
-    WHERE a.directory = b.directory AND b.position = a.position + d.d GROUP BY a.directory, a.position, a.path, b.path""",
-    "catalog",
-)
-def neighbours(spark, sf_dir):
-    return catalog.neighbours(_placed(spark, sf_dir), 2)
-
-
-@query(
-    f"""WITH {_PLACED}, s AS (SELECT DISTINCT directory, (length(directory) * 977 + length(directory) * 131) % 9000 AS scroll_px, 700 AS viewport_px, 160 AS thumb_px FROM catalog)
-    SELECT path, position FROM placed JOIN s USING (directory)
-    WHERE position BETWEEN greatest(0, least(scroll_px // 178 - 6, total - 1)) AND least(total - 1, scroll_px // 178 + 4 + 6)""",
-    "catalog",
-)
-def list_slice(spark, sf_dir):
-    d = F.col("directory")
-    scroll = derived(spark, sf_dir, "catalog").select("directory").distinct().select("directory", ((F.length(d) * 977 + F.length(d) * 131) % 9000).alias("scroll_px"), F.lit(700).alias("viewport_px"), F.lit(160).alias("thumb_px"))
-    return catalog.list_slice(_placed(spark, sf_dir), scroll).select("path", "position")
-
-
-@query(
-    f"""WITH {_PLACED}, c AS (SELECT directory, min(CASE WHEN image_id % 2 = 0 THEN path ELSE path || '.gone' END) AS path FROM catalog GROUP BY directory)
-    SELECT c.directory, c.path, CAST(CASE WHEN n IS NULL THEN -1 ELSE coalesce(p.position, 0) END AS BIGINT) AS index
-    FROM c LEFT JOIN placed p ON c.directory = p.directory AND c.path = p.path LEFT JOIN (SELECT directory, count(*) AS n FROM placed GROUP BY directory) t ON t.directory = c.directory""",
-    "catalog",
-)
-def relocate_current(spark, sf_dir):
-    gone = F.when(F.col("image_id") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit(".gone")))
-    current = derived(spark, sf_dir, "catalog").groupBy("directory").agg(F.min(gone).alias("path"))
-    return catalog.relocate_current(current, _placed(spark, sf_dir))
-
-
-@query(
-    f"""SELECT path, size FROM catalog WHERE ext IN ({_SUPPORTED}) AND (path IN (SELECT path FROM catalog WHERE image_id % 5 = 0) OR directory IN (SELECT directory FROM catalog GROUP BY directory HAVING min(image_id) % 3 = 0))""",
-    "catalog",
-)
-def open_paths(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog")
-    files = rows.where("image_id % 5 = 0").select("path")
-    dirs = rows.groupBy("directory").agg(F.min("image_id").alias("low")).where("low % 3 = 0").select(F.concat("directory", F.lit("/")).alias("path"))
-    return catalog.open_paths(files.unionByName(dirs), rows).select("path", "size")
-
-
-@query("SELECT path FROM catalog WHERE directory IN (SELECT directory FROM catalog WHERE image_id <= 12)", "catalog")
-def allowed_dirs(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog")
-    return catalog.allowed_dirs(rows, rows.where("image_id <= 12")).select("path")
-
-
-@query(f"SELECT c.image_id, c.path FROM catalog c WHERE ext IN ({_SUPPORTED})", "catalog")
-def retain_paths(spark, sf_dir):
-    return catalog.retain_paths(derived(spark, sf_dir, "catalog"), _listing(spark, sf_dir)).select("image_id", "path")
-
-
-# Classification ------------------------------------------------------------------------------------------
-
-
-@query(
-    f"""SELECT path, ext IN ('tif', 'tiff') AS is_tiff, ext IN ({_quoted(P.RAW)}) AS is_raw, ext = 'jxl' AS is_jxl, ext IN ({_SYSTEM}) OR heif AS system_decoded FROM catalog""",
-    "catalog",
-)
-def format_family(spark, sf_dir):
-    family = catalog.format_family(F.col("ext"), F.col("heif"))
-    return derived(spark, sf_dir, "catalog").withColumn("ext", N.extension(F.col("path"))).select("path", *[c.alias(k) for k, c in family.items()])
-
-
-@query(
-    f"SELECT path, CASE WHEN ext NOT IN ({_quoted(e for e in P.SUPPORTED if e not in P.NO_THUMBNAIL)}) THEN 'UNSUPPORTED_FORMAT' WHEN size > 1073741824 THEN 'FILE_TOO_LARGE' END AS error FROM catalog",
-    "catalog",
-)
-def thumbnail_eligible(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("path", catalog.thumbnail_error(N.extension(F.col("name")), F.col("size")).alias("error"))
-
-
-@query(f"SELECT image_id, {_LARGE} AS is_large FROM catalog", "catalog")
-def is_large(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("image_id", catalog.is_large(F.col("width"), F.col("height"), F.col("size"), F.col("ext")).alias("is_large"))
-
-
-@query(f"SELECT image_id, {_MODE} AS load_mode FROM catalog", "catalog")
-def load_mode(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("image_id", catalog.load_mode(F.col("width"), F.col("height"), F.col("size"), F.col("ext")).alias("load_mode"))
-
-
-_FACTS = f"""f AS (SELECT path, ext, size, heif, CASE WHEN image_id % 13 = 0 THEN NULL ELSE width END AS dw, CASE WHEN image_id % 13 = 0 THEN NULL ELSE height END AS dh,
-      CASE WHEN image_id % 26 = 0 THEN NULL ELSE width END AS sw, CASE WHEN image_id % 26 = 0 THEN NULL ELSE height END AS sh FROM catalog WHERE ext IN ({_SUPPORTED})),
-    g AS (SELECT *, ext IN ({_SYSTEM}) OR heif AS sys,
-      (ext IN ({_SYSTEM}) OR heif) AND ext NOT IN ({_quoted(P.RAW)}, 'jxl', 'svg', 'bmp') AND size < 314572800 AND coalesce(CAST(sw AS BIGINT) * sh < 50000000, true) AS direct FROM f),
-    h AS (SELECT path, ext, size, direct, sys OR (ext NOT IN ('svg', 'bmp') AND NOT direct AND NOT sys AND dw IS NULL AND sw IS NOT NULL) AS sysd,
-      CASE WHEN ext = 'svg' OR direct THEN 0 WHEN ext = 'bmp' THEN dw WHEN sys THEN sw ELSE coalesce(dw, sw) END AS width,
-      CASE WHEN ext = 'svg' OR direct THEN 0 WHEN ext = 'bmp' THEN dh WHEN sys THEN sh ELSE coalesce(dh, sh) END AS height FROM g)"""
-
-
-@query(
-    f"""WITH {_FACTS} SELECT path, width, height, ext AS format, size AS file_size, CASE WHEN width IS NOT NULL THEN {_LARGE} END AS is_large,
-      CASE WHEN width IS NULL THEN NULL WHEN direct THEN 'normal' WHEN sysd THEN 'largeCandidate' ELSE {_MODE} END AS load_mode,
-      CASE WHEN width IS NOT NULL THEN ext = 'bmp' END AS tileable, CASE WHEN width IS NOT NULL THEN sysd AND NOT direct AND ext IN ({_quoted(P.RAW)}) END AS raw_preview,
-      CASE WHEN width IS NOT NULL THEN direct OR NOT sysd END AS can_fallback_to_normal, CASE WHEN width IS NULL THEN 'DECODE_ERROR' END AS error FROM h""",
-    "catalog",
-)
-def probe_images(spark, sf_dir):
-    known = lambda c, n: F.when(F.col("image_id") % n != 0, F.col(c))
-    facts = _listing(spark, sf_dir).select(
-        "path", "ext", "size", "heif", known("width", 13).alias("width"), known("height", 13).alias("height"), known("width", 26).alias("source_width"), known("height", 26).alias("source_height")
-    )
-    return catalog.probe_images(facts)
-
-
-@query(
-    """SELECT image_id, CASE WHEN u THEN 'IMAGE_TOO_LARGE' END AS error, CASE WHEN u THEN 11000 END AS reduce_to
-    FROM (SELECT image_id, width > 12000 OR height > 12000 OR CAST(width AS BIGINT) * height * 4 > 536870912 AS u FROM catalog)""",
-    "catalog",
-)
-def decode_safety(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("image_id", catalog.decode_safety(F.col("width"), F.col("height")).alias("s")).select("image_id", "s.error", "s.reduce_to")
-
-
-@query("SELECT image_id, CASE WHEN greatest(width, height) > 12000 OR CAST(width AS BIGINT) * height > 40000000 THEN 'reduced' ELSE 'whole' END AS route FROM catalog", "catalog")
-def thumbnail_route(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("image_id", catalog.thumbnail_route(F.col("width"), F.col("height")).alias("route"))
-
-
-@query(
-    f"SELECT image_id, CASE WHEN ext = 'bmp' THEN 'direct_tiles' WHEN ext IN ({_SYSTEM}) OR heif THEN 'system_raster' WHEN CAST(width AS BIGINT) * height <= 100000000 THEN 'raster_tiles' ELSE 'preview_only' END AS route FROM catalog",
-    "catalog",
-)
-def raster_route(spark, sf_dir):
-    system = catalog.format_family(F.col("ext"), F.col("heif"))["system_decoded"]
-    return derived(spark, sf_dir, "catalog").select("image_id", catalog.raster_route(F.col("width"), F.col("height"), F.col("ext"), system).alias("route"))
-
-
-@query(
-    f"""SELECT path, ext = 'bmp' AND {_LARGE} AND {_MODE} <> 'normal' AND greatest(width, height) > 512 AND image_id % 4 <> 0 AS pyramid,
-      (ext IN ({_SYSTEM}) OR heif) AND image_id % 6 <> 0 AND size < 314572800 AND CAST(width AS BIGINT) * height < 50000000 AS system,
-      ext NOT IN ('bmp', 'jxl', {_quoted(P.RAW)}) AND size < 314572800 AS plain FROM catalog""",
-    "catalog",
-)
-def prefetch_eligible(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog")
-    w, h, size, ext = (F.col(c) for c in ("width", "height", "size", "ext"))
-    items = rows.select("path", "ext", "size", "width", "height", catalog.is_large(w, h, size, ext).alias("is_large"), catalog.load_mode(w, h, size, ext).alias("load_mode"), (ext == "bmp").alias("tileable"), catalog.format_family(ext, F.col("heif"))["system_decoded"].alias("system_decoded"))
-    cached = rows.where("image_id % 4 = 0").select(F.lit("pyramid").alias("kind"), "path").unionByName(rows.where("image_id % 6 = 0").select(F.lit("system").alias("kind"), "path"))
-    return catalog.prefetch_eligible(items, cached)
-
-
-# Keys and caches -----------------------------------------------------------------------------------------
-
-_LE = lambda v, n: "".join(f" || substring(lpad(to_hex({v}), {2 * n}, '0'), {2 * (n - i) - 1}, 2)" for i in range(n))
-_DUCK_KEY = f"substring(sha256(unhex(hex(CAST(path AS BLOB)) || '3A'{_LE('size', 8)} || '3A'{_LE('modified_ms', 16)} || '3A'{_LE('px', 4)})), 1, 32)"
-_KEYED = f"keyed AS (SELECT order_id, line, image_id, path, px, {_DUCK_KEY} AS cache_key FROM (SELECT r.order_id, r.line, r.image_id, c.path, c.size, c.modified_ms, CAST(CASE WHEN r.px IN (96, 160, 256) THEN r.px ELSE 160 END AS BIGINT) AS px FROM requests r JOIN catalog c USING (image_id)))"
-_STORE = f"store AS (SELECT {_DUCK_KEY} AS cache_key FROM (SELECT path, size, modified_ms, CAST(160 AS BIGINT) AS px FROM catalog WHERE image_id % 3 = 0))"
-
-
-def _keyed(spark, sf_dir):
-    rows = derived(spark, sf_dir, "requests").join(derived(spark, sf_dir, "catalog").select("image_id", "path", "size", "modified_ms"), "image_id")
-    rows = rows.withColumn("px", N.thumb_size(F.col("px")))
-    return rows.withColumn("cache_key", N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.col("px")))
-
-
-def _store(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").where("image_id % 3 = 0").select(N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.lit(160)).alias("cache_key"))
-
-
-@query(f"SELECT image_id, {_DUCK_KEY} AS cache_key FROM (SELECT *, CAST(160 AS BIGINT) AS px FROM catalog)", "catalog")
-def cache_key(spark, sf_dir):
-    return derived(spark, sf_dir, "catalog").select("image_id", N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.lit(160)).alias("cache_key"))
-
-
-@query(
-    f"SELECT image_id, sha256(unhex(hex(CAST(path AS BLOB)) || '00'{_LE('size', 8)}{_LE('(modified_ms * 1000000)', 16)}{_LE('512', 4)}{_LE('1', 4)})) AS pyramid_key FROM catalog", "catalog"
-)
-def pyramid_key(spark, sf_dir):
-    c = [F.col(x) for x in ("path", "size")]
-    return derived(spark, sf_dir, "catalog").select("image_id", N.pyramid_key(*c, F.col("modified_ms") * 1_000_000, F.lit(512), F.lit(1)).alias("pyramid_key"))
-
-
-@query(f"WITH {_KEYED}, {_STORE} SELECT order_id, line, path, px FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM store)", "catalog", "requests")
-def thumb_cache_miss(spark, sf_dir):
-    return caching.cache_miss(_keyed(spark, sf_dir), _store(spark, sf_dir)).select("order_id", "line", "path", "px")
-
-
-@query(f"WITH {_KEYED}, {_STORE} SELECT order_id, line, path, px FROM keyed WHERE cache_key IN (SELECT cache_key FROM store)", "catalog", "requests")
-def thumb_cache_hit(spark, sf_dir):
-    return caching.cache_hit(_keyed(spark, sf_dir), _store(spark, sf_dir)).select("order_id", "line", "path", "px")
-
-
-@query(f"WITH {_KEYED} SELECT cache_key, min(path) AS path, CAST(min(px) AS INT) AS px, count(*) AS waiting FROM keyed GROUP BY cache_key", "catalog", "requests")
-def request_dedup(spark, sf_dir):
-    return caching.request_dedup(_keyed(spark, sf_dir))
-
-
-@query("SELECT image_id, path FROM catalog WHERE ext = 'bmp' AND image_id % 4 <> 0", "catalog")
-def pyramid_cache_miss(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog")
-    key = N.pyramid_key(F.col("path"), F.col("size"), F.col("modified_ms") * 1_000_000, F.lit(512), F.lit(1)).alias("hash")
-    keyed = rows.where("ext = 'bmp'").select("image_id", "path", key)
-    manifests = rows.where("image_id % 4 = 0").select(key)
-    return caching.cache_miss(keyed, manifests, "hash").select("image_id", "path")
-
-
-@query(
-    """WITH z AS (SELECT image_id, unnest(range(0, 4)) AS z FROM catalog WHERE ext = 'bmp'), p AS (SELECT image_id, z FROM z WHERE z > 0 AND image_id % 3 = 0)
-    SELECT z.image_id, CAST(z.z AS INT) AS z, CASE WHEN p.z IS NULL THEN 'plan' ELSE 'published' END AS path, z.z = 0 OR p.z IS NOT NULL AS ready FROM z LEFT JOIN p USING (image_id, z)""",
-    "catalog",
-)
-def publish_levels(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog").where("ext = 'bmp'")
-    plan = rows.select(F.col("image_id").alias("hash"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"), "width", "height", F.lit("plan").alias("path"))
-    manifests = plan.where("z > 0 and hash % 3 = 0").select("hash", "z", F.lit("published").alias("path"))
-    return caching.publish_levels(plan, manifests).select(F.col("hash").alias("image_id"), "z", "path", "ready")
-
-
-# Retention -----------------------------------------------------------------------------------------------
-
-_LIMIT = 2_000_000_00
-
-
-@query("SELECT root AS hash, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime FROM cache_files GROUP BY root", "cache_files")
-def directory_size(spark, sf_dir):
-    return caching.directory_size(derived(spark, sf_dir, "cache_files").withColumnRenamed("root", "hash")).withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
-
-
-_EVICT = f"""e AS (SELECT *, sum(size) OVER (PARTITION BY root) AS t, coalesce(sum(size) OVER (PARTITION BY root ORDER BY mtime, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cache_files),
-    v AS (SELECT path, root, size, t > {_LIMIT * 90 // 100} AND t - b > {_LIMIT * 70 // 100} AS evict FROM e)"""
-
-
-def _evicted(spark, sf_dir):
-    return caching.evict_watermark(derived(spark, sf_dir, "cache_files"), _LIMIT, ["root"])
-
-
-@query(f"WITH {_EVICT} SELECT path, root, evict FROM v", "cache_files")
-def evict_watermark(spark, sf_dir):
-    return _evicted(spark, sf_dir).select("path", "root", "evict")
-
-
-@query(f"WITH {_EVICT} SELECT root, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN evict THEN size ELSE 0 END) AS BIGINT) AS freed, CAST(sum(CASE WHEN evict THEN 0 ELSE size END) AS BIGINT) AS remaining FROM v GROUP BY root", "cache_files")
-def cache_totals(spark, sf_dir):
-    return caching.cache_totals(_evicted(spark, sf_dir), ["root"])
-
-
-_DIRS = "d AS (SELECT l_partkey AS hash, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime, CAST(l_partkey AS VARCHAR) AS path FROM cache_files GROUP BY l_partkey)"
-
-
-@query(
-    f"""WITH {_DIRS}, f AS (SELECT *, hash % 7 = 0 AS kept, CASE WHEN hash % 7 = 0 THEN 0 ELSE size END AS free FROM d),
-    g AS (SELECT *, sum(size) OVER () AS t, coalesce(sum(free) OVER (ORDER BY mtime, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f)
-    SELECT hash, NOT kept AND t - b > t * 2 // 5 AS evict FROM g""",
-    "cache_files",
-)
-def evict_protected(spark, sf_dir):
-    files = derived(spark, sf_dir, "cache_files").withColumnRenamed("l_partkey", "hash")
-    dirs = caching.directory_size(files).withColumn("path", F.col("hash").cast("string"))
-    limit = dirs.agg(F.call_function("div", F.sum("size") * 2, F.lit(5).cast("long")).alias("l")).first()["l"] or 0
-    return caching.evict_protected(dirs, limit, dirs.where("hash % 7 = 0")).select("hash", "evict")
-
-
-@query(
-    """WITH e AS (SELECT root, path, size, l_orderkey % 9 = 0 AS pinned, row_number() OVER (PARTITION BY root ORDER BY mtime, path) AS seq FROM cache_files),
-    g AS (SELECT *, sum(size) OVER (PARTITION BY root) AS t, coalesce(sum(CASE WHEN pinned THEN 0 ELSE size END) OVER (PARTITION BY root ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e)
-    SELECT path, NOT pinned AND t - b > 200000000 AS evict FROM g""",
-    "cache_files",
-)
-def evict_pinned(spark, sf_dir):
-    rows = derived(spark, sf_dir, "cache_files").select("root", "path", "size", (F.col("l_orderkey") % 9 == 0).alias("pinned"), F.struct("mtime", "path").alias("seq"))
-    return caching.evict_pinned(rows, 200_000_000, ["root"]).select("path", "evict")
-
-
-@query(
-    """WITH RECURSIVE w AS (SELECT root, path, size, row_number() OVER (PARTITION BY root ORDER BY mtime, path) AS k FROM cache_files),
-    f AS (SELECT root, list(size ORDER BY k) AS sizes, list(path ORDER BY k) AS paths FROM w GROUP BY root),
-    s AS (SELECT root, 1 AS k, sizes, paths, sizes[1] AS run FROM f
-          UNION ALL SELECT root, k + 1, sizes, paths, (CASE WHEN run >= 67108864 THEN 0 ELSE run END) + sizes[k + 1] FROM s WHERE k < len(sizes))
-    SELECT root, paths[k] AS path, run >= 67108864 AS fires FROM s""".replace("WITH RECURSIVE w", "WITH w"),
-    "cache_files",
-)
-def sweep_trigger(spark, sf_dir):
-    rows = derived(spark, sf_dir, "cache_files").select("root", "path", "size", "mtime")
-    return caching.sweep_trigger(rows, order=("mtime", "path")).select("root", "path", "fires")
-
-
-ORACLES["sweep_trigger"] = ORACLES["sweep_trigger"].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
-@query("SELECT path, row_number() OVER (PARTITION BY root ORDER BY mtime, path) AS age_rank FROM cache_files", "cache_files")
-def oldest_first(spark, sf_dir):
-    ranked = caching.ordered_before(derived(spark, sf_dir, "cache_files").withColumn("__one", F.lit(1)), "__one", ["mtime", "path"], ["root"])
-    return ranked.select("path", (F.col("__before") + 1).cast("long").alias("age_rank"))
-
-
-@query("SELECT DISTINCT root AS hash FROM cache_files WHERE l_linenumber = 1 AND root % 2 = 0 UNION SELECT DISTINCT root FROM cache_files WHERE root % 3 = 0", "cache_files")
-def protected_set(spark, sf_dir):
-    rows = derived(spark, sf_dir, "cache_files").withColumnRenamed("root", "hash")
-    return caching.protected_set(rows.where("l_linenumber = 1 and hash % 2 = 0"), rows.where("hash % 3 = 0"))
-
-
-@query("SELECT DISTINCT path FROM cache_files WHERE root % 5 <> 0", "cache_files")
-def protected_exclude(spark, sf_dir):
-    rows = derived(spark, sf_dir, "cache_files")
-    protected = rows.where("root % 5 = 0").select("root").distinct()
-    return caching.cache_miss(rows, protected, "root").select("path").distinct()
-
-
-@query(
-    """SELECT path, CASE WHEN image_id % 2 = 0 AND image_id % 3 = 0 THEN 'keep' WHEN image_id % 2 = 0 THEN 'drop' ELSE 'add' END AS action FROM (SELECT DISTINCT path, image_id FROM catalog) WHERE image_id % 2 = 0 OR image_id % 3 = 0""",
-    "catalog",
-)
-def preload_delta(spark, sf_dir):
-    rows = derived(spark, sf_dir, "catalog")
-    return caching.preload_delta(rows.where("image_id % 2 = 0"), rows.where("image_id % 3 = 0"))
-
-
-@query(
-    """SELECT value, array_to_string(list(action ORDER BY position), ',') AS actions FROM (SELECT DISTINCT p_partkey AS position, p_name AS action, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_type || p_brand END AS value FROM part)
-    WHERE value <> '' GROUP BY value HAVING count(*) > 1"""
-)
-def duplicate_bindings(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.col("p_name").alias("action"), F.when(F.col("p_partkey") % 10 == 0, F.lit("")).otherwise(F.concat("p_type", "p_brand")).alias("value"))
-    return caching.duplicate_bindings(rows).select("value", F.array_join("actions", ",").alias("actions"))
+__all__ = ["ORACLES", "QUERIES"]
