@@ -1,16 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, word splitting on Arrow buffers."""
+"""Shared helpers: word splitting and window hashing on Arrow buffers, memory of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_path
+
+__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "documents", "gather", "id_order", "materialize", "mix", "scratch_path", "slices", "text_or_empty"]
+
 #: ``[\x20\x09-\x0D]``: the white space that separates words.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -26,31 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    made = getattr(spark.sparkContext, "_tilewright_scratch", None)
-    if made is None:
-        made = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.sparkContext._tilewright_scratch = made
-    return made
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tilewright-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost executor
-    costs nothing that came before.  Columnar and compressed, unlike ``checkpoint()``."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_order(id_col: str) -> Column:
     """A never-null sort key for integer identifiers; a null identifier comes last."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG))
@@ -130,6 +107,41 @@ class Words:
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
+class WordMemo:
+    """What a Python worker has worked out for words, in two generations of ``limit`` words: the words in
+    use move on to the new one, the rest is forgotten with the old."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def fetch(self, words: list[str], learn: Callable[[list[str]], Iterable]) -> list:
+        """The words' values; ``learn`` gives those of unknown words, in order."""
+        new, old, unknown = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    unknown.append(w)
+        if unknown:
+            new.update(zip(unknown, learn(unknown)))
+        found = [new[w] for w in words]
+        if len(new) > self.limit:
+            self.new, self.old = {}, new
+        return found
+
+
+def gather(pieces: list[bytes], codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate int32 pieces in the order of ``codes``; ``ends`` (offsets into codes) become offsets into
+    the result."""
+    length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
+    begin = np.cumsum(length) - length
+    of = length[codes]
+    upto = np.concatenate([[0], np.cumsum(of)])
+    flat = np.frombuffer(b"".join(pieces), dtype=np.int32)
+    return flat[np.repeat(begin[codes] - upto[:-1], of) + np.arange(upto[-1])], upto[ends]
+
+
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

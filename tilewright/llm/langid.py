@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WordMemo, slices
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -30,7 +30,7 @@ SAMPLE_WORDS = 60_000
 DIMENSIONS = 1 << 16
 SEQUENCE_WORDS, EPOCHS, BATCH, RATE, DECAY = 24, 5, 128, 0.25, 1e-6
 LEXICON_WORDS = 200
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 _PUNCTUATION = ".,;:!?|\"'()[]{}<>*#%&$-_/\\"
 
 
@@ -148,27 +148,25 @@ def train(samples: dict[str, list[str]], seed: int = 7) -> CrfModel | None:
     return CrfModel(labels, weights.astype(np.float32), trans, lexicon)
 
 
-def predict(model: CrfModel, texts: pa.Array, memo: dict) -> tuple[list[str], list[float]]:
+def predict(model: CrfModel, texts: pa.Array, memo: WordMemo) -> tuple[list[str], list[float]]:
     """Language and score of every text; words' emissions are remembered in ``memo``."""
     lowered = pc.ascii_lower(texts.fill_null("") if texts.null_count else texts)
     lists = pc.ascii_split_whitespace(lowered)
     ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     coded = pc.utf8_trim(lists.flatten(), characters=_PUNCTUATION).dictionary_encode()
     tokens = coded.dictionary.to_pylist()
-    unknown = [t for t in tokens if t not in memo]
-    if len(memo) + len(unknown) > MEMO_WORDS:
-        memo.clear()
-        unknown = tokens
-    cleaned = [(t, w) for t in unknown if (w := clean_word(t))]
-    memo.update(dict.fromkeys(unknown))
-    if cleaned:
-        feats = [word_features(w, model.lexicon) for _, w in cleaned]
-        size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
-        flat = np.fromiter((x for f in feats for x in f), dtype=np.int64, count=int(size.sum()))
-        sums = np.add.reduceat(model.weights[flat], np.cumsum(size) - size, axis=0)
-        memo.update(zip((t for t, _ in cleaned), sums))
-    none = np.full(len(model.labels), np.nan, dtype=np.float32)
-    table = np.array([none if (e := memo[t]) is None else e for t in tokens], dtype=np.float64).reshape(len(tokens), len(model.labels))
+
+    def learn(unknown: list[str]) -> list[np.ndarray]:
+        cleaned = [clean_word(t) for t in unknown]
+        feats = [word_features(w, model.lexicon) for w in cleaned if w]
+        out = np.full((len(unknown), len(model.labels)), np.nan)
+        if feats:
+            size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
+            flat = np.fromiter((x for f in feats for x in f), dtype=np.int64, count=int(size.sum()))
+            out[[k for k, w in enumerate(cleaned) if w]] = np.add.reduceat(model.weights[flat], np.cumsum(size) - size, axis=0)
+        return list(out.astype(np.float32))
+
+    table = np.array(memo.fetch(tokens, learn), dtype=np.float64).reshape(len(tokens), len(model.labels))
     codes = coded.indices.to_numpy()
     good = ~np.isnan(table[codes, 0]) if len(codes) else np.zeros(0, dtype=bool)
     upto = np.concatenate([[0], np.cumsum(good)])[ends]
@@ -224,7 +222,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: dimensions x labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, memo = shared.value, {}
+        field, memo = shared.value, WordMemo(MEMO_WORDS)
         for batch in slices(batches, "text"):
             if field is None:
                 langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows

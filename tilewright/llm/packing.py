@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_or_empty
+from .common import WordMemo, gather, materialize, slices, text_or_empty
 
 WINDOW_TOKENS = 4096
 END_ID = 2
@@ -32,8 +32,10 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 SHARD_DOCS = 2048
 SHARD_TOKENS = 8_000_000
-#: Words whose identifiers a Python worker remembers; beyond that it forgets all and starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
+
+#: Up to this letter, letters are composed already and have one lower case (but for U+0130).
+LAST_LATIN = "\u024f"
 
 _LOADED: dict[str, "WordTokenizer"] = {}
 
@@ -42,13 +44,13 @@ class WordTokenizer:
     """Identifiers of whole texts by the ``tokenizers`` library, from one call for each different word.
 
     White space is dropped by this kind of tokeniser and nothing merges across it, so a text's identifiers
-    are those of its words in order.  Words of plain lower-case letters skip normalising and splitting,
-    which leave them as they are, and go to the library's BPE model directly.
+    are those of its words in order.  Words of Latin letters skip normalising and splitting, which would only
+    lower their case, and go to the library's BPE model directly, in its alphabet of bytes.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         with open(path) as f:
@@ -56,7 +58,9 @@ class WordTokenizer:
         if (spec.get("pre_tokenizer") or {}).get("type") != "Sequence" or not str(spec["model"].get("end_of_word_suffix")):
             raise ValueError("a tokeniser that drops white space and marks word ends is needed")
         self.vocab_size = self.whole.get_vocab_size()
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo = WordMemo(MEMO_WORDS)
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet: dict[str, str] = {}
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -64,43 +68,38 @@ class WordTokenizer:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
+    def _in_bytes(self, letter: str) -> str:
+        if letter not in self.alphabet:
+            self.alphabet[letter] = self.to_bytes(letter)[0][0]
+        return self.alphabet[letter]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
         rest = []
-        tokenize, memo = self.whole.model.tokenize, self.memo
+        tokenize = self.whole.model.tokenize
         for w in words:
             if w.isascii() and w.isalpha():  # lower-cased before
-                memo[w] = np.array([t.id for t in tokenize(w)], dtype=np.int32)
+                found[w] = np.array([t.id for t in tokenize(w)], dtype=np.int32).tobytes()
+            elif w.isalpha() and max(w) <= LAST_LATIN and "\u0130" not in w:
+                found[w] = np.array([t.id for t in tokenize("".join(map(self._in_bytes, w.lower())))], dtype=np.int32).tobytes()
             else:
                 rest.append(w)
         for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, dtype=np.int32)
+            found[w] = np.array(e.ids, dtype=np.int32).tobytes()
+        return [found[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers in one array, and the offsets of the texts in it."""
         lowered = pc.ascii_lower(texts.fill_null("") if texts.null_count else texts)
         # A letter followed by final punctuation: two tokens whatever comes between, so the words are fewer.
-        parted = pc.replace_substring_regex(lowered, r"([a-z])([.,;:!?])(\s|$)", r"\1 \2\3")
+        parted = pc.replace_substring_regex(lowered, r"([a-zß-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(parted)
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        unknown = [w for w in words if w not in self.memo]
-        if unknown:
-            self._learn(unknown)
-            if any(w not in self.memo for w in words):  # the memo was cleared
-                self._learn([w for w in words if w not in self.memo])
-        pieces = [self.memo[w] for w in words]
-        if not pieces:
+        if not words:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
-        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        begin = np.cumsum(length) - length
-        codes = coded.indices.to_numpy()
-        of = length[codes]
-        upto = np.concatenate([[0], np.cumsum(of)])
-        ids = np.concatenate(pieces)[np.repeat(begin[codes] - upto[:-1], of) + np.arange(upto[-1])]
-        return ids, upto[ends]
+        return gather(self.memo.fetch(words, self._learn), coded.indices.to_numpy(), ends)
 
 
 def _unique_terms(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -21,15 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import WordMemo, gather, slices, text_or_empty
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
 #: Set between segments where no text of the slice holds it.
 CUT = "\x00"
 _BOUNDARY = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-#: Segments that a Python worker remembers; beyond that it forgets all and starts anew.
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 300_000
 
 _LOADED: dict[str, "PieceModel"] = {}
 
@@ -56,7 +55,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.as_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo = WordMemo(MEMO_SEGMENTS)
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -99,12 +98,8 @@ class PieceModel:
         if total > best[end]:
             best[end], back[end] = total, (end - 1, -1)
 
-    def _learn(self, segments: list[str]) -> None:
-        if len(self.memo) + len(segments) > MEMO_SEGMENTS:
-            self.memo.clear()
-        for s in segments:
-            if s not in self.memo:
-                self.memo[s] = np.array(self.viterbi(s), dtype=np.int32)
+    def _learn(self, segments: list[str]) -> list[bytes]:
+        return [np.array(self.viterbi(s), dtype=np.int32).tobytes() for s in segments]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers in one array, and the offsets of the texts in it."""
@@ -119,18 +114,9 @@ class PieceModel:
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         segments = coded.dictionary.to_pylist()
-        self._learn([s for s in segments if s not in self.memo])
-        if any(s not in self.memo for s in segments):  # the memo was cleared
-            self._learn(segments)
-        pieces = [self.memo[s] for s in segments]
-        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        begin = np.cumsum(length) - length
-        codes = coded.indices.to_numpy()
-        of = length[codes]
-        upto = np.concatenate([[0], np.cumsum(of)])
-        if not upto[-1]:
-            return np.zeros(0, dtype=np.int32), upto[ends]
-        return np.concatenate(pieces)[np.repeat(begin[codes] - upto[:-1], of) + np.arange(upto[-1])], upto[ends]
+        if not segments:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+        return gather(self.memo.fetch(segments, self._learn), coded.indices.to_numpy(), ends)
 
     def decode(self, ids: list[int]) -> str:
         """The text of identifiers: pieces joined, marks become spaces, the leading one goes."""
