@@ -20,9 +20,8 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1: each 5 hexadecimal digits are 4 base32 letters."""
-    digest = F.sha1(data)
+def base32_of_hex(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal: each 5 hexadecimal digits are 4 base32 letters."""
     letters = []
     for k in range(0, 40, 5):
         bits = F.conv(F.substring(digest, k + 1, 5), 16, 10).cast("int")
@@ -53,11 +52,11 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("string").alias("page"), id_order(id_col).alias("ord"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
-    firsts = rows.groupBy("payload_digest", "payload_bytes").agg(F.min("ord").alias("low"))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
+    firsts = rows.groupBy("sha1", "payload_bytes").agg(F.min("ord").alias("low"))
     # Equal payloads are one key: both sides are plain shuffled inputs, which adaptive execution splits.
-    joined = rows.join(firsts, ["payload_digest", "payload_bytes"])
-    return joined.withColumn("first", F.when(F.col("payload_bytes") >= min_revisit_bytes, F.col("low")).otherwise(F.col("ord"))).drop("low")
+    joined = rows.join(firsts, ["sha1", "payload_bytes"]).withColumn("payload_digest", base32_of_hex(F.col("sha1")))
+    return joined.withColumn("first", F.when(F.col("payload_bytes") >= min_revisit_bytes, F.col("low")).otherwise(F.col("ord"))).drop("low", "sha1")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
@@ -164,16 +163,17 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     known = records.where("record_id is not null")
     heads = known.where("concurrent_to is not null").groupBy("record_id").agg(F.min("concurrent_to").alias("head"))
-    linked = known.join(heads.withColumnRenamed("record_id", "concurrent_to"), "concurrent_to", "left")
+    # A record that names no other looks for itself, which finds nothing: no null key gathers them all.
+    linked = known.withColumn("__to", F.coalesce("concurrent_to", "record_id")).join(heads.withColumnRenamed("record_id", "__to"), "__to", "left")
     own = F.struct("record_id", *[c for c in records.columns if c != "record_id"])
-    keyed = linked.select(F.coalesce("head", "concurrent_to", "record_id").alias("transaction"), F.col("type"), own.alias("record"))
+    keyed = linked.select(F.when(F.col("concurrent_to").isNull(), F.col("record_id")).otherwise(F.coalesce("head", "concurrent_to")).alias("transaction"), F.col("type"), own.alias("record"))
 
     def of(*kinds: str) -> Column:
         return F.min_by(F.when(F.col("type").isin(*kinds), F.col("record")), F.when(F.col("type").isin(*kinds), F.col("record.record_id")))
 
     captures = keyed.groupBy("transaction").agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
     pages = captures.where("response.type = 'response'").groupBy(F.col("response.record_id").alias("refers")).agg(F.min("metadata.page").alias("revisited_page"))
-    return captures.withColumn("refers", F.col("response.refers_to")).join(pages, "refers", "left").drop("refers")
+    return captures.withColumn("refers", F.coalesce("response.refers_to", F.concat(F.lit("none "), "transaction"))).join(pages, "refers", "left").drop("refers")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
