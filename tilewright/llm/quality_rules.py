@@ -125,4 +125,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
-    return quality_metrics(row, "__text").where("kept").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    # The optimizer would push the verdict below the projections, writing out every level's expressions once
+    # for each use above it; a row number in the last projection keeps the filter where it is.
+    judged = quality_metrics(row, "__text").withColumn("__line", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__line") >= 0)).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
