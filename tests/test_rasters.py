@@ -178,3 +178,15 @@ def test_regions(spark):
     for r in pixels.read_region(df, rects).orderBy("y", "x").collect():
         got.setdefault(r["rect_id"], []).append((r["r"], r["g"], r["b"], r["a"]))
     assert got == {1: [(1, 1, 0, 255), (2, 1, 0, 255), (1, 2, 0, 255), (2, 2, 0, 255)], 2: [(0, 0, 0, 0)] * 2, 3: [(0, 0, 0, 255), (2, 0, 0, 255)]}
+
+
+def test_decode_images_and_orientation(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(K.encode_png(gradient(5, 4)))
+    (tmp_path / "b.bmp").write_bytes(K.encode_bmp(gradient(3, 2)))
+    (tmp_path / "c.gif").write_bytes(b"GIF89a")
+    (tmp_path / "d.jpg").write_bytes(exif(8))
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in images.decode_images(spark, [str(tmp_path)]).collect()}
+    assert (rows["a.png"]["width"], rows["a.png"]["height"]) == (5, 4) and bytes(rows["b.bmp"]["data"]) == gradient(3, 2).tobytes()
+    assert rows["c.gif"]["error"] == rows["d.jpg"]["error"] == "UNSUPPORTED_FORMAT" and rows["c.gif"]["data"] is None
+    turned = {r["path"].rsplit("/", 1)[1]: r["orientation"] for r in images.exif_orientation(images.read_files(spark, [str(tmp_path)])).collect()}
+    assert turned == {"a.png": 1, "b.bmp": 1, "c.gif": 1, "d.jpg": 8}

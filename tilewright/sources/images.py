@@ -37,6 +37,34 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select(plain_path(F.col("path")).alias("path"), "content")
 
 
+def decode_images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, width, height, data (RGBA) and error of image files: a bad file is a row with a code, and the
+    job goes on.  Files are rows here; rasters that are too large for that are cut by ``cut_bmp``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    block = K.decode(bytes(content))
+                    out.append((path, block.shape[1], block.shape[0], block.tobytes(), None))
+                except K.FormatError as e:
+                    out.append((path, None, None, None, e.code))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "data", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return read_files(spark, paths).mapInPandas(run, "path string, width int, height int, data binary, error string")
+
+
+def exif_orientation(files: DataFrame) -> DataFrame:
+    """path and orientation (1 to 8) of files (path, content); 1 where there is no EXIF block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "orientation": [K.exif_orientation(bytes(c)) if c is not None else 1 for c in batch["content"]]})
+
+    return files.select("path", F.substring("content", 1, 1 << 16).alias("content")).mapInPandas(run, "path string, orientation int")
+
+
 def bmp_info(headers: DataFrame, max_side: int = DEFAULT.bmp_max_side) -> DataFrame:
     """Adds ``bmp`` (width, height, bits, bottom_up, pixel_data_offset, row_stride) or ``error`` from the
     first 54 bytes in ``header``.  Built-in functions only; checks run in a fixed order."""
