@@ -35,10 +35,13 @@ def to_pixels(tiles: DataFrame, tile_size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for t in batch.itertuples():
-                block = _array(t)
                 ys, xs = np.mgrid[0 : t.height, 0 : t.width]
-                yield pd.DataFrame({"image_id": t.image_id, "z": t.z, "x": t.tx * tile_size + xs.ravel(), "y": t.ty * tile_size + ys.ravel(), **{c: block[..., i].ravel() for i, c in enumerate("rgba")}})
+                place = [np.full(xs.size, t.image_id), np.full(xs.size, t.z), t.tx * tile_size + xs.ravel(), t.ty * tile_size + ys.ravel()]
+                parts.append(np.column_stack([*place, _array(t).reshape(-1, 4)]))
+            if parts:
+                yield pd.DataFrame(np.concatenate(parts), columns=["image_id", "z", "x", "y", "r", "g", "b", "a"])
 
     return tiles.select("image_id", "z", "tx", "ty", "width", "height", "data").mapInPandas(run, "image_id long, z int, x int, y int, r int, g int, b int, a int")
 
@@ -69,21 +72,40 @@ def halve(tiles: DataFrame, has_alpha: bool) -> DataFrame:
 
 
 def assemble(quarters: DataFrame, tile_size: int) -> DataFrame:
-    """Join up to four halved neighbours into one tile of the next level; a group is never larger than that."""
+    """Join up to four halved neighbours into one tile of the next level.
+
+    Neighbours are shuffled to one partition and stand together in it, so they are joined as they stream by;
+    at most four tiles are held.
+    """
     half = tile_size // 2
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(group["tx"].iloc[0]) // 2, int(group["ty"].iloc[0]) // 2
-        width = max((t.tx % 2) * half + t.width for t in group.itertuples())
-        height = max((t.ty % 2) * half + t.height for t in group.itertuples())
+    def join(group: list) -> dict:
+        width = max((t.tx % 2) * half + t.width for t in group)
+        height = max((t.ty % 2) * half + t.height for t in group)
         block = np.zeros((height, width, 4), dtype=np.uint8)
-        for t in group.itertuples():
+        for t in group:
             x, y = (t.tx % 2) * half, (t.ty % 2) * half
             block[y : y + t.height, x : x + t.width] = _array(t)
-        return pd.DataFrame([{"image_id": group["image_id"].iloc[0], "z": group["z"].iloc[0], "tx": tx, "ty": ty, "width": width, "height": height, "data": block.tobytes()}])
+        first = group[0]
+        return {"image_id": first.image_id, "z": first.z, "tx": first.tx // 2, "ty": first.ty // 2, "width": width, "height": height, "data": block.tobytes()}
 
-    parent = [F.call_function("div", F.col(c), F.lit(2)).alias(f"p{c}") for c in ("tx", "ty")]
-    return quarters.groupBy("image_id", "z", *parent).applyInPandas(join, TILE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list = []
+        for batch in batches:
+            done = []
+            for t in batch.itertuples(index=False):
+                if group and (t.image_id, t.z, t.tx // 2, t.ty // 2) != (group[0].image_id, group[0].z, group[0].tx // 2, group[0].ty // 2):
+                    done.append(join(group))
+                    group = []
+                group.append(t)
+            if done:
+                yield pd.DataFrame(done)
+        if group:
+            yield pd.DataFrame([join(group)])
+
+    parent = [F.call_function("div", F.col(c), F.lit(2)) for c in ("tx", "ty")]
+    columns = [c.split()[0] for c in TILE.split(", ")]
+    return quarters.select(*columns).repartition("image_id", "z", *parent).sortWithinPartitions("image_id", "z", *parent).mapInPandas(run, TILE)
 
 
 def build_pyramid(level0: DataFrame, levels: int, tile_size: int, has_alpha: bool, keep: Callable[[DataFrame, int], DataFrame] = lambda df, z: df) -> DataFrame:

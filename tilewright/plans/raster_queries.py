@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import pixels, tiles
+from ..scratch import materialize
 from .derive import derived
 from .registry import query
 
@@ -60,7 +61,7 @@ def build_pyramid(spark, sf_dir):
 def build_pyramid_tiles(spark, sf_dir):
     """The same levels in tile form: 4 x 4 tiles of bytes, halved and assembled, turned into pixels again."""
     base = tiles.from_pixels(_cropped(spark, sf_dir), 4)
-    levels = tiles.build_pyramid(base, 3, 4, has_alpha=True)
+    levels = tiles.build_pyramid(base, 3, 4, has_alpha=True, keep=lambda level, z: materialize(level, f"level{z}"))
     return tiles.to_pixels(levels, 4).select("z", *_COLUMNS)
 
 
