@@ -32,7 +32,7 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 SHARD_DOCS = 2048
 SHARD_TOKENS = 8_000_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 #: Up to this letter, letters are composed already and have one lower case (but for U+0130).
 LAST_LATIN = "\u024f"

@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 #: Set between segments where no text of the slice holds it.
 CUT = "\x00"
 _BOUNDARY = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 150_000
 
 _LOADED: dict[str, "PieceModel"] = {}
 
