@@ -53,18 +53,16 @@ def binned(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Colu
     text, words, chars = F.col("__text"), F.col("__words"), F.col("__chars")
     n = F.size(words)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return rows.select(
-        "id",
-        F.coalesce("host", F.lit("")).alias("host"),
-        F.coalesce("path", F.lit("")).alias("path"),
-        _bin("symbols", _count(text, SYMBOLS.replace("|", "")), chars),
-        _bin("upper", _count(text, letters), chars),
-        _bin("stops", F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))), n),
-        _bin("repeats", n - F.size(F.array_distinct(words)), n),
-        _bin("pipes", _count(text, "|"), n),
-        _bin("marks", _count(text, "!?"), n),
-        _bin("length", chars, n),
-    )
+    # Numerators are columns of their own, so that each is worked out once and not for every bound.
+    counted = rows.select(
+        "id", "host", "path", n.alias("__n"), chars.alias("__chars"),
+        _count(text, SYMBOLS.replace("|", "")).alias("__symbols"), _count(text, letters).alias("__upper"),
+        F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).alias("__stops"), (n - F.size(F.array_distinct(words))).alias("__repeats"),
+        _count(text, "|").alias("__pipes"), _count(text, "!?").alias("__marks"),
+    )
+    n, chars = F.col("__n"), F.col("__chars")
+    of = {"symbols": ("__symbols", chars), "upper": ("__upper", chars), "stops": ("__stops", n), "repeats": ("__repeats", n), "pipes": ("__pipes", n), "marks": ("__marks", n), "length": ("__chars", n)}
+    return counted.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), *[_bin(name, F.col(c), d) for name, (c, d) in of.items()])
 
 
 def _strength(sites: DataFrame, mean: Column) -> float:
