@@ -106,7 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that exact_dedup keeps; rows that repeat both identifier and
-    text collapse to one."""
+    normalised text collapse to the one whose own text has the smallest hash, however often this is worked out."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(id_order(id_col).alias("__tw_ord"), F.col("text_sha256").alias("__tw_sha"))
     keyed = docs.withColumns({"__tw_ord": id_order(id_col), "__tw_sha": F.sha2(normalized_text(text_col), 256)})
-    return keyed.join(kept.distinct(), ["__tw_ord", "__tw_sha"], "left_semi").dropDuplicates(["__tw_ord", "__tw_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = keyed.join(kept.distinct(), ["__tw_ord", "__tw_sha"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.groupBy("__tw_ord", "__tw_sha").agg(F.min_by(row, F.xxhash64(text_or_empty(text_col))).alias("__tw_row")).select("__tw_row.*")
