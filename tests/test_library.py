@@ -56,16 +56,27 @@ def test_natural_order(spark):
     assert got == sorted(names, key=cmp_to_key(compare))
 
 
-@pytest.mark.parametrize(
-    "w, h, mb, ext, large, mode",
-    [
-        (1000, 1000, 10, "png", False, "normal"), (7072, 7072, 10, "png", True, "tileRequired"), (1000, 1000, 301, "png", True, "tileRequired"), (12000, 100, 1, "png", True, "normal"),
-        (1000, 1000, 101, "bmp", True, "largeCandidate"), (1000, 1000, 200, "bmp", True, "largeCandidate"), (1000, 1000, 301, "bmp", True, "tileRequired"),
-    ],
-)
-def test_classification(spark, w, h, mb, ext, large, mode):
-    row = spark.range(1).select(*[f(F.lit(w), F.lit(h), F.lit(mb * P.MB), F.lit(ext)).alias(n) for f, n in ((catalog.is_large, "large"), (catalog.load_mode, "mode"))]).first()
-    assert (row["large"], row["mode"]) == (large, mode)
+def test_classification(spark):
+    """Just below and just at each threshold of the policy, in pixels, sides, and whole megabytes."""
+    d = P.DEFAULT
+    side = d.side_threshold
+    across = d.pixel_threshold // 5000  # 5000 x across are exactly the threshold
+    cases = {
+        (5000, across - 1, 0, "webp"): (False, "normal"),
+        (5000, across, 0, "webp"): (True, "tileRequired"),
+        (side - 1, 7, 0, "gif"): (False, "normal"),
+        (3, side, 0, "gif"): (True, "normal"),  # a long side makes it large, but not tiled
+        (20, 30, d.file_threshold_mb * P.MB - 1, "jpeg"): (False, "normal"),
+        (20, 30, d.file_threshold_mb * P.MB, "jpeg"): (True, "tileRequired"),
+        (20, 30, d.bmp_candidate_mb * P.MB - 1, "bmp"): (False, "normal"),
+        (20, 30, d.bmp_candidate_mb * P.MB, "bmp"): (True, "largeCandidate"),
+        (20, 30, d.bmp_required_mb * P.MB - 1, "bmp"): (True, "largeCandidate"),
+        (20, 30, d.bmp_required_mb * P.MB, "bmp"): (True, "tileRequired"),
+        (20, 30, d.bmp_candidate_mb * P.MB, "tif"): (False, "normal"),
+    }
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, w int, h int, size long, ext string")
+    found = df.select("i", catalog.is_large(F.col("w"), F.col("h"), F.col("size"), F.col("ext")).alias("large"), catalog.load_mode(F.col("w"), F.col("h"), F.col("size"), F.col("ext")).alias("mode"))
+    assert [(r["large"], r["mode"]) for r in found.orderBy("i").collect()] == list(cases.values())
 
 
 def test_probe(spark):
@@ -125,8 +136,17 @@ def test_visible_rect(spark):
 
 
 def test_level_choice():
-    assert [views.next_level(s, None, 6) for s in (1, 0.4, 0.1)] == [0, 1, 3]
-    assert [views.next_level(s, p, 6) for s, p in ((0.5, 0), (0.5, 1), (0.2, 2), (0.44, 0), (0.56, 1), (0.1, 2), (0.1, 0), (0.01, 0))] == [0, 1, 2, 1, 0, 3, 3, 6]
+    """A level is left only where it would look too coarse or too fine; between the margins nothing changes."""
+    rng = random.Random(9)
+    for _ in range(2000):
+        scale, most, before = 2.0 ** rng.uniform(-8, 2), rng.randint(0, 7), rng.randint(0, 9)
+        level = views.next_level(scale, before, most)
+        assert 0 <= level <= most
+        if before > most:  # no level of this image: the finest that is not finer than the screen
+            assert level == views.next_level(scale, None, most) and (level in (0, most) or 0.5 < scale * 2**level <= 1)
+        else:
+            assert (level == most or scale * 2**level >= views.COARSER) and (level == 0 or scale * 2**level <= views.FINER)
+            assert level == before or not views.COARSER <= scale * 2**before <= views.FINER
 
 
 def test_lod_across_batches(spark):

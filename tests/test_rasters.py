@@ -84,7 +84,7 @@ def test_png_filters_and_errors():
     at = whole.index(b"IDAT") - 4
     data = zlib.compress(b"".join(lines))
     assert (K.decode(whole[:at] + struct.pack(">I", len(data)) + b"IDAT" + data + b"\0\0\0\0" + struct.pack(">I", 0) + b"IEND" + b"\0\0\0\0") == block).all()
-    for junk, code in ((b"", "DECODE_ERROR"), (b"GIF89a", "UNSUPPORTED_FORMAT"), (whole[: at + 14], "DECODE_ERROR")):
+    for junk, code in ((b"", "DECODE_ERROR"), (b"GIF89a", "UNSUPPORTED_FORMAT"), (whole[:20], "DECODE_ERROR"), (whole[: at + 14], "DECODE_ERROR")):
         with pytest.raises(K.FormatError) as e:
             K.decode(junk)
         assert e.value.code == code
@@ -180,13 +180,88 @@ def test_regions(spark):
     assert got == {1: [(1, 1, 0, 255), (2, 1, 0, 255), (1, 2, 0, 255), (2, 2, 0, 255)], 2: [(0, 0, 0, 0)] * 2, 3: [(0, 0, 0, 255), (2, 0, 0, 255)]}
 
 
+def exif_png(orientation: int) -> bytes:
+    """A PNG with an EXIF chunk after its header."""
+    whole = K.encode_png(gradient(5, 4))
+    tiff = b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, orientation, 0, 0)
+    return whole[:33] + struct.pack(">I", len(tiff)) + b"eXIf" + tiff + b"\0\0\0\0" + whole[33:]
+
+
+def written_by_jvm(spark, pixels: np.ndarray, kind: str) -> bytes:
+    jvm = spark._jvm
+    height, width, _ = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(pixels[y, x, 0]) << 16 | int(pixels[y, x, 1]) << 8 | int(pixels[y, x, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, kind, out)
+    return bytes(out.toByteArray())
+
+
 def test_decode_images_and_orientation(spark, tmp_path):
-    (tmp_path / "a.png").write_bytes(K.encode_png(gradient(5, 4)))
-    (tmp_path / "b.bmp").write_bytes(K.encode_bmp(gradient(3, 2)))
-    (tmp_path / "c.gif").write_bytes(b"GIF89a")
-    (tmp_path / "d.jpg").write_bytes(exif(8))
+    smooth = np.full((8, 16, 4), 255, dtype=np.uint8)
+    smooth[:, 8:, :3] = 0
+    jpeg, gif = written_by_jvm(spark, smooth, "jpg"), written_by_jvm(spark, smooth, "gif")
+    app1 = exif(6)[8:-2]
+    files = {
+        "a.png": K.encode_png(gradient(5, 4)), "b.bmp": K.encode_bmp(gradient(3, 2)), "c.gif": b"GIF89a", "d.jpg": exif(8), "e.jpg": jpeg, "f.gif": gif, "g.jpg": jpeg[:2] + app1 + jpeg[2:],
+        "h.png": exif_png(3), "i.heic": b"\0\0\0\x18ftypheic", "j.png": K.encode_png(gradient(5, 4))[:40], "k k.png": K.PNG_SIGNATURE,
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
     rows = {r["path"].rsplit("/", 1)[1]: r for r in images.decode_images(spark, [str(tmp_path)]).collect()}
+    assert set(rows) == set(files)
     assert (rows["a.png"]["width"], rows["a.png"]["height"]) == (5, 4) and bytes(rows["b.bmp"]["data"]) == gradient(3, 2).tobytes()
-    assert rows["c.gif"]["error"] == rows["d.jpg"]["error"] == "UNSUPPORTED_FORMAT" and rows["c.gif"]["data"] is None
+    assert {n: r["error"] for n, r in rows.items() if r["error"]} == {n: "DECODE_ERROR" for n in ("c.gif", "d.jpg", "j.png", "k k.png")} | {"i.heic": "UNSUPPORTED_FORMAT"}
+    assert bytes(rows["f.gif"]["data"]) == smooth.tobytes()
+    block = np.frombuffer(bytes(rows["e.jpg"]["data"]), dtype=np.uint8).reshape(8, 16, 4)
+    assert np.abs(block.astype(int) - smooth).max() < 40 and (rows["g.jpg"]["width"], rows["g.jpg"]["height"], rows["g.jpg"]["orientation"]) == (8, 16, 6)
+    assert bytes(rows["h.png"]["data"]) == gradient(5, 4)[::-1, ::-1].tobytes()
     turned = {r["path"].rsplit("/", 1)[1]: r["orientation"] for r in images.exif_orientation(images.read_files(spark, [str(tmp_path)])).collect()}
-    assert turned == {"a.png": 1, "b.bmp": 1, "c.gif": 1, "d.jpg": 8}
+    assert {n: o for n, o in turned.items() if o != 1} == {"d.jpg": 8, "g.jpg": 6, "h.png": 3}
+    small = {r["path"].rsplit("/", 1)[1]: r for r in tiles.raster_thumbnails(images.decode_images(spark, [str(tmp_path)]), 8).collect()}
+    assert (small["g.jpg"]["width"], small["g.jpg"]["height"], small["c.gif"]["error"]) == (4, 8, "DECODE_ERROR")
+
+
+def test_profiles_in_files():
+    profile = b"p" * 300
+    jpeg = b"\xff\xd8" + b"".join(b"\xff\xe2" + struct.pack(">H", 16 + len(part)) + b"ICC_PROFILE\0" + bytes([k, 2]) + part for k, part in ((2, profile[200:]), (1, profile[:200]))) + b"\xff\xda\0\2"
+    whole = K.encode_png(gradient(5, 4))
+    import zlib
+
+    body = b"name\0\0" + zlib.compress(profile)
+    png = whole[:33] + struct.pack(">I", len(body)) + b"iCCP" + body + b"\0\0\0\0" + whole[33:]
+    tiff = b"II*\0" + struct.pack("<IHHHII", 8, 1, 34675, 7, 300, 26) + b"\0\0\0\0" + profile
+    assert K.icc_profile(jpeg) == K.icc_profile(png) == K.icc_profile(tiff) == profile
+    assert K.icc_profile(whole) is K.icc_profile(b"") is K.icc_profile(b"\xff\xd8") is K.icc_profile(tiff[:20]) is None
+
+
+def test_png_of_any_filter_is_fast_and_bounded():
+    import time
+    import zlib
+
+    rng = np.random.default_rng(3)
+    for height, width in ((1, 1), (1, 9), (9, 1), (7, 13)):
+        kinds = rng.integers(0, 5, size=height, dtype=np.uint8)
+        lines = rng.integers(0, 256, size=(height, width, 3), dtype=np.uint8)
+        want = np.zeros((height, width, 3), dtype=int)
+        for y in range(height):
+            for x in range(width):
+                for c in range(3):
+                    a, b = (want[y, x - 1, c] if x else 0), (want[y - 1, x, c] if y else 0)
+                    d = want[y - 1, x - 1, c] if x and y else 0
+                    guess = (0, a, b, (a + b) // 2, min((a, b, d), key=lambda p: abs(a + b - d - p)))[kinds[y]]
+                    want[y, x, c] = (int(lines[y, x, c]) + guess) % 256
+        assert (K._unfilter(kinds, lines) == want).all()
+    began = time.process_time()
+    K._unfilter(np.full(1000, 4, dtype=np.uint8), rng.integers(0, 256, size=(1000, 1000, 4), dtype=np.uint8))
+    assert time.process_time() - began < 3
+    head = lambda w, h: K.PNG_SIGNATURE + struct.pack(">I4sIIBBBBBI", 13, b"IHDR", w, h, 8, 6, 0, 0, 0, 0)
+    bomb = zlib.compress(b"\0" * 1_000_000)
+    chunk = struct.pack(">I", len(bomb)) + b"IDAT" + bomb + b"\0\0\0\0"
+    for content, code in ((head(0, 0), "DECODE_ERROR"), (head(1, 1)[:20], "DECODE_ERROR"), (head(100_000, 100_000), "IMAGE_TOO_LARGE"), (head(3, 2), "DECODE_ERROR")):
+        with pytest.raises(K.FormatError) as e:
+            K.decode(content)
+        assert e.value.code == code
+    assert K.decode(head(3, 2) + chunk).shape == (2, 3, 4)

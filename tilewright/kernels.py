@@ -9,6 +9,8 @@ import numpy as np
 
 BMP_HEADER = 54
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Pixels of a file that is decoded whole.
+MAX_PIXELS = 100_000_000
 
 
 class FormatError(ValueError):
@@ -81,56 +83,75 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def decode_png(content: bytes) -> np.ndarray:
-    """8-bit RGB or RGBA PNG without interlacing, any filters."""
-    if content[:8] != PNG_SIGNATURE:
-        raise FormatError("DECODE_ERROR", "not a PNG")
-    at, data, head = 8, [], None
-    while at + 8 <= len(content):
+def _png_chunks(content: bytes) -> dict[bytes, bytes]:
+    """Bodies of the chunks by kind, those of a kind joined; a chunk that is cut short ends the list."""
+    at, found = 8, {}
+    while at + 12 <= len(content):
         size, kind = struct.unpack_from(">I4s", content, at)
-        if kind == b"IHDR":
-            head = struct.unpack_from(">IIBBBBB", content, at + 8)
-        elif kind == b"IDAT":
-            data.append(content[at + 8 : at + 8 + size])
+        if at + 12 + size > len(content):
+            break
+        found.setdefault(kind, []).append(content[at + 8 : at + 8 + size])
         at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in (2, 6) or head[6]:
+    return {kind: b"".join(bodies) for kind, bodies in found.items()}
+
+
+def decode_png(content: bytes, max_pixels: int = MAX_PIXELS) -> np.ndarray:
+    """8-bit RGB or RGBA PNG without interlacing, any filters.  Broken files, and those of no or too many
+    pixels, are reported; no more is inflated than the header announces."""
+    if content[:8] != PNG_SIGNATURE:
+        raise FormatError("DECODE_ERROR", "not a PNG")
+    chunks = _png_chunks(content)
+    if len(chunks.get(b"IHDR", b"")) != 13:
+        raise FormatError("DECODE_ERROR", "no header")
+    width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
+    if not width or not height:
+        raise FormatError("DECODE_ERROR", "no pixels")
+    if width * height > max_pixels:
+        raise FormatError("IMAGE_TOO_LARGE", f"{width}x{height}")
+    if depth != 8 or kind not in (2, 6) or interlaced:
         raise FormatError("UNSUPPORTED_FORMAT", "only plain 8-bit RGB and RGBA")
-    width, height, n = head[0], head[1], 3 if head[3] == 2 else 4
+    n = 3 if kind == 2 else 4
+    size = height * (1 + width * n)
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(data)), dtype=np.uint8)
-        lines = raw.reshape(height, 1 + width * n)
-    except (zlib.error, ValueError) as e:
+        raw = zlib.decompressobj().decompress(chunks.get(b"IDAT", b""), size)
+    except zlib.error as e:
         raise FormatError("DECODE_ERROR", str(e)) from e
-    out = np.zeros((height, width * n), dtype=np.uint8)
-    above = np.zeros(width * n, dtype=np.uint8)
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:]
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = line + above
-        else:
-            out[y] = _unfilter(kind, line, above, n)
-        above = out[y]
+    if len(raw) != size:
+        raise FormatError("DECODE_ERROR", "pixels missing")
+    lines = np.frombuffer(raw, dtype=np.uint8).reshape(height, 1 + width * n)
+    if lines[:, 0].max() > 4:
+        raise FormatError("DECODE_ERROR", "unknown filter")
     pixels = np.full((height, width, 4), 255, dtype=np.uint8)
-    pixels[..., :n] = out.reshape(height, width, n)
+    pixels[..., :n] = _unfilter(lines[:, 0], lines[:, 1:].reshape(height, width, n))
     return pixels
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
-    done = np.zeros(len(line) + n, dtype=np.int64)
-    up = np.concatenate([np.zeros(n, dtype=np.int64), above.astype(np.int64)])
-    for i, v in enumerate(line.tolist(), n):
-        left, over, corner = int(done[i - n]), int(up[i]), int(up[i - n])
-        if kind == 1:
-            guess = left
-        elif kind == 3:
-            guess = (left + over) // 2
-        else:
-            base = left + over - corner
-            guess = min((left, over, corner), key=lambda p: abs(base - p))
-        done[i] = (v + guess) & 255
-    return done[n:].astype(np.uint8)
+def _unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Undo PNG's line filters.  Without the two that mix neighbours, line by line; with them along diagonals,
+    whose pixels depend on earlier diagonals only."""
+    height, width, n = lines.shape
+    if kinds.max() < 3:
+        out, above = np.empty_like(lines), np.zeros((width, n), dtype=np.uint8)
+        for y, kind in enumerate(kinds.tolist()):
+            line = lines[y]
+            above = out[y] = np.cumsum(line, axis=0, dtype=np.uint8) if kind == 1 else line + above if kind == 2 else line
+        return out
+    out = np.zeros(((height + 1) * (width + 1), n), dtype=np.int16)  # with a row above and a column at the left
+    flat = lines.reshape(-1, n)
+    for t in range(width + height - 1):
+        y0, y1 = max(0, t - width + 1), min(height, t + 1)
+        count = y1 - y0
+        at = (y0 + 1) * (width + 1) + t - y0 + 1  # one row down and one column left is ``width`` further
+        pick = lambda a: out[a : a + (count - 1) * width + 1 : width]  # noqa: B023, E731
+        left, up, corner = pick(at - 1), pick(at - width - 1), pick(at - width - 2)
+        base = left + up - corner
+        a, b, c = np.abs(base - left), np.abs(base - up), np.abs(base - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        kind = kinds[y0:y1, None]
+        guess = np.choose(kind, [np.zeros_like(left), left, up, (left + up) >> 1, paeth])
+        source = flat[y0 * width + t - y0 :: width - 1][:count] if width > 1 else flat[t : t + 1]
+        pick(at)[:] = (source + guess) & 255
+    return out.reshape(height + 1, width + 1, n)[1:, 1:].astype(np.uint8)
 
 
 def decode(content: bytes) -> np.ndarray:
@@ -142,6 +163,11 @@ def decode(content: bytes) -> np.ndarray:
     raise FormatError("UNSUPPORTED_FORMAT" if content else "DECODE_ERROR", "no decoder for these bytes")
 
 
+def known_format(content: bytes) -> bool:
+    """Whether the bytes begin like a format that is decoded here or by Spark's image source (or are none)."""
+    return not content or content.startswith((b"BM", PNG_SIGNATURE[:4], b"\xff\xd8", b"GIF8"))
+
+
 def halve(pixels: np.ndarray, has_alpha: bool) -> np.ndarray:
     """2x2 means over the pixels that exist, in whole numbers, with premultiplied alpha."""
     height, width, _ = pixels.shape
@@ -195,37 +221,67 @@ def oriented(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(pixels)
 
 
-def exif_orientation(content: bytes) -> int:
-    """Orientation 1 to 8 of a JPEG's EXIF block; 1 where there is none or it is broken."""
-    at, end = 2, min(len(content), 1 << 16)
-    if content[:2] != b"\xff\xd8":
-        return 1
-    while at + 4 <= end and content[at] == 0xFF:
-        marker, size = content[at + 1], struct.unpack_from(">H", content, at + 2)[0]
-        if marker == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
-            tiff = content[at + 10 : at + 2 + size]
-            order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-            if order is None or len(tiff) < 10:
-                return 1
-            ifd = struct.unpack_from(order + "I", tiff, 4)[0]
-            if ifd + 2 > len(tiff):
-                return 1
-            for k in range(struct.unpack_from(order + "H", tiff, ifd)[0]):
-                entry = ifd + 2 + 12 * k
-                if entry + 12 > len(tiff):
-                    return 1
-                tag, _, _, value = struct.unpack_from(order + "HHIH", tiff, entry)
-                if tag == 0x0112:
-                    return value if 1 <= value <= 8 else 1
-            return 1
-        if marker == 0xDA:
-            return 1
+def _jpeg_segments(content: bytes) -> list[tuple[int, bytes]]:
+    """Markers and bodies before the first scan."""
+    at, found = 2, []
+    while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        size = struct.unpack_from(">H", content, at + 2)[0]
+        if size < 2:
+            break
+        found.append((content[at + 1], content[at + 4 : at + 2 + size]))
         at += 2 + size
-    return 1
+    return found
+
+
+def _tiff_entry(tiff: bytes, tag: int) -> bytes | int | None:
+    """Value of a tag in the first directory: a short as a number, bytes as they are; None where it is absent or broken."""
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    try:
+        first = struct.unpack_from(order + "I", tiff, 4)[0]
+        for k in range(struct.unpack_from(order + "H", tiff, first)[0]):
+            found, kind, count, value = struct.unpack_from(order + "HHI4s", tiff, first + 2 + 12 * k)
+            if found == tag:
+                if kind == 3:
+                    return struct.unpack_from(order + "H", value)[0]
+                at = struct.unpack_from(order + "I", value)[0]
+                return tiff[at : at + count] if count > 4 else value[:count]
+    except (struct.error, TypeError):
+        pass
+    return None
+
+
+def _tiff_of(content: bytes) -> bytes:
+    """The TIFF structure that a JPEG, PNG or TIFF file holds its facts in; empty where there is none."""
+    if content[:2] == b"\xff\xd8":
+        return next((body[6:] for marker, body in _jpeg_segments(content) if marker == 0xE1 and body[:6] == b"Exif\0\0"), b"")
+    if content[:8] == PNG_SIGNATURE:
+        return _png_chunks(content).get(b"eXIf", b"")
+    return content if content[:4] in (b"II*\0", b"MM\0*") else b""
+
+
+def exif_orientation(content: bytes) -> int:
+    """Orientation 1 to 8 of a JPEG, PNG or TIFF file; 1 where there is none or it is broken."""
+    value = _tiff_entry(_tiff_of(content), 0x0112)
+    return value if isinstance(value, int) and 1 <= value <= 8 else 1
+
+
+def icc_profile(content: bytes) -> bytes | None:
+    """The colour profile of a JPEG, PNG or TIFF file."""
+    if content[:2] == b"\xff\xd8":
+        parts = sorted((body[12], body[14:]) for marker, body in _jpeg_segments(content) if marker == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(body) > 14)
+        return b"".join(p for _, p in parts) or None
+    if content[:8] == PNG_SIGNATURE:
+        _, _, body = _png_chunks(content).get(b"iCCP", b"").partition(b"\0")
+        try:
+            return zlib.decompressobj().decompress(body[1:], 1 << 24) or None
+        except zlib.error:
+            return None
+    value = _tiff_entry(_tiff_of(content), 34675)
+    return value if isinstance(value, bytes) else None
 
 
 #: XYZ (D50) to linear sRGB.
-_XYZ_TO_SRGB = np.array([[3.1338561, -1.6168667, -0.4906146], [-0.9787684, 1.9161415, 0.0334540], [0.0719453, -0.2289914, 1.4052427]])
+XYZ_TO_SRGB = np.array([[3.1338561, -1.6168667, -0.4906146], [-0.9787684, 1.9161415, 0.0334540], [0.0719453, -0.2289914, 1.4052427]])
 
 
 def _curve(body: bytes, values: np.ndarray) -> np.ndarray:
@@ -266,7 +322,7 @@ def icc_to_srgb(pixels: np.ndarray, profile: bytes | None) -> tuple[np.ndarray,
         linear = np.stack([_curve(tags[c + b"TRC"], pixels[..., i] / 255.0) for i, c in enumerate((b"r", b"g", b"b"))], axis=-1)
     except (KeyError, struct.error, FormatError, IndexError, ValueError):
         return pixels, False
-    rgb = np.clip(linear @ (_XYZ_TO_SRGB @ matrix).T, 0, 1)
+    rgb = np.clip(linear @ (XYZ_TO_SRGB @ matrix).T, 0, 1)
     encoded = np.where(rgb <= 0.0031308, 12.92 * rgb, 1.055 * rgb ** (1 / 2.4) - 0.055)
     out = pixels.copy()
     out[..., :3] = np.round(encoded * 255).astype(np.uint8)

@@ -152,13 +152,15 @@ def decode(files: DataFrame) -> DataFrame:
 
 
 def thumbnails(files: DataFrame, px: int) -> DataFrame:
-    """(image_id, content) to PNG thumbnails in a box of ``px``: decoded, turned upright, averaged, encoded."""
+    """(image_id, content) of PNG and BMP files to PNG thumbnails in a box of ``px``: decoded, converted to sRGB,
+    turned upright, averaged, encoded.  ``raster_thumbnails`` takes what ``images.decode_images`` read."""
 
     def change(t) -> dict:
         row = {"image_id": t.image_id, "width": None, "height": None, "content": None, "error": None}
         try:
             content = bytes(t.content) if t.content is not None else b""
-            small = K.resize_area(K.oriented(K.decode(content), K.exif_orientation(content)), px)
+            block, _ = K.icc_to_srgb(K.decode(content), K.icc_profile(content))
+            small = K.resize_area(K.oriented(block, K.exif_orientation(content)), px)
         except K.FormatError as e:
             return row | {"error": e.code}
         return row | {"width": small.shape[1], "height": small.shape[0], "content": K.encode_png(small)}
@@ -166,6 +168,19 @@ def thumbnails(files: DataFrame, px: int) -> DataFrame:
     return _map(files.select("image_id", "content"), change, "image_id long, width int, height int, content binary, error string")
 
 
+def raster_thumbnails(rasters: DataFrame, px: int) -> DataFrame:
+    """Decoded rasters (path, width, height, data, error), of any format, to PNG thumbnails; errors go along."""
+
+    def change(t) -> dict:
+        row = {"path": t.path, "width": None, "height": None, "content": None, "error": t.error}
+        if t.data is None:
+            return row
+        small = K.resize_area(np.frombuffer(t.data, dtype=np.uint8).reshape(int(t.height), int(t.width), 4), px)
+        return row | {"width": small.shape[1], "height": small.shape[0], "content": K.encode_png(small)}
+
+    return _map(rasters.select("path", "width", "height", "data", "error"), change, "path string, width int, height int, content binary, error string")
+
+
 def to_srgb(rasters: DataFrame) -> DataFrame:
     """Rasters with a column ``icc`` (binary, or null) converted to sRGB; ``converted`` tells whether."""
 

@@ -82,9 +82,10 @@ def prefetch_ring(ranged: DataFrame, tile_size: int, radius: int = DEFAULT.prefe
 
 
 def tile_priority(demand: DataFrame) -> DataFrame:
-    """Loading order of (target_level, z, ring, tx, ty): the coarser level first, then the target, then the ring."""
+    """Adds priority, the first part of the loading order (session_id, priority, z, ty, tx): the coarser level
+    first, then the target, then the ring.  Nothing is sorted here; ``caching.ordered_before`` numbers rows."""
     rank = F.when(F.col("z") == F.col("target_level") + 1, F.lit(0)).when(~F.col("ring"), F.lit(1)).otherwise(F.lit(2))
-    return demand.withColumn("priority", rank).orderBy("session_id", "priority", "z", "ty", "tx")
+    return demand.withColumn("priority", rank)
 
 
 def serve_tiles(requests: DataFrame, images: DataFrame, levels: DataFrame, tile_size: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..functions import naming as N
 from ..operators import caching, catalog
+from ..scratch import materialize
 from .derive import derived, table, with_ctes
 from .registry import ORACLES, QUERIES, query
 
@@ -64,8 +65,10 @@ def is_supported(spark, sf_dir):
 
 @query(f"SELECT directory, name, row_number() OVER (PARTITION BY directory ORDER BY {_KEY}, name, path) AS place FROM catalog", "catalog")
 def natural_sort(spark, sf_dir):
-    placed = catalog.position(derived(spark, sf_dir, "catalog"))
-    return placed.select("directory", "name", (F.col("position") + 1).alias("place"))
+    """Sorted globally, written in that order, and numbered by it."""
+    ordered = catalog.natural_sort(derived(spark, sf_dir, "catalog")).select("directory", "name", F.monotonically_increasing_id().alias("line"), F.lit(1).alias("one"))
+    placed = caching.ordered_before(materialize(ordered, "sorted"), "one", ["line"], ["directory"])
+    return placed.select("directory", "name", (F.col("__before") + 1).cast("long").alias("place"))
 
 
 @query(
@@ -113,10 +116,11 @@ def open_paths(spark, sf_dir):
     return catalog.open_paths(files.unionByName(dirs), rows).select("path", "size")
 
 
-@query("SELECT path FROM catalog WHERE directory IN (SELECT directory FROM catalog WHERE image_id <= 12)", "catalog")
+@query("SELECT path FROM catalog WHERE directory IN (SELECT directory FROM catalog WHERE heif AND width > 13500 AND height > 6000)", "catalog")
 def allowed_dirs(spark, sf_dir):
+    """Directories are granted through files that were opened."""
     rows = derived(spark, sf_dir, "catalog")
-    return catalog.allowed_dirs(rows, rows.where("image_id <= 12")).select("path")
+    return catalog.allowed_dirs(rows, rows.where("heif and width > 13500 and height > 6000")).select("path")
 
 
 @query(f"SELECT c.image_id, c.path FROM catalog c WHERE ext IN ({_SUPPORTED})", "catalog")
@@ -261,6 +265,26 @@ def request_dedup(spark, sf_dir):
     return caching.request_dedup(_keyed(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_KEYED} SELECT order_id, line, k.path, k.px, CASE WHEN k.px <> 96 THEN waiting END AS shared, CASE WHEN k.px = 96 THEN 'DECODE_ERROR' END AS code
+    FROM keyed k JOIN (SELECT cache_key, count(*) AS waiting FROM keyed GROUP BY cache_key) USING (cache_key)""",
+    "catalog",
+    "requests",
+)
+def fan_out(spark, sf_dir):
+    """Each unit of work is done once, or fails once; all its requests hear of it."""
+    requests = _keyed(spark, sf_dir)
+    failed = F.col("px") == 96
+    done = caching.request_dedup(requests).select("cache_key", F.when(~failed, F.col("waiting")).alias("shared"), F.when(failed, F.lit("DECODE_ERROR")).alias("code"))
+    return caching.fan_out(requests, done).select("order_id", "line", "path", "px", "shared", "code")
+
+
+@query("SELECT image_id, path, modified_ms * 1000000 AS modified_ns FROM catalog", "catalog")
+def decode_cache_key(spark, sf_dir):
+    key = N.decode_cache_key(F.col("path"), F.col("modified_ms") * 1_000_000)
+    return derived(spark, sf_dir, "catalog").select("image_id", key.alias("key")).select("image_id", "key.path", "key.modified_ns")
+
+
 @query("SELECT image_id, path FROM catalog WHERE ext = 'bmp' AND image_id % 4 <> 0", "catalog")
 def pyramid_cache_miss(spark, sf_dir):
     rows = derived(spark, sf_dir, "catalog")

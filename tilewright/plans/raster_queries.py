@@ -27,29 +27,29 @@ def _down(source: str, alpha: bool) -> str:
     return f"SELECT image_id, x, y, {back('r')}, {back('g')}, {back('b')}, CAST(a AS INT) AS a FROM ({inner})"
 
 
-def _cropped(spark, sf_dir):
-    """Odd-sized rasters: 7 x 5 corners."""
-    return derived(spark, sf_dir, "pixels").where("x < 7 and y < 5").select(*_COLUMNS)
+def _odd(spark, sf_dir):
+    """Rasters with odd sides, which together hold every value of the table."""
+    return derived(spark, sf_dir, "odd_pixels").select(*_COLUMNS)
 
 
-@query(_down("(SELECT * FROM pixels WHERE x < 7 AND y < 5)", False), "pixels")
+@query(_down("odd_pixels", False), "pixels", "odd_pixels")
 def box_downsample(spark, sf_dir):
-    return pixels.box_downsample(_cropped(spark, sf_dir), has_alpha=False)
+    return pixels.box_downsample(_odd(spark, sf_dir), has_alpha=False)
 
 
-@query(_down("(SELECT * FROM pixels WHERE x < 7 AND y < 5)", True), "pixels")
+@query(_down("odd_pixels", True), "pixels", "odd_pixels")
 def box_downsample_alpha(spark, sf_dir):
-    return pixels.box_downsample(_cropped(spark, sf_dir), has_alpha=True)
+    return pixels.box_downsample(_odd(spark, sf_dir), has_alpha=True)
 
 
-_PYRAMID = f"""WITH l1 AS ({_down('(SELECT * FROM pixels WHERE x < 7 AND y < 5)', True)}), l2 AS ({_down('l1', True)}), l3 AS ({_down('l2', True)})
+_PYRAMID = f"""WITH l1 AS ({_down('odd_pixels', True)}), l2 AS ({_down('l1', True)}), l3 AS ({_down('l2', True)})
     SELECT 1 AS z, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3"""
 
 
-@query(_PYRAMID, "pixels")
+@query(_PYRAMID, "pixels", "odd_pixels")
 def build_pyramid(spark, sf_dir):
     """Three levels in pixel form."""
-    levels = pixels.build_pyramid(_cropped(spark, sf_dir), 3, has_alpha=True)
+    levels = pixels.build_pyramid(_odd(spark, sf_dir), 3, has_alpha=True)
     out = None
     for z, level in levels.items():
         rows = level.select(F.lit(z).alias("z"), *_COLUMNS)
@@ -57,33 +57,37 @@ def build_pyramid(spark, sf_dir):
     return out
 
 
-@query(_PYRAMID, "pixels")
+@query(_PYRAMID, "pixels", "odd_pixels")
 def build_pyramid_tiles(spark, sf_dir):
     """The same levels in tile form: 4 x 4 tiles of bytes, halved and assembled, turned into pixels again."""
-    base = tiles.from_pixels(_cropped(spark, sf_dir), 4)
+    base = tiles.from_pixels(_odd(spark, sf_dir), 4)
     levels = tiles.build_pyramid(base, 3, 4, has_alpha=True, keep=lambda level, z: materialize(level, f"level{z}"))
     return tiles.to_pixels(levels, 4).select("z", *_COLUMNS)
 
 
-_ORIENT = """SELECT image_id, CASE WHEN o IN (2, 3) THEN 6 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN 4 - y ELSE x END AS x,
-    CASE WHEN o IN (3, 4) THEN 4 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN 6 - x ELSE y END AS y, r, g, b, a
-    FROM (SELECT *, CAST(image_id % 10 AS INT) AS o FROM pixels WHERE x < 7 AND y < 5)"""
+def _sized(source: str) -> str:
+    return f"(SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM {source} GROUP BY image_id)"
+
+
+_ORIENT = f"""SELECT image_id, CAST(CASE WHEN o IN (2, 3) THEN w - 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN h - 1 - y ELSE x END AS INT) AS x,
+    CAST(CASE WHEN o IN (3, 4) THEN h - 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN w - 1 - x ELSE y END AS INT) AS y, r, g, b, a
+    FROM (SELECT p.*, w, h, CAST(p.image_id % 10 AS INT) AS o FROM odd_pixels p JOIN {_sized('odd_pixels')} USING (image_id))"""
 
 
 def _sizes(rows):
     return rows.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-@query(_ORIENT, "pixels")
+@query(_ORIENT, "pixels", "odd_pixels")
 def orient(spark, sf_dir):
-    rows = _cropped(spark, sf_dir)
+    rows = _odd(spark, sf_dir)
     return pixels.orient(rows, _sizes(rows).withColumn("orientation", (F.col("image_id") % 10).cast("int")))
 
 
-@query(_ORIENT, "pixels")
+@query(_ORIENT, "pixels", "odd_pixels")
 def orient_rasters(spark, sf_dir):
     """The same on whole rasters of bytes."""
-    rasters = tiles.from_pixels(_cropped(spark, sf_dir), 16).withColumn("orientation", (F.col("image_id") % 10).cast("int"))
+    rasters = tiles.from_pixels(_odd(spark, sf_dir), 16).withColumn("orientation", (F.col("image_id") % 10).cast("int"))
     return tiles.to_pixels(tiles.orient(rasters), 16).select(*_COLUMNS)
 
 
@@ -105,41 +109,45 @@ def cut_tiles(spark, sf_dir):
     return pixels.cut_tiles(derived(spark, sf_dir, "pixels"), 3)
 
 
-@query(
-    "SELECT p.image_id, CAST(nx AS INT) AS x, CAST(ny AS INT) AS y, r, g, b, a FROM pixels p, (SELECT unnest(range(0, 5)) AS nx) u, (SELECT unnest(range(0, 3)) AS ny) v WHERE p.x = nx * 7 // 5 AND p.y = ny * 5 // 3",
-    "pixels",
-)
+def _fitted(source: str, most: int) -> str:
+    """SQL of image_id, w, h and the sides (tw, th) in a box."""
+    side = lambda a, b, wins: f"CASE WHEN w <= {most} AND h <= {most} THEN {a} WHEN {wins} THEN {most} ELSE greatest({a} * {most} // {b}, 1) END"
+    return f"(SELECT image_id, w, h, {side('w', 'h', 'w >= h')} AS tw, {side('h', 'w', 'w < h')} AS th FROM {_sized(source)})"
+
+
+def _nearest(source: str, most: int) -> str:
+    grid = f"(SELECT *, unnest(range(0, th)) AS ny FROM (SELECT *, unnest(range(0, tw)) AS nx FROM {_fitted(source, most)}))"
+    return f"SELECT p.image_id, CAST(nx AS INT) AS x, CAST(ny AS INT) AS y, r, g, b, a FROM {source} p JOIN {grid} g ON p.image_id = g.image_id AND p.x = nx * w // tw AND p.y = ny * h // th"
+
+
+@query(_nearest("odd_pixels", 5), "pixels", "odd_pixels")
 def nearest_preview(spark, sf_dir):
-    rows = _cropped(spark, sf_dir)
+    rows = _odd(spark, sf_dir)
     return pixels.nearest_preview(rows, _sizes(rows), 5)
 
 
-@query(
-    """SELECT p.image_id, CAST(nx AS INT) AS x, CAST(ny AS INT) AS y, r, g, b, a FROM pixels p, (SELECT unnest(range(0, 3)) AS nx) u, (SELECT unnest(range(0, 1)) AS ny) v
-    WHERE p.x = (nx * 5 // 3) * 7 // 5 AND p.y = (ny * 3 // 1) * 5 // 3""",
-    "pixels",
-)
+@query(f"WITH preview AS ({_nearest('odd_pixels', 5)}) {_nearest('preview', 3)}", "pixels", "odd_pixels")
 def navigator_preview(spark, sf_dir):
     """The navigator's picture comes from the preview, not from the raster."""
-    rows = _cropped(spark, sf_dir)
+    rows = _odd(spark, sf_dir)
     preview = pixels.nearest_preview(rows, _sizes(rows), 5)
     return pixels.nearest_preview(preview, _sizes(preview), 3)
 
 
-_AREA = f"""SELECT image_id, CAST((2 * x + 1) * 4 // 14 AS INT) AS x, CAST((2 * y + 1) * 2 // 10 AS INT) AS y, {', '.join(f'CAST({_mean(c)} AS INT) AS {c}' for c in 'rgba')}
-    FROM pixels WHERE x < 7 AND y < 5 GROUP BY image_id, (2 * x + 1) * 4 // 14, (2 * y + 1) * 2 // 10"""
+_AREA = f"""SELECT image_id, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y, {', '.join(f'CAST({_mean(c)} AS INT) AS {c}' for c in 'rgba')}
+    FROM (SELECT p.*, (2 * x + 1) * tw // (2 * w) AS tx, (2 * y + 1) * th // (2 * h) AS ty FROM odd_pixels p JOIN {_fitted('odd_pixels', 4)} USING (image_id)) GROUP BY image_id, tx, ty"""
 
 
-@query(_AREA, "pixels")
+@query(_AREA, "pixels", "odd_pixels")
 def generic_preview(spark, sf_dir):
-    rows = _cropped(spark, sf_dir)
+    rows = _odd(spark, sf_dir)
     return pixels.area_resize(rows, _sizes(rows), 4)
 
 
-@query(_AREA, "pixels")
+@query(_AREA, "pixels", "odd_pixels")
 def thumbnail(spark, sf_dir):
     """Thumbnails in raster form: decoded from encoded files, reduced, and encoded as PNG again."""
-    encoded = tiles.encode_png(tiles.from_pixels(_cropped(spark, sf_dir), 16))
+    encoded = tiles.encode_png(tiles.from_pixels(_odd(spark, sf_dir), 16))
     thumbs = tiles.thumbnails(encoded.select("image_id", F.col("png").alias("content")), 4)
     return tiles.to_pixels(tiles.decode(thumbs.select("image_id", "content")), 16).select(*_COLUMNS)
 
@@ -176,11 +184,13 @@ def encode_png(spark, sf_dir):
 
 @query(
     """SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(x % 256 AS INT) AS r, CAST(y % 256 AS INT) AS g, 0 AS b, 255 AS a
-    FROM (SELECT p_partkey AS image_id, 1 + p_partkey % 9 AS w, 1 + p_partkey % 7 AS h FROM part), (SELECT unnest(range(0, 9)) AS x), (SELECT unnest(range(0, 7)) AS y) WHERE x < w AND y < h"""
+    FROM (SELECT *, unnest(range(0, h)) AS y FROM (SELECT *, unnest(range(0, w)) AS x FROM (SELECT image_id, 1 + width // 500 AS w, 1 + height // 500 AS h FROM catalog)))""",
+    "catalog",
 )
 def generate_raster(spark, sf_dir):
-    i = F.col("image_id")
-    return pixels.generate_raster(derived(spark, sf_dir, "catalog").select("image_id", (1 + i % 9).cast("int").alias("width"), (1 + i % 7).cast("int").alias("height")))
+    """Rasters of the catalog's sizes, at a scale of 1 to 500."""
+    side = lambda c: (1 + G.idiv(F.col(c), 500)).cast("int").alias(c)
+    return pixels.generate_raster(derived(spark, sf_dir, "catalog").select("image_id", side("width"), side("height")))
 
 
 _LEVELS = """levels AS (SELECT image_id, z, (w + (1 << z) - 1) // (1 << z) AS width, (h + (1 << z) - 1) // (1 << z) AS height FROM view_images, (SELECT unnest(range(0, 9)) AS z)

@@ -61,10 +61,10 @@ def stream_tile_demand(spark, sf_dir):
 def stream_thumbnails(spark, sf_dir):
     """Requests turned into builds: each key once, and only what the store lacks."""
     requests = _stream(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("image_id"), F.col("l_shipdate").alias("ts"), N.thumb_size(F.when(F.col("l_linenumber") % 4 == 0, 96).when(F.col("l_linenumber") % 4 == 1, 160).when(F.col("l_linenumber") % 4 == 2, 256).otherwise(128)).alias("px")
+        F.col("l_partkey").alias("image_id"), N.thumb_size(F.when(F.col("l_linenumber") % 4 == 0, 96).when(F.col("l_linenumber") % 4 == 1, 160).when(F.col("l_linenumber") % 4 == 2, 256).otherwise(128)).alias("px")
     )
     files = derived(spark, sf_dir, "catalog").select("image_id", "path", "size", "modified_ms")
-    keyed = requests.join(files, "image_id").select(N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.col("px")).alias("cache_key"), "path", "px", "ts")
+    keyed = requests.join(files, "image_id").select(N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.col("px")).alias("cache_key"), "path", "px")
     path = scratch_path(spark, "thumbnails")
     _store(spark, sf_dir).select("cache_key", F.lit(160).alias("px"), F.lit(False).alias("built")).write.parquet(f"{path}/store")
     build = lambda work: work.select("cache_key", "px", F.lit(True).alias("built"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import views
+from ..operators import caching, views
 from .derive import derived
 from .registry import ORACLES, query
 
@@ -125,7 +125,7 @@ def navigator_rect(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", *[F.round(box[c], 5).alias(c) for c in ("x", "y", "width", "height")])
 
 
-_SERVE = """im AS (SELECT image_id, w, h, image_id % 5 <> 0 AS tileable, CASE WHEN greatest(w, h) <= 256 THEN 0 WHEN greatest(w, h) <= 512 THEN 1 WHEN greatest(w, h) <= 1024 THEN 2 WHEN greatest(w, h) <= 2048 THEN 3 WHEN greatest(w, h) <= 4096 THEN 4 ELSE 5 END AS top FROM view_images WHERE image_id % 17 <> 0),
+_SERVE = """im AS (SELECT image_id, w, h, image_id % 5 <> 0 AS tileable, CASE WHEN greatest(w, h) <= 256 THEN 0 WHEN greatest(w, h) <= 512 THEN 1 WHEN greatest(w, h) <= 1024 THEN 2 WHEN greatest(w, h) <= 2048 THEN 3 WHEN greatest(w, h) <= 4096 THEN 4 WHEN greatest(w, h) <= 8192 THEN 5 ELSE 6 END AS top FROM view_images WHERE image_id % 17 <> 0),
     rq AS (SELECT event_id AS request_id, image_id, CAST(event_id % 7 AS INT) AS z, CAST(event_id % 11 AS INT) AS tx, CAST(event_id % 6 AS INT) AS ty FROM views),
     j AS (SELECT rq.*, im.tileable, im.top, (w + (1 << z) - 1) // (1 << z) AS lw, (h + (1 << z) - 1) // (1 << z) AS lh, z = 0 OR (rq.image_id + z) % 3 <> 0 AS ready FROM rq LEFT JOIN im USING (image_id))"""
 
@@ -151,12 +151,10 @@ def serve_tiles(spark, sf_dir):
     "views",
 )
 def tile_priority(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = derived(spark, sf_dir, "views").select("session_id", "event_id", (F.col("event_id") % 4).cast("int").alias("z"), (F.col("session_id") % 3).cast("int").alias("target_level"), (F.col("event_id") % 5 == 0).alias("ring"), F.col("event_id").alias("tx"), F.lit(0).alias("ty"))
-    ordered = views.tile_priority(rows)
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("priority", "z", "ty", "tx"))
-    return ordered.select("session_id", "event_id", "z", place.cast("long").alias("place"))
+    ranked = views.tile_priority(rows).withColumn("one", F.lit(1))
+    placed = caching.ordered_before(ranked, "one", ["priority", "z", "ty", "tx"], ["session_id"])
+    return placed.select("session_id", "event_id", "z", (F.col("__before") + 1).cast("long").alias("place"))
 
 
 @query(f"SELECT image_id, z, tx, ty FROM ({ORACLES['visible_tiles']}) UNION SELECT image_id, z, tx, ty FROM ({ORACLES['prefetch_ring']})")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from ..functions import naming as N
 from ..policy import DEFAULT
 
 HEADER_BYTES = 64
+DECODED = ["path", "width", "height", "data", "orientation", "converted", "error"]
 
 
 def plain_path(path):
@@ -24,7 +28,7 @@ def scan_catalog(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """Supported files of the directories themselves, not below: directory, path, name, size, modified_ms.
 
     Contents are pruned, so no file is opened; files that vanish meanwhile are skipped.  Spark does not list
-    names that begin with a dot or an underscore.
+    names that begin with a dot or an underscore, nor files of no bytes.
     """
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(dirs)
     rows = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"))
@@ -37,32 +41,68 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select(plain_path(F.col("path")).alias("path"), "content")
 
 
-def decode_images(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, width, height, data (RGBA) and error of image files: a bad file is a row with a code, and the
-    job goes on.  Files are rows here; rasters that are too large for that are cut by ``cut_bmp``."""
+def decode_images(spark: SparkSession, paths: list[str], upright: bool = True) -> DataFrame:
+    """path, width, height, data (RGBA), orientation, converted and error of image files.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Spark's image source decodes JPEG, PNG, GIF (first frame) and BMP in the JVM; colour profiles and EXIF
+    orientations come from the files' bytes, and pixels are converted to sRGB and turned upright.  A file
+    that cannot be read is a row with a code, and the job goes on.  Files are rows here; rasters that are too
+    large for that are cut by ``cut_bmp``.
+    """
+    seen = spark.read.format("image").option("ignoreMissingFiles", True).load(paths)
+    pixels = seen.select(plain_path(F.regexp_replace("image.origin", "%20", " ")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
+
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents = [bytes(c) for c in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "orientation": list(map(K.exif_orientation, contents)), "icc": list(map(K.icc_profile, contents)), "error": ["DECODE_ERROR" if K.known_format(c) else "UNSUPPORTED_FORMAT" for c in contents]})
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    block = K.decode(bytes(content))
-                    out.append((path, block.shape[1], block.shape[0], block.tobytes(), None))
-                except K.FormatError as e:
-                    out.append((path, None, None, None, e.code))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "data", "error"]).astype({"width": "Int32", "height": "Int32"})
+            for t in batch.itertuples():
+                if not t.width or t.width <= 0:
+                    out.append((t.path, None, None, None, None, None, t.error))
+                    continue
+                raw = np.frombuffer(t.data, dtype=np.uint8).reshape(t.height, t.width, t.nChannels)
+                block = np.full((t.height, t.width, 4), 255, dtype=np.uint8)
+                block[..., :3] = raw[..., 2::-1] if t.nChannels >= 3 else raw
+                if t.nChannels == 4:
+                    block[..., 3] = raw[..., 3]
+                block, done = K.icc_to_srgb(block, t.icc)
+                block = K.oriented(block, t.orientation) if upright else block
+                out.append((t.path, block.shape[1], block.shape[0], block.tobytes(), t.orientation, done, None))
+            yield pd.DataFrame(out, columns=DECODED).astype({"width": "Int32", "height": "Int32", "orientation": "Int32", "converted": "boolean"})
+
+    told = read_files(spark, paths).mapInPandas(facts, "path string, orientation int, icc binary, error string")
+    return told.join(pixels, "path", "left").mapInPandas(finish, "path string, width int, height int, data binary, orientation int, converted boolean, error string")
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each row's ``content`` to ``root``/``name`` (names may have directories); returns name and bytes
+    when acted on.  A task that is run again writes the same files again."""
 
-    return read_files(spark, paths).mapInPandas(run, "path string, width int, height int, data binary, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                path = f"{base}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as f:
+                    f.write(bytes(content))
+            yield pd.DataFrame({"name": batch["name"], "bytes": [len(c) for c in batch["content"]]})
+
+    return files.select("name", "content").mapInPandas(run, "name string, bytes long")
 
 
 def exif_orientation(files: DataFrame) -> DataFrame:
-    """path and orientation (1 to 8) of files (path, content); 1 where there is no EXIF block."""
+    """path and orientation (1 to 8) of JPEG, PNG and TIFF files (path, content); 1 where there is none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "orientation": [K.exif_orientation(bytes(c)) if c is not None else 1 for c in batch["content"]]})
 
-    return files.select("path", F.substring("content", 1, 1 << 16).alias("content")).mapInPandas(run, "path string, orientation int")
+    return files.select("path", "content").mapInPandas(run, "path string, orientation int")
 
 
 def bmp_info(headers: DataFrame, max_side: int = DEFAULT.bmp_max_side) -> DataFrame:
@@ -89,20 +129,24 @@ def bmp_info(headers: DataFrame, max_side: int = DEFAULT.bmp_max_side) -> DataFr
     return headers.withColumn("error", error).withColumn("bmp", F.when(F.col("error").isNull(), info))
 
 
+def _opened(path: str):
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_file(at)
+
+
 def read_ranges(ranges: DataFrame) -> DataFrame:
     """Byte ranges (path, start, length) of large files: path, start, data; null where a file is missing or
-    short.  For storage that executors mount; objects behind a connector are read whole by ``read_files``."""
+    short.  Paths are local ones or URIs that Arrow's file systems know (file, hdfs, s3, gs, abfs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = []
             for path, start, length in zip(batch["path"], batch["start"], batch["length"]):
                 try:
-                    with open(path, "rb") as f:
-                        f.seek(int(start))
-                        raw = f.read(int(length))
+                    with _opened(path) as f:
+                        raw = f.read_at(int(length), int(start))
                     data.append(raw if len(raw) == length else None)
-                except OSError:
+                except (OSError, pa.ArrowInvalid):
                     data.append(None)
             yield batch[["path", "start"]].assign(data=data)
 
@@ -132,9 +176,8 @@ def cut_bmp(info: DataFrame, tile_size: int, partitions: int | None = None) -> D
             for t in batch.itertuples():
                 bmp = t.bmp if isinstance(t.bmp, dict) else t.bmp.asDict()
                 shape = {"width": bmp["width"], "bits": bmp["bits"], "stride": bmp["row_stride"]}
-                with open(t.path, "rb") as f:
-                    f.seek(t.start)
-                    band = K.bmp_rows(f.read(t.length), shape, t.rows, bmp["bottom_up"])
+                with _opened(t.path) as f:
+                    band = K.bmp_rows(f.read_at(t.length, t.start), shape, t.rows, bmp["bottom_up"])
                 out = []
                 for tx in range(-(-bmp["width"] // tile_size)):
                     block = band[:, tx * tile_size : (tx + 1) * tile_size]
@@ -144,6 +187,35 @@ def cut_bmp(info: DataFrame, tile_size: int, partitions: int | None = None) -> D
     return bands.mapInPandas(run, "image_id long, z int, tx int, ty int, width int, height int, data binary")
 
 
+def read_regions(rects: DataFrame) -> DataFrame:
+    """Rectangles of BMP files, scaled by nearest sampling: rect_id, width, height, data (RGBA).
+
+    ``rects``: rect_id, path, bmp, rx, ry, rw, rh, tw, th.  A rectangle is clamped to the image; outside it,
+    everything is zero.  Only the bytes of the wanted rows between its sides are read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t in batch.itertuples():
+                bmp = t.bmp if isinstance(t.bmp, dict) else t.bmp.asDict()
+                block = np.zeros((t.th, t.tw, 4), dtype=np.uint8)
+                w, h, size = min(t.rw, bmp["width"] - t.rx), min(t.rh, bmp["height"] - t.ry), bmp["bits"] // 8
+                if w > 0 and h > 0:
+                    columns = np.arange(t.tw) * w // t.tw
+                    with _opened(t.path) as f:
+                        for v in range(t.th):
+                            y = t.ry + v * h // t.th
+                            row = bmp["height"] - 1 - y if bmp["bottom_up"] else y
+                            raw = f.read_at(w * size, bmp["pixel_data_offset"] + row * bmp["row_stride"] + t.rx * size)
+                            block[v] = K.bmp_rows(raw, {"width": w, "bits": bmp["bits"], "stride": w * size}, 1, False)[0][columns]
+                out.append((t.rect_id, t.tw, t.th, block.tobytes()))
+            yield pd.DataFrame(out, columns=["rect_id", "width", "height", "data"])
+
+    wanted = rects.where("tw > 0 and th > 0").select("rect_id", "path", "bmp", "rx", "ry", "rw", "rh", "tw", "th")
+    return wanted.mapInPandas(run, "rect_id long, width int, height int, data binary")
+
+
 def thumbnails_sink(thumbs: DataFrame, path: str) -> None:
     """Append thumbnails (cache_key, size, content, ...) by size; the commit publishes them at once."""
     thumbs.write.mode("append").partitionBy("size").parquet(path)

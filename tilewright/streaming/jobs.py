@@ -31,41 +31,51 @@ def newest_scan(batch: DataFrame, known: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("name", "size", "modified_ms", "scanned_at"), F.struct("scanned_at", "modified_ms")).alias("r")).select("path", "r.*")
 
 
-def stream_thumbnails(requests: DataFrame, store_path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, delay: str = "10 minutes"):
+def stream_thumbnails(requests: DataFrame, store_path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Build what is requested and not stored yet, each key once; returns the running query.
 
-    ``requests``: cache_key, path, px, ts.  Repeats within the delay are dropped in state; older ones meet
-    the store, whose keys each batch is held against.  A batch that is run again finds its own keys and
-    writes nothing twice.
+    ``requests``: cache_key, path, px.  A batch's repeats are folded, and its keys are held against the store,
+    so no request is too late and no state grows.  A batch that is run again finds its own keys and writes
+    nothing twice.
     """
-    fresh = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["cache_key"])
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(store_path)
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        work = caching.cache_miss(batch, spark.read.parquet(store_path)) if there else batch
+        work = caching.request_dedup(batch).drop("waiting")
+        work = caching.cache_miss(work, spark.read.parquet(store_path)) if there else work
         build(work).write.mode("append").parquet(store_path)
 
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+#: Rows of a session that are in memory at once.
+FRAME_ROWS = 100_000
 
 
 def stream_lod(events: DataFrame) -> DataFrame:
     """session_id, event_id, level: each choice starts from the session's level kept in state.
 
     ``events``: session_id, event_id, ts, scale, max_level; rows of a batch are taken in order of
-    (ts, event_id).  A session's state is one number.
+    (ts, event_id).  A session's state is one number.  Frames of a session arrive unordered, so their numbers (28
+    bytes a row) are gathered and sorted, and its answers leave in pieces; a batch bounds them (the source's
+    limits, such as maxFilesPerTrigger, bound a batch).
     """
 
     def choose(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        levels = []
-        for scale, most in zip(rows["scale"].tolist(), rows["max_level"].tolist()):
-            level = views.next_level(scale, level, max(0, most))
-            levels.append(level)
+        held = [np.rec.fromarrays([f["ts"].to_numpy().astype("int64"), f["event_id"].to_numpy(), f["scale"].to_numpy("f8"), f["max_level"].to_numpy("i4")], names="ts,event_id,scale,most") for f in frames]
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.lexsort((rows["event_id"], rows["ts"]))]
+        for at in range(0, len(rows), FRAME_ROWS):
+            part, levels = rows[at : at + FRAME_ROWS], []
+            for scale, most in zip(part["scale"].tolist(), part["most"].tolist()):
+                level = views.next_level(scale, level, max(0, most))
+                levels.append(level)
+            yield pd.DataFrame({"session_id": key[0], "event_id": part["event_id"], "level": np.array(levels, dtype=np.int32)})
         state.update((level,))
-        yield pd.DataFrame({"session_id": key[0], "event_id": rows["event_id"], "level": np.array(levels, dtype=np.int32)})
 
     return events.groupBy("session_id").applyInPandasWithState(choose, "session_id long, event_id long, level int", "level int", "append", GroupStateTimeout.NoTimeout)
 
