@@ -62,10 +62,15 @@ def test_words_and_window_hashes():
     w = Words(pa.array(texts))
     assert [w.joined(d).decode() for d in range(6)] == ["", "a b", "x", "", "y", "é z"]
     same = Words(pa.array(["q a b c r", "a\n b c"]))
-    h = WindowHasher(same.canon)(same.start, same.end)
-    assert h[1] == h[5] and len(set(h.tolist())) == 5
-    pair = WindowHasher(same.canon)(same.start[[1, 5]], same.end[[3, 7]])
-    assert pair[0] == pair[1]
+    h = WindowHasher(same)
+    single = h(1, np.arange(8))
+    assert single[1] == single[5] and len(set(single.tolist())) == 5
+    assert h(3, np.array([1]))[0] == h(3, np.array([5]))[0] != h(3, np.array([0]))[0]
+    sizes = Words(pa.array([" ".join("abcdefgh"[:n] * k for n in range(1, 9) for k in (1, 2, 3, 9)), "abcdefgh" * 2 + "i"]))
+    got = {}
+    for k, v in enumerate(WindowHasher(sizes)(1, np.arange(len(sizes.start))).tolist()):
+        got.setdefault(v, set()).add(sizes.canon[sizes.start[k] : sizes.end[k]].tobytes())
+    assert all(len(w) == 1 for w in got.values())
 
 
 def test_exact_dedup(make_docs, corpus):
@@ -181,3 +186,25 @@ def test_substring_odd_rows(make_docs):
     cut = substring.cut_repeats(make_docs([text, "x " + text, None]).withColumnRenamed("source", "kept_text")).orderBy("doc_id").collect()
     assert [(r["text"], r["n_chars"], r["kept_text"]) for r in cut] == [(text, len(text), "s"), ("x", 1, "s"), (None, None, "s")]
     assert substring.substring_dedup(make_docs([])).count() == 0
+
+
+def test_substring_compares_words(make_docs):
+    """Words that collide under any polynomial hash modulo a power of two stay apart."""
+    thue_morse = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    tail = " ".join(f"w{i}" for i in range(19))
+    texts = [f"{thue_morse} {tail}", f"{thue_morse.translate(str.maketrans('ab', 'ba'))} {tail}"]
+    assert [r["n_removed"] for r in substring.substring_dedup(make_docs(texts)).collect()] == [0, 0]
+
+
+def test_substring_many_null_identifiers(make_docs):
+    """Rows without an identifier are as many keys as texts: nothing is gathered for all of them together."""
+    texts = [" ".join(f"w{d}x{i}" for i in range(200)) + f" last{k}" for d in range(2000) for k in range(2)]
+    rows = substring.substring_dedup(make_docs(texts, ids=[None] * len(texts))).collect()
+    # of each two, the one with the smaller text hash keeps its words, the other loses all but its last
+    assert sorted(r["n_removed"] for r in rows) == [0] * 2000 + [200] * 2000
+
+
+def test_substring_one_long_text(make_docs):
+    long = " ".join(f"w{i % 70000}" for i in range(200_000))
+    rows = substring.substring_dedup(make_docs(["short", long, "before " + long])).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in rows] == [0, 130_000, 200_000]

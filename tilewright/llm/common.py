@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
 
-__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "documents", "gather", "id_order", "materialize", "mix", "scratch_path", "slices", "text_or_empty"]
+__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "documents", "gather", "id_order", "materialize", "mix", "scratch_path", "slices", "small_batches", "text_or_empty"]
 
 #: ``[\x20\x09-\x0D]``: the white space that separates words.
 WS = " \t\n\x0b\x0c\r"
@@ -22,6 +25,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 MAX_LONG = (1 << 63) - 1
+#: Bytes of one Arrow batch of documents.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,16 +45,34 @@ def text_or_empty(text_col: str) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``max_bytes`` of ``column`` (a single long value may
     hold more): what NumPy allocates for a slice stays bounded whatever the batch size is."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = byte_offsets(batch.column(column))[0]
-        at = 0
-        while at < batch.num_rows:
-            upto = int(np.searchsorted(ends, ends[at] + max_bytes, side="left"))
-            upto = min(max(upto, at + 1), batch.num_rows)
-            yield batch.slice(at, upto - at)
-            at = upto
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = byte_offsets(batch.column(column))[0]
+            at = 0
+            while at < batch.num_rows:
+                upto = int(np.searchsorted(ends, ends[at] + max_bytes, side="left"))
+                upto = min(max(upto, at + 1), batch.num_rows)
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for their next task beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
+    """Bound the bytes of one Arrow batch that goes to Python (a session setting) where it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).rstrip("b")
+    if size.isdigit() and int(size) > max_bytes:
+        spark.conf.set(key, str(max_bytes))
 
 
 def byte_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,28 +97,28 @@ class Words:
     """The words of a slice of texts.
 
     ``canon``: all words, each followed by one space.  ``start[k]``, ``end[k]``: word ``k`` in ``canon``.
-    ``first[d]:first[d + 1]``: the words of text ``d``.
+    ``first[d]:first[d + 1]``: the words of text ``d``.  Takes about 5 bytes for each byte of text and 24 for
+    each word, so a long text costs about ten times its size.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False) -> None:
         offsets, raw = byte_offsets(texts)
-        if lower:
-            raw = _LOWER[raw]
+        raw = np.insert(raw, offsets[1:], 0x20)  # a text's last word ends with it
+        offsets = offsets + np.arange(len(offsets))
         black = ~_IS_SPACE[raw]
         begins = black.copy()
         begins[1:] &= ~black[:-1]
-        inner = offsets[(offsets > 0) & (offsets < len(raw))]
-        begins[inner] = black[inner]  # a text's first byte starts a word of its own
-        at = np.flatnonzero(begins)
-        word_of = np.cumsum(begins, dtype=np.int64) - 1
-        where = np.flatnonzero(black)
-        self.canon = np.full(len(where) + len(at), 0x20, dtype=np.uint8)
-        to = np.arange(len(where), dtype=np.int64) + word_of[where]
-        self.canon[to] = raw[where]
-        rank = np.searchsorted(where, at)
-        self.start = rank + np.arange(len(at), dtype=np.int64)
-        self.end = np.append(self.start[1:] - 1, len(self.canon) - 1) if len(at) else self.start
-        self.first = np.searchsorted(at, offsets)
+        self.first = np.searchsorted(np.flatnonzero(begins), offsets)
+        stays = np.logical_or(black[1:], black[:-1], out=begins[1:])
+        begins[:1] = black[:1]
+        self.canon = raw[begins]
+        del stays
+        space = ~black[begins]
+        self.canon[space] = 0x20
+        if lower:
+            self.canon = _LOWER[self.canon]
+        self.end = np.flatnonzero(space)
+        self.start = np.append(0, self.end[:-1] + 1) if len(self.end) else self.end
         self.n = np.diff(self.first)
 
     def joined(self, d: int) -> bytes:
@@ -116,16 +139,15 @@ class WordMemo:
 
     def fetch(self, words: list[str], learn: Callable[[list[str]], Iterable]) -> list:
         """The words' values; ``learn`` gives those of unknown words, in order."""
-        new, old, unknown = self.new, self.old, []
-        for w in words:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    unknown.append(w)
-        if unknown:
-            new.update(zip(unknown, learn(unknown)))
-        found = [new[w] for w in words]
+        new = self.new
+        found = list(map(new.get, words))
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            old = list(map(self.old.get, map(words.__getitem__, missing)))
+            unknown = [k for k, v in zip(missing, old) if v is None]
+            learned = iter(learn([words[k] for k in unknown])) if unknown else iter(())
+            for k, v in zip(missing, old):
+                found[k] = new[words[k]] = next(learned) if v is None else v
         if len(new) > self.limit:
             self.new, self.old = {}, new
         return found
@@ -142,39 +164,50 @@ def gather(pieces: list[bytes], codes: np.ndarray, ends: np.ndarray) -> tuple[np
     return flat[np.repeat(begin[codes] - upto[:-1], of) + np.arange(upto[-1])], upto[ends]
 
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        inverse = pow(base, -1, 1 << 64)
-        size = max(n, 1 << 16)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+def word_hashes(words: Words) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes, mixed, up to 16 bytes; XXH64 of longer words."""
+    size = words.end - words.start
+    padded = np.append(words.canon, np.zeros(16, dtype=np.uint8))
+    eights = np.ndarray(len(words.canon) + 8, dtype="<u8", buffer=padded, strides=(1,))
+    full = np.uint64((1 << 64) - 1)
+    shift = np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+    h = eights[words.start] & (full >> shift)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    more = np.flatnonzero(size > 8)
+    shift = np.uint64(64) - np.minimum(size[more] - 8, 8).astype(np.uint64) * np.uint64(8)
+    h[more] += eights[words.start[more] + 8] & (full >> shift)
+    h += size.astype(np.uint64) << np.uint64(56)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    for k in np.flatnonzero(size > 16).tolist():
+        h[k] = xxhash.xxh64_intdigest(words.canon[words.start[k] : words.end[k]])
+    return h
 
 
 class WindowHasher:
-    """Hashes of byte ranges of one array in constant time each, from prefix sums modulo 2^64."""
-
-    def __init__(self, data: np.ndarray, seed: int = 0) -> None:
-        power, self.inverse = _powers(_ODD[seed], len(data) + 1)
-        values = data.astype(np.uint64)
-        values += np.uint64(1 + 512 * seed)
-        values *= power[:-1]
-        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values, out=self.prefix[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(_ODD[1]))
+    """64-bit hashes of runs of consecutive words.  Windows are put together from halves by mixing steps that
+    are not linear, so that no rearrangement of words cancels out."""
+
+    def __init__(self, words: Words) -> None:
+        self.spans = {1: word_hashes(words)}
+
+    def _span(self, size: int) -> np.ndarray:
+        if size not in self.spans:
+            left = 1 << (size - 1).bit_length() - 1  # the largest power of two below size
+            a, b = self._span(left), self._span(size - left)
+            n = max(len(self.spans[1]) - size + 1, 0)
+            x = (a[:n] + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x += b[left : left + n]
+            x *= np.uint64(0xC2B2AE3D27D4EB4F)
+            x ^= x >> np.uint64(29)
+            self.spans[size] = x
+        return self.spans[size]
+
+    def __call__(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Signed hashes of the windows of ``size`` words that begin at the words ``at``."""
+        return mix(self._span(size)[at])
 
 
 def mix(h: np.ndarray) -> np.ndarray:

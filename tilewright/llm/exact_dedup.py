@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WS_CLASS, id_order, materialize, text_or_empty
 
 RADIX = 16
-_KEY = ["digest", "sha", "n_bytes"]
+KEY = ["digest", "sha", "n_bytes"]
 
 
 def normalized_text(text_col: str) -> Column:
@@ -46,9 +46,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sorted run for each batch: equal entries folded, smallest (ord, line) kept."""
     for batch in batches:
-        table = pa.Table.from_batches([batch]).sort_by([(k, "ascending") for k in (*_KEY, "ord", "line")])
-        folded = table.group_by(_KEY, use_threads=False).aggregate([("ord", "first"), ("line", "first"), ("ord", "count")])
-        folded = folded.rename_columns([*_KEY, "ord", "line", "n"]).select([*_KEY, "ord", "line", "n"])
+        table = pa.Table.from_batches([batch]).sort_by([(k, "ascending") for k in (*KEY, "ord", "line")])
+        folded = table.group_by(KEY, use_threads=False).aggregate([("ord", "first"), ("line", "first"), ("ord", "count")])
+        folded = folded.rename_columns([*KEY, "ord", "line", "n"]).select([*KEY, "ord", "line", "n"])
         yield from folded.combine_chunks().to_batches()
 
 
@@ -63,7 +63,7 @@ def tree_merge(narrow: DataFrame, radix: int = RADIX) -> DataFrame:
     while base**rounds < wanted:  # the smallest base that gives enough nodes in so many rounds
         base += 1
     nodes = base**rounds
-    runs = narrow.select(*_KEY, "ord", "line").mapInArrow(_first_runs, "digest long, sha binary, n_bytes long, ord long, line long, n long")
+    runs = narrow.select(*KEY, "ord", "line").mapInArrow(_first_runs, "digest long, sha binary, n_bytes long, ord long, line long, n long")
     runs = runs.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(nodes)))
     place = F.pmod(F.col("digest"), F.lit(nodes).cast("long")).cast("int")
     for r in range(rounds):
@@ -72,10 +72,10 @@ def tree_merge(narrow: DataFrame, radix: int = RADIX) -> DataFrame:
         runs = runs.withColumn("node", (F.col("node") + (digit(place) - digit(F.col("node"))) * unit).cast("int"))
         runs = (
             runs.repartitionById(nodes, F.col("node"))
-            .sortWithinPartitions("node", *_KEY)
-            .groupBy("node", *_KEY)
+            .sortWithinPartitions("node", *KEY)
+            .groupBy("node", *KEY)
             .agg(F.min(F.struct("ord", "line")).alias("low"), F.sum("n").alias("n"))
-            .select("node", *_KEY, F.col("low.ord").alias("ord"), F.col("low.line").alias("line"), "n")
+            .select("node", *KEY, F.col("low.ord").alias("ord"), F.col("low.line").alias("line"), "n")
         )
     return runs.drop("node")
 
@@ -92,9 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     narrow = materialize(digests(docs, id_col, text_col), "digests")
     merged = tree_merge(narrow)
-    won = merged.select(*_KEY, F.col("ord").alias("low_ord"), F.col("line").alias("low_line"), F.col("n").alias("group_size"))
+    won = merged.select(*KEY, F.col("ord").alias("low_ord"), F.col("line").alias("low_line"), F.col("n").alias("group_size"))
     # A group of copies is one key here: both sides are plain shuffled inputs, which adaptive execution splits.
-    joined = narrow.join(won, _KEY)
+    joined = narrow.join(won, KEY)
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("low_ord") == F.lit((1 << 63) - 1), F.when(F.col("id").isNotNull(), F.col("id"))).otherwise(F.col("low_ord")).alias("keep_id"),
