@@ -112,32 +112,54 @@ def parse_telemetry(spark, sf_dir):
     return found.select("id", "event", "probe_ms", "count", F.col("raw").isNotNull().alias("raw"))
 
 
+#: Addresses of every shape, as one SQL text for both engines.
+_URLS = """SELECT event_id AS id, CASE event_id % 12
+    WHEN 0 THEN 'app://localhost/tile/' || CAST(user_id AS STRING) || '/' || CAST(event_id % 6 AS STRING) || '/' || CAST(event_id % 50 AS STRING) || '/3?v=2'
+    WHEN 1 THEN '/preview/' || CAST(user_id AS STRING) || '?t=1'
+    WHEN 2 THEN 'app://localhost/tile/' || CAST(user_id AS STRING) || '/x/1/2'
+    WHEN 3 THEN 'app://localhost/tile/1/2'
+    WHEN 4 THEN 'https://tile.localhost//tile//' || CAST(user_id AS STRING) || '/' || CAST(event_id % 9 AS STRING) || '/0/' || CAST(event_id AS STRING) || '/#top'
+    WHEN 5 THEN 'tile/' || CAST(user_id AS STRING) || '/+1/2/3'
+    WHEN 6 THEN '/tile/' || CAST(user_id AS STRING) || '/-1/2/3'
+    WHEN 7 THEN '/tile/' || CAST(user_id AS STRING) || '/1/2/' || CAST(event_id * 1000003 + 2147483648 AS STRING)
+    WHEN 8 THEN 'app://host/preview/' || CAST(user_id AS STRING) || '/more'
+    WHEN 9 THEN 'app://host/Tile/1/2/3/4'
+    WHEN 10 THEN ''
+    ELSE 'app://localhost/preview/' || CAST(event_id * 7919 AS STRING) || '/' END AS url FROM events"""
+
+
 @query(
-    """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'tile' WHEN 1 THEN 'preview' ELSE 'not_found' END AS kind, CASE WHEN event_id % 4 < 2 THEN user_id END AS session, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 6 AS INT) END AS z,
-    CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 50 AS INT) END AS tx, CASE WHEN event_id % 4 = 0 THEN 3 END AS ty FROM events"""
+    rf"""WITH u AS ({_URLS}), p AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM u),
+    n AS (SELECT id, parts[1] AS head, len(parts) AS n, len(list_filter(parts[2:], lambda x: NOT regexp_matches(x, '^\+?[0-9]+$'))) = 0 AS digits,
+          TRY_CAST(parts[2] AS BIGINT) AS session, TRY_CAST(parts[3] AS INT) AS z, TRY_CAST(parts[4] AS INT) AS tx, TRY_CAST(parts[5] AS INT) AS ty FROM p),
+    k AS (SELECT *, CASE WHEN head = 'tile' AND n = 5 AND digits AND session + z + tx + ty IS NOT NULL THEN 'tile' WHEN head = 'preview' AND n = 2 AND digits AND session IS NOT NULL THEN 'preview' ELSE 'not_found' END AS kind FROM n)
+    SELECT id, kind, CASE WHEN kind <> 'not_found' THEN session END AS session, CASE WHEN kind = 'tile' THEN z END AS z, CASE WHEN kind = 'tile' THEN tx END AS tx, CASE WHEN kind = 'tile' THEN ty END AS ty FROM k"""
 )
 def parse_tile_url(spark, sf_dir):
-    i, s = F.col("event_id"), F.col("user_id").cast("string")
-    url = (
-        F.when(i % 4 == 0, F.concat(F.lit("app://localhost/tile/"), s, F.lit("/"), (i % 6).cast("string"), F.lit("/"), (i % 50).cast("string"), F.lit("/3?v=2")))
-        .when(i % 4 == 1, F.concat(F.lit("/preview/"), s, F.lit("?t=1")))
-        .when(i % 4 == 2, F.concat(F.lit("app://localhost/tile/"), s, F.lit("/x/1/2")))
-        .otherwise(F.lit("app://localhost/tile/1/2"))
-    )
-    return table(spark, sf_dir, "events").select(i.alias("id"), N.parse_tile_url(url).alias("u")).select("id", *[F.col(f"u.{c}") for c in ("kind", "session", "z", "tx", "ty")])
+    urls = spark.sql(_URLS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return urls.select("id", N.parse_tile_url(F.col("url")).alias("u")).select("id", *[F.col(f"u.{c}") for c in ("kind", "session", "z", "tx", "ty")])
+
+
+#: What probes print, with names that look like sizes, as one SQL text for both engines.
+_PROBED = """SELECT p_partkey AS id, CASE p_partkey % 7
+    WHEN 0 THEN '/a/2x3b/img.heic: ' || CAST(p_partkey % 9000 + 1 AS STRING) || 'x' || CAST(p_size AS STRING) || ' uchar, 3 bands'
+    WHEN 1 THEN '/a/b.heic' || chr(10) || '  pixelWidth: ' || CAST(p_partkey % 9000 + 1 AS STRING) || chr(10) || '  pixelHeight: ' || CAST(p_size AS STRING) || chr(10)
+    WHEN 2 THEN CAST(p_partkey % 9000 + 1 AS STRING) || 'x' || CAST(p_size AS STRING) || ',srgb'
+    WHEN 3 THEN p_name || ' 0x7 ' || CAST(p_partkey AS STRING) || 'x' || CAST(p_size AS STRING)
+    WHEN 4 THEN 'pixelWidth: ' || CAST(p_partkey AS STRING) || chr(10) || 'pixelHeight: none' || chr(10) || ' 12x' || CAST(p_size AS STRING)
+    WHEN 5 THEN p_name || ': ' || CAST(p_partkey AS STRING) || 'x' || CAST(p_size AS STRING) || 'x3'
+    ELSE '/a/2x3b/img.heic: failed' END AS text FROM part"""
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 9000 + 1 AS INT) END AS width, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size AS INT) END AS height FROM part")
+@query(
+    rf"""WITH t AS ({_PROBED}), k AS (SELECT id, TRY_CAST(nullif(regexp_extract(text, '(?m)^\s*pixelWidth:\s*([0-9]+)\s*$', 1), '') AS INT) AS pw, TRY_CAST(nullif(regexp_extract(text, '(?m)^\s*pixelHeight:\s*([0-9]+)\s*$', 1), '') AS INT) AS ph,
+          string_split(list_filter(regexp_split_to_array(text, '[\s,]+'), lambda x: regexp_matches(x, '^[0-9]{{1,9}}x[0-9]{{1,9}}$'))[1], 'x') AS size FROM t),
+    r AS (SELECT id, coalesce(pw, TRY_CAST(size[1] AS INT)) AS w, coalesce(ph, TRY_CAST(size[2] AS INT)) AS h FROM k)
+    SELECT id, CASE WHEN h IS NOT NULL THEN w END AS width, CASE WHEN w IS NOT NULL THEN h END AS height FROM r"""
+)
 def parse_dimensions(spark, sf_dir):
-    i = F.col("p_partkey")
-    w, h = (i % 9000 + 1).cast("string"), F.col("p_size").cast("string")
-    text = (
-        F.when(i % 4 == 0, F.concat(F.lit("/a/2x3b/img.heic: "), w, F.lit("x"), h, F.lit(" uchar, 3 bands")))
-        .when(i % 4 == 1, F.concat(F.lit("/a/b.heic\n  pixelWidth: "), w, F.lit("\n  pixelHeight: "), h, F.lit("\n")))
-        .when(i % 4 == 2, F.concat(w, F.lit("x"), h, F.lit(",srgb")))
-        .otherwise(F.lit("/a/2x3b/img.heic: failed"))
-    )
-    return table(spark, sf_dir, "part").select(i.alias("id"), N.parse_dimensions(text).alias("d")).select("id", "d.width", "d.height")
+    printed = spark.sql(_PROBED.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return printed.select("id", N.parse_dimensions(F.col("text")).alias("d")).select("id", "d.width", "d.height")
 
 
 @query(
