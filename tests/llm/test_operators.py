@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tilewright.llm import langid, packing, quality_bayes, quality_rules, sentencepiece_codec, sharding, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["Ünïcödé WORDS, don't stop! it's 3rd... (a)b.c d", "İstanbul ŒUVRE étude", "<|endoftext|> x", "a\x00b", "ß ſ ǅ ª", "漢字 かな 😀😀", "x" * 300, "a.b,c;d. e, f.", "'s 're it'll"]
+ODD = ["<|ENDOFTEXT|> x", "X<|EndOfText|>Y. <|StartOfText|>! a<|endoftext|>B, <|startoftext|>..", "E\u0301t\u00e9\u0301! o\u0301'' A.\u0301 na\u00efve?!)", "<||> a<| |>b. <|endoftext|", "Ünïcödé WORDS, don't stop! it's 3rd... (a)b.c d", "İstanbul ŒUVRE étude", "<|endoftext|> x", "a\x00b", "ß ſ ǅ ª", "漢字 かな 😀😀", "x" * 300, "a.b,c;d. e, f.", "'s 're it'll"]
 
 
 # Packing
@@ -44,6 +45,16 @@ def test_word_tokenizer_equals_library(tokenizer, corpus):
                 assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_word_tokenizer_on_random_texts(tokenizer):
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "the", "The", "ÉCOLE", "straße", "İx", "3", "42", "'s", "'LL", ".", ",!", "***", "&&&", "-", "é", "e\u0301", "\u00a0", "漢", "😀", "\x00", "_", "ß", "ǅ"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "\t "]) for _ in range(rng.randint(0, 12))) for _ in range(30_000)]
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids, ends = own.encode(pa.array(texts, type=pa.string()))
+    for t, e, a, b in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), ends[:-1], ends[1:]):
+        assert ids[a:b].tolist() == e.ids, t
+
+
 @pytest.mark.parametrize("window", [16, 256])
 def test_pack(make_docs, corpus, tokenizer, window):
     rows = packing.pack(make_docs(corpus), window=window, with_ids=True).collect()
@@ -81,11 +92,33 @@ def test_shard_ranks_by_bm25():
         weight = lambda i, t: idf[t] * tf[i][t] * 2.2 / (tf[i][t] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean))  # noqa: B023, E731
         score = [sum(weight(i, t) for t in tf[seed] if t in tf[i]) for i in range(len(docs))]
         ranked = shard.neighbours(seed)
-        assert len(tf[seed]) > packing.QUERY_TERMS or np.allclose([score[i] for i in ranked], sorted((x for x in score if x > 0), reverse=True))
+        assert np.allclose([score[i] for i in ranked], sorted((x for x in score if x > 0), reverse=True))
     shard.free[:39] = False
     assert set(shard.neighbours(0)) <= {39}
 
 
+def test_shard_of_long_documents():
+    """A document of which only the end is left to pack is still ranked by all its terms."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 60, size=rng.integers(5, 90)) for _ in range(30)]
+    idf = np.linspace(1, 3, 60)
+    plain = packing._Shard(docs, idf, 40.0)
+    whole = {k: np.unique(d, return_counts=True) for k, d in enumerate(docs) if len(d) > 32}
+    cut = packing._Shard([d[len(d) // 32 * 32 :] if k in whole else d for k, d in enumerate(docs)], idf, 40.0, whole)
+    assert len(whole) > 5 and all(plain.neighbours(k).tolist() == cut.neighbours(k).tolist() for k in range(30))
+    few = packing._Shard(docs, idf, 40.0, query_terms=1)
+    assert set(few.neighbours(3)) < set(plain.neighbours(3))
+
+
+def test_pack_one_long_text(make_docs, tokenizer):
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = packing.pack(make_docs(["a b", long, None]).withColumn("ids", F.lit(1)).withColumn("n", F.lit(2)), shard_docs=2).collect()
+    pieces = sorted((r["start"], r["length"], r["offset"], r["ids_crc32"]) for r in rows if r["doc_id"] == 1)
+    ids = token_ids(tokenizer, long)
+    assert sum(p[1] for p in pieces) == len(ids) and all(p[1:3] == (4096, 0) for p in pieces[: len(ids) // 4096])
+    assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, _, c in pieces)
+
+
 def test_pack_empty_and_repeated(make_docs):
     assert packing.pack(make_docs([])).count() == 0
     rows = packing.pack(make_docs(["a b", "a b", None], ids=[1, 1, None])).collect()
@@ -213,10 +246,57 @@ def test_language_id(spark, make_docs):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1000, 1001, 1002))
     assert got[None]["lang_pred"] == "en" and got[1003]["lang_pred"] == "en" and 0.5 < got[1003]["score"] < 0.9
+    wrong = sum(r["lang_pred"] != lang for i, _, lang in rows[:120] for r in [got[i]] if r["held_out"])
+    assert wrong == 0
     untrained = langid.identify(spark.createDataFrame(rows[:3], "doc_id long, text string, lang string").withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in untrained.collect()} == {"und"}
 
 
+def test_training_sample_is_bounded_and_whole(spark):
+    """Each language has its share, however few or many rows it has, and whether identifiers or rows repeat."""
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(7, f"repeat {i}", "fr") for i in range(300)] + [(9, "copy", "de")] * 500 + [(11, "one", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = docs.where(~langid._held_out("doc_id"))
+    got = {k: len(v) for k, v in langid.training_sample(docs, "doc_id", "text", "lang", per_language=50).items()}
+    there = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count_distinct("doc_id", "text").alias("n")).collect()}
+    assert got == {k: min(50, n) for k, n in there.items()} and got["en"] == 50
+    again = langid.training_sample(docs.repartition(7), "doc_id", "text", "lang", per_language=50)
+    assert again == langid.training_sample(docs, "doc_id", "text", "lang", per_language=50)
+
+
+def test_training_follows_the_gradient():
+    """One step of the field's log-likelihood against differences of it, by enumerating all label paths."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    scores, trans = rng.normal(size=(4, 1, 3)), rng.normal(size=(3, 3))
+
+    def mass(s, t):
+        return {p: np.exp(sum(s[i, 0, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))) for p in product(range(3), repeat=4)}
+
+    gamma = langid.forward_backward(scores, np.full(4, 1), trans)
+    weights = mass(scores, trans)
+    total = sum(weights.values())
+    for i in range(4):
+        for k in range(3):
+            assert abs(gamma[i, 0, k] - sum(w for p, w in weights.items() if p[i] == k) / total) < 1e-9
+            moved = scores.copy()
+            moved[i, 0, k] += 1e-6
+            assert abs((np.log(sum(mass(moved, trans).values())) - np.log(total)) / 1e-6 - gamma[i, 0, k]) < 1e-5
+    pairs = langid._pair_expectation(np.exp(scores - scores.max(axis=2, keepdims=True)), gamma, np.exp(trans - trans.max()))
+    for a, b in product(range(3), repeat=2):
+        want = sum(w * sum(x == a and y == b for x, y in zip(p, p[1:])) for p, w in weights.items()) / total
+        assert abs(pairs[a, b] - want) < 1e-6
+
+
+def test_word_features_by_hand():
+    """Affixes, n-grams and lexicon entries are features; words that share them share features."""
+    lexicon = {"maison": [0], "haus": [1]}
+    f = {w: set(langid.word_features(w, lexicon)) for w in ("maison", "maisons", "haus", "hausen", "q")}
+    assert len(f["maison"] & f["maisons"]) > len(f["maison"] & f["haus"]) and len(f["haus"] & f["hausen"]) >= 3
+    assert f["maison"] - set(langid.word_features("maison", {})) and all(0 <= x < langid.DIMENSIONS for v in f.values() for x in v)
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string"
@@ -284,6 +364,40 @@ def test_kd_shards(make_docs, shards):
         assert abs(sum(r["size"] for r in own) - total / shards) <= 0.02 * total / shards + 70
 
 
+def brute_tree(rows, dims, shards):
+    """Leaves of the k-d tree as sets of identifiers: exact weighted medians along the widest dimension."""
+    value = lambda r, d: r[d] >> sharding._TIE_BITS
+    width = lambda part, d: max(value(r, d) for r in part) - min(value(r, d) for r in part)
+    spread = {d: max(1, width(rows, d)) for d in dims}
+
+    def split(part, k):
+        if k == 1 or not part:
+            return [frozenset(r["id"] for r in part)]
+        dim = max(dims, key=lambda d: (width(part, d) / spread[d], d))
+        target, below = sum(r["size"] for r in part) * (k // 2) / k, 0
+        for key in sorted({r[dim] for r in part}):
+            size = sum(r["size"] for r in part if r[dim] == key)
+            if below + size >= target:
+                break
+            below += size
+        last = key - 1 if target - below < below + size - target else key
+        return split([r for r in part if r[dim] <= last], k // 2) + split([r for r in part if r[dim] > last], k - k // 2)
+
+    return split(rows, shards)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 24])
+def test_kd_shards_are_the_tree_leaves(make_docs, shards):
+    rng = np.random.default_rng(6)
+    docs = make_docs(["x" * int(n) for n in rng.integers(0, 400, size=600)]).withColumn("source", (F.col("doc_id") % 9 % 4).cast("string")).withColumn("shard", F.lit(1))
+    dims = ["by_size", "by_id", "by_source", "by_lang"]
+    rows = sharding._narrow(docs, "doc_id", "text", ("source", "lang")).collect()
+    got = {}
+    for r in sharding.kd_shards(docs, shards=shards, tolerance=0.0).collect():
+        got.setdefault(r["shard"], set()).add(r["doc_id"])
+    assert set(map(frozenset, got.values())) == set(brute_tree(rows, dims, shards))
+
+
 def test_kd_shards_odd_rows(make_docs):
     rows = sharding.kd_shards(make_docs([None, "", "a", "a", "a"], ids=[1, None, 2, 2, 3])).collect()
     assert sorted(r["size"] for r in rows) == [8, 8, 9, 9, 9] and all(0 <= r["shard"] < 24 for r in rows)
@@ -316,12 +430,36 @@ def test_hierarchical_quality(spark):
     assert {r["score"] for r in quality_bayes.classify(d, y.limit(0)).collect()} == {0.5}
 
 
+def test_held_out_quality(spark):
+    """On documents whose labels were kept back, the given tables: better than the more frequent label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null")
+    back = labels.where("pmod(crc32(cast(doc_id as string)), 5) = 0")
+    scored = quality_bayes.classify(docs, labels.join(back.select("doc_id"), "doc_id", "left_anti")).join(back, "doc_id")
+    got = scored.agg(F.count("*").alias("n"), F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int")).alias("right"), F.avg("quality").alias("base")).first()
+    print(got)
+    assert got["n"] > 50 and got["right"] > 0.95 > got["base"]
+
+
+def test_word_evidence_alone(spark):
+    """Documents alike in every ratio, told apart by their words only."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i:03d}" for i in range(400)]
+    text = lambda good: " ".join(rng.choice(vocabulary[:250] if good else vocabulary[150:], size=60))
+    docs = [(i, text(i % 2), "en", "h") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    rows = [r for r in quality_bayes.classify(d.withColumn("buckets", F.lit(1)), y).collect() if r["doc_id"] >= 300]
+    assert sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in rows) >= 95
+
+
 # Pipeline
 
 
 def test_pipeline(spark, make_docs, corpus, tmp_path):
     import corpus_pipeline
-    from tests.llm.test_dedup import brute_components, brute_substring, fingerprint
+    from tests.llm.test_dedup import brute_substring
+    from tests.llm.test_near import brute_survivors
 
     rng = np.random.default_rng(8)
     prose = lambda n: " ".join(rng.choice([*"the of and to in it was".split() * 6, *(f"word{i}" for i in range(400))], size=n))
@@ -336,9 +474,7 @@ def test_pipeline(spark, make_docs, corpus, tmp_path):
     assert {texts.index("short one"), texts.index("# | " * 100)}.isdisjoint(kept) and set(range(8)) <= set(kept)
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]) for i in kept}
     exact = [i for i in kept if i == min(j for j in kept if norm[j] == norm[i])]
-    points = {i: fingerprint(texts[i]) for i in exact}
-    label = brute_components(sorted(set(points.values())))
-    near = [i for i in exact if i == min(j for j in exact if label[points[j]] == label[points[i]])]
+    near = [exact[k] for k in sorted(brute_survivors([texts[i] for i in exact])[1])]
     want = brute_substring([texts[i] for i in near])
     current = good
     for name in ("exact_dedup", "simhash_near_dedup", "substring_dedup"):

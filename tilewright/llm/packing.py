@@ -5,15 +5,18 @@
 2. Document frequencies, number and mean length are summed over all documents.  Terms are token
    identifiers, so this table is never longer than the tokeniser's vocabulary.
 3. Documents are ranged by signature, which brings lexically similar ones together, and cut into shards of
-   bounded size; each shard builds its own inverted index with the global statistics.
-4. Per window: the seed's strongest terms query the shard's postings; the unused neighbours, best first, are
-   placed while they fit whole, and the best of the rest is cut to fill the window and seeds the next one.
+   ``shard_docs`` documents; each shard builds its own inverted index with the global statistics.  The leading
+   full windows of a long document are sequences as they are; its terms and its last tokens go on.
+4. Per window: the seed's terms query the shard's postings; the unused neighbours, best first, are placed while
+   they fit whole, and the best of the rest is cut to fill the window and seeds the next one.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, gather, materialize, slices, text_or_empty
+from .common import WordMemo, gather, materialize, slices, small_batches, text_or_empty
 
 WINDOW_TOKENS = 4096
 END_ID = 2
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 SHARD_DOCS = 2048
-SHARD_TOKENS = 8_000_000
 MEMO_WORDS = 150_000
+#: Bytes of identifiers in one packing task.
+TASK_BYTES = 8 << 20
+#: What the tokeniser's own added tokens begin with: they are matched before letters are lower-cased.
+ADDED = "<|"
 
 #: Up to this letter, letters are composed already and have one lower case (but for U+0130).
 LAST_LATIN = "\u024f"
@@ -52,6 +57,10 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        added = json.load(open(path))["added_tokens"]
+        if any(not t["content"].startswith(ADDED) or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"added tokens that begin with {ADDED} and take no white space are needed")
+
         self.whole = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
@@ -61,6 +70,11 @@ class WordTokenizer:
         self.memo = WordMemo(MEMO_WORDS)
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.alphabet: dict[str, str] = {}
+        self.plain = Tokenizer(self.whole.model)  # words already in the model's alphabet, parted by spaces
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.vocab_size, dtype=bool)
+        self.ends_word[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -75,24 +89,44 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        rest = []
-        tokenize = self.whole.model.tokenize
+        rest, simple, coded = [], [], []
         for w in words:
             if w.isascii() and w.isalpha():  # lower-cased before
-                found[w] = np.array([t.id for t in tokenize(w)], dtype=np.int32).tobytes()
+                simple.append(w)
+                coded.append(w)
             elif w.isalpha() and max(w) <= LAST_LATIN and "\u0130" not in w:
-                found[w] = np.array([t.id for t in tokenize("".join(map(self._in_bytes, w.lower())))], dtype=np.int32).tobytes()
+                simple.append(w)
+                coded.append("".join(map(self._in_bytes, w.lower())))
             else:
                 rest.append(w)
+        if simple:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(coded)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(simple):
+                raise ValueError("a word without a final piece")
+            raw = ids.tobytes()
+            found.update(zip(simple, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
         for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             found[w] = np.array(e.ids, dtype=np.int32).tobytes()
         return [found[w] for w in words]
 
+    @staticmethod
+    def _lowered(texts: pa.Array) -> pa.Array:
+        """ASCII letters lower-cased, but not in words that may hold an added token."""
+        texts = texts.fill_null("") if texts.null_count else texts
+        lowered = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, ADDED)
+        if not pc.any(special).as_py():
+            return lowered
+        kept = [re.sub(r"[^ \t\n\x0b\x0c\r]+", lambda m: m[0] if ADDED in m[0] else re.sub("[A-Z]+", lambda x: x[0].lower(), m[0]), t) for t in texts.filter(special).to_pylist()]
+        return pc.replace_with_mask(lowered, special, pa.array(kept, type=lowered.type))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers in one array, and the offsets of the texts in it."""
-        lowered = pc.ascii_lower(texts.fill_null("") if texts.null_count else texts)
-        # A letter followed by final punctuation: two tokens whatever comes between, so the words are fewer.
-        parted = pc.replace_substring_regex(lowered, r"([a-zß-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3")
+        lowered = self._lowered(texts)
+        # A letter followed by final marks: two tokens whatever comes between, so the words are fewer.  Not the
+        # marks that added tokens are made of.
+        parted = pc.replace_substring_regex(lowered, r"([a-zß-öø-ÿ])([!-;=?@\[-`{}~]+)(\s|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(parted)
         ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
@@ -146,36 +180,57 @@ def _sum_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 class _Shard:
-    """A bounded set of documents with its BM25 postings."""
+    """A bounded set of documents with its BM25 postings.  ``docs``: what is to be packed of each; ``whole``:
+    term identifiers and counts of those documents (by number) of which that is not all."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        self.docs = docs
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, whole: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, query_terms: int | None = None) -> None:
+        self.docs, self.query_terms, whole = docs, query_terms, whole or {}
         self.length = np.array([len(d) for d in docs], dtype=np.int64)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int64), self.length)
-        keys = np.sort((owner << 32) | np.concatenate(docs).astype(np.int64))
-        new = np.append(True, keys[1:] != keys[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(keys)))
-        keys = keys[at]
+        indexed = [d for k, d in enumerate(docs) if k not in whole]
+        owner = np.repeat(np.array([k for k in range(len(docs)) if k not in whole], dtype=np.int64), [len(d) for d in indexed])
+        keys = np.sort((owner << 32) | np.concatenate([*indexed, np.zeros(0, dtype=np.int64)]).astype(np.int64))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+        tf, keys = np.diff(np.append(at, len(keys))), keys[at]
+        if whole:
+            keys = np.concatenate([keys, *((np.int64(k) << 32) | terms.astype(np.int64) for k, (terms, _) in whole.items())])
+            tf = np.concatenate([tf, *(counts for _, counts in whole.values())])
+            order = np.argsort(keys)
+            keys, tf = keys[order], tf[order]
         self.doc, self.term = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
-        norm = K1 * (1 - B + B * self.length[self.doc] / max(mean_length, 1.0))
+        full = np.bincount(self.doc, weights=tf, minlength=len(docs))
+        norm = K1 * (1 - B + B * full[self.doc] / max(mean_length, 1.0))
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm)
         self.of_doc = np.searchsorted(self.doc, np.arange(len(docs) + 1))
         by_term = np.argsort(self.term, kind="stable")
         self.post_doc, self.post_weight = self.doc[by_term], self.weight[by_term]
         self.of_term = np.searchsorted(self.term[by_term], np.arange(len(idf) + 1))
+        # Terms of many documents are columns of a matrix; the others' postings are short.
+        self.column = np.full(len(idf), -1, dtype=np.int64)
+        common = np.flatnonzero(np.diff(self.of_term) > max(len(docs) // 16, 64))
+        self.column[common] = np.arange(len(common))
+        column = self.column[self.term]
+        self.matrix = np.zeros((len(docs), len(common)), dtype=np.float32)
+        self.matrix[self.doc[column >= 0], column[column >= 0]] = self.weight[column >= 0]
         self.free = np.ones(len(docs), dtype=bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a strong term with the seed, best first (ties: shard order)."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents of the shard for the seed's terms."""
         own = slice(self.of_doc[seed], self.of_doc[seed + 1])
         terms, weight = self.term[own], self.weight[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        if self.query_terms is not None and len(terms) > self.query_terms:
+            terms = terms[np.argpartition(-weight, self.query_terms)[: self.query_terms]]
+        column = self.column[terms]
+        asked = np.zeros(self.matrix.shape[1], dtype=np.float32)
+        asked[column[column >= 0]] = 1
+        terms = terms[column < 0]
         begin, end = self.of_term[terms], self.of_term[terms + 1]
         n = end - begin
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        score = np.bincount(self.post_doc[at], weights=self.post_weight[at], minlength=len(self.docs))
+        return np.bincount(self.post_doc[at], weights=self.post_weight[at], minlength=len(self.docs)) + self.matrix @ asked
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first (ties: shard order)."""
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & self.free)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -203,15 +258,15 @@ def _pack(shard: _Shard, window: int) -> list[list[tuple[int, int, int]]]:
             return sequences
         seed = rest[0] if rest else next_free
         rest = place(*(rest or (seed, 0)))
-        ranked = shard.neighbours(seed) if room else np.zeros(0, dtype=np.int64)
+        score = shard.scores(seed) if room else np.zeros(n)
         while room and rest is None:
-            ranked = ranked[shard.free[ranked]]
-            fits = ranked[shard.length[ranked] <= room]
-            if len(fits):
-                rest = place(int(fits[0]), 0)
-                continue
-            if len(ranked):
-                rest = place(int(ranked[0]), 0)
+            # the best unused neighbour that fits whole, or else the best there is, which is cut
+            unused = np.where(shard.free, score, 0.0)
+            best = int(np.argmax(np.where(shard.length <= room, unused, 0.0)))
+            if not unused[best] or shard.length[best] > room:
+                best = int(np.argmax(unused))
+            if unused[best]:
+                rest = place(best, 0)
                 continue
             while next_free < n and not shard.free[next_free]:
                 next_free += 1
@@ -244,60 +299,79 @@ def _split_tail(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 _PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack_rows(idf: np.ndarray, mean_length: float, window: int, wide: bool, with_ids: bool):
+def _pack_rows(idf: np.ndarray, mean_length: float, window: int, wide: bool, with_ids: bool, shard_docs: int, query_terms: int | None):
     kind = "<u4" if wide else "<u2"
+    names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
+
+    def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
+        """Pieces (id, start, part, document's length, sequence, offset) as rows."""
+        parts = [p[2].astype("<u4") for p in pieces]
+        cols = [[p[0] for p in pieces], [p[1] for p in pieces], list(map(len, parts)), [zlib.crc32(x.tobytes()) for x in parts], *([p[k] for p in pieces] for k in (3, 4, 5))]
+        made = [pa.array(c, type=pa.int64()) for c in cols]
+        if with_ids:
+            made.append(pa.array([x.astype(np.int32) for x in parts], type=pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(made, names=names)
 
-    def emit(ids: list, arrays: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        sequences = _pack(_Shard(arrays, idf, mean_length), window)
+    def emit(shard: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
+        """``shard``: (id, position of the rest, rest, document's length, terms with counts or None)."""
+        whole = {k: terms for k, (*_, terms) in enumerate(shard) if terms is not None}
+        sequences = _pack(_Shard([rest for _, _, rest, _, _ in shard], idf, mean_length, whole, query_terms), window)
         if sequences and sum(p[2] for p in sequences[-1]) < window:
             sequences[-1:] = _split_tail(sequences[-1])
-        cols: list[list] = [[] for _ in range(8)]
+        pieces = []
         for number, sequence in enumerate(sequences, first):
             offset = 0
             for d, at, n in sequence:
-                part = arrays[d][at : at + n].astype("<u4")
-                for c, v in zip(cols, (ids[d], at, n, zlib.crc32(part.tobytes()), len(arrays[d]), number, offset, part.astype(np.int32) if with_ids else None)):
-                    c.append(v)
+                i, start, rest, total, _ = shard[d]
+                pieces.append((i, start + at, rest[at : at + n], total, number, offset))
                 offset += n
-        names = [x.split()[0] for x in _PIECES.split(", ")]
-        made = [pa.array(c, type=pa.int64()) for c in cols[:7]]
-        if with_ids:
-            made.append(pa.array(cols[7], type=pa.list_(pa.int32())))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(made, names=names), first + len(sequences)
+        return batch_of(pieces), first + len(sequences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        ids: list = []
-        arrays: list[np.ndarray] = []
-        tokens = 0
+        shard: list[tuple] = []
         for batch in batches:
             for i, raw in zip(batch.column("id").to_pylist(), batch.column("ids")):
-                array = np.frombuffer(raw.as_buffer(), dtype=kind)
-                if arrays and (len(arrays) >= SHARD_DOCS or tokens + len(array) > SHARD_TOKENS):
-                    out, number = emit(ids, arrays, number)
+                ids, terms = np.frombuffer(raw.as_buffer(), dtype=kind), None
+                over = len(ids) // window * window  # tokens that fill windows of their own
+                for a in range(0, over, window * 256):
+                    cuts = range(a, min(a + window * 256, over), window)
+                    yield batch_of([(i, c, ids[c : c + window], len(ids), number + k, 0) for k, c in enumerate(cuts)])
+                    number += len(cuts)
+                if over == len(ids):
+                    continue
+                if over:
+                    terms = np.unique(ids, return_counts=True)
+                shard.append((i, over, ids[over:].copy(), len(ids), terms))
+                if len(shard) == shard_docs:
+                    out, number = emit(shard, number)
                     yield out
-                    ids, arrays, tokens = [], [], 0
-                ids.append(i)
-                arrays.append(array)
-                tokens += len(array)
-        if arrays:
-            yield emit(ids, arrays, number)[0]
+                    shard = []
+        if shard:
+            yield emit(shard, number)[0]
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_TOKENS, end_id: int = END_ID,
+    with_ids: bool = False, shard_docs: int = SHARD_DOCS, query_terms: int | None = None,
+) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens.
 
     ``tokenizer``: path of a ``tokenizers`` file that every executor can open; by default the public
-    word-level BPE.  Returns one row per piece: ``id_col``, start, length, ids_crc32, doc_tokens,
+    word-level BPE.  ``shard_docs``: documents of one index.  ``query_terms``: how many of the seed's strongest
+    terms query it; by default all.  Returns one row per piece: ``id_col``, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``with_ids`` the identifiers.  Pieces of a document cover it exactly
     once; sequences are full, but for the last of a shard, which is cut into lengths that are powers of two.
 
-    Null and empty texts are one piece: the end identifier.  Documents longer than a window are cut.
-    Repeated rows and null identifiers are packed like any other row.  An empty table gives no rows.
+    Null and empty texts are one piece: the end identifier.  Documents longer than a window are cut: their
+    leading windows are sequences, so a shard holds at most ``shard_docs * window`` tokens however long a text
+    is.  A text is encoded whole, in about 20 times its size of memory.  Repeated rows and null identifiers are
+    packed like any other row; neighbours of equal score come in shard order.  An empty table gives no rows.
+    Only the two named columns are read, so others cannot clash.
     """
+    small_batches(docs.sparkSession)
     if tokenizer is None:
         import public_tokenizers
 
@@ -305,13 +379,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     vocab = max(WordTokenizer.load(tokenizer).vocab_size, end_id + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     coded = materialize(rows.mapInArrow(_encode_rows(tokenizer, end_id), "id long, sig long, n long, ids binary, df binary"), "ids")
-    total = coded.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).first()
+    total = coded.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     counted = coded.where("df is not null").select("df").mapInArrow(_sum_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(vocab)
     for term, n in counted.collect():  # at most one row for each term of the vocabulary
         df[term] = n
     idf = np.log(1 + (total["docs"] - df + 0.5) / (df + 0.5))
-    ranged = coded.select("sig", "id", "ids", F.xxhash64("id", "ids").alias("h")).repartitionByRange("sig", "h").sortWithinPartitions("sig", "h", "id")
+    tasks = max(1, math.ceil(total["tokens"] * (4 if vocab > 1 << 16 else 2) / TASK_BYTES))
+    ranged = coded.select("sig", "id", "ids", F.xxhash64("id", "ids").alias("h")).repartitionByRange(tasks, "sig", "h").sortWithinPartitions("sig", "h", "id")
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    pieces = ranged.select("id", "ids").mapInArrow(_pack_rows(idf, total["mean"], window, vocab > 1 << 16, with_ids), schema)
+    pieces = ranged.select("id", "ids").mapInArrow(_pack_rows(idf, total["mean"], window, vocab > 1 << 16, with_ids, shard_docs, query_terms), schema)
     return pieces.withColumnRenamed("id", id_col)
