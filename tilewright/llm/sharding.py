@@ -51,7 +51,7 @@ def _node(tree: dict[int, tuple[str, int, int, int]], node: int = 0) -> Column:
     return F.when(F.col(dim) <= F.lit(cut), _node(tree, left)).otherwise(_node(tree, right))
 
 
-def _grow(rows: DataFrame, dims: list[str], shards: int) -> Column:
+def _grow(rows: DataFrame, dims: list[str], shards: int, tolerance: float) -> Column:
     """Split until each leaf is one shard; the shard number as a column."""
     want, serial, tree = {0: shards}, 1, {}
     spread: dict[str, int] = {}
@@ -62,10 +62,10 @@ def _grow(rows: DataFrame, dims: list[str], shards: int) -> Column:
         if not spread:
             spread = {d: max([1, *(r[f"max_{d}"] - r[f"min_{d}"] for r in ranges)]) for d in dims}
         plan = {}
-        for r in ranges:
+        for r in sorted(ranges, key=lambda r: r["node"]):
             k = want[r["node"]]
             dim = max(dims, key=lambda d: ((r[f"max_{d}"] - r[f"min_{d}"]) / spread[d], d))
-            plan[r["node"]] = {"dim": dim, "target": r["bytes"] * (k // 2) / k, "below": 0, "prefix": 0, "bits": 0, "slack": TOLERANCE * r["bytes"] / k}
+            plan[r["node"]] = {"dim": dim, "target": r["bytes"] * (k // 2) / k, "below": 0, "prefix": 0, "bits": 0, "slack": tolerance * r["bytes"] / k}
         key = F.lit(0).cast("long")
         for n, p in plan.items():
             key = F.when(F.col("node") == n, F.col(p["dim"])).otherwise(key)
@@ -108,23 +108,26 @@ def _grow(rows: DataFrame, dims: list[str], shards: int) -> Column:
 
 
 def kd_shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = SHARDS, target_bytes: int | None = None, categories: tuple[str, ...] = ("source", "lang")
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = SHARDS, target_bytes: int | None = None, categories: tuple[str, ...] = ("source", "lang"), tolerance: float = TOLERANCE
 ) -> DataFrame:
     """Put every row into a shard of nearly equal bytes (text in UTF-8 plus 8).
 
     ``shards``: number of leaves, or None to recur until leaves reach ``target_bytes``.  ``categories``:
-    metadata columns beside size and identifier.  Returns one row per input row: ``id_col``, size,
+    metadata columns beside size and identifier.  ``tolerance``: the share of a shard's bytes by which a split
+    may miss its median.  The tree is built by the driver, from at most 4096 sums for each open node, and is one
+    expression, so it is meant for thousands of shards at most.  Returns one row per input row: ``id_col``, size,
     text_crc32, law ("bytes"), shard, slot (gapless from 0 in each shard) and grown_shard (null).
 
     Null text is empty; null metadata is a value like any other.  Equal metadata is told apart by a hash of
     identifier and text, so a hot source or group of copies is split like anything else; rows equal in
-    identifier and text stay in one shard.  An empty table gives no rows.
+    identifier and text stay in one shard.  An empty table gives no rows.  Of a long text only size and checksum
+    are taken.  Only the named columns are read, so others cannot clash.
     """
     rows = materialize(_narrow(docs, id_col, text_col, categories), "metadata")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     if shards is None:
         shards = max(1, -(-total["bytes"] // (target_bytes or 1 << 30)))
-    shard = _grow(rows, ["by_size", "by_id", *(f"by_{c}" for c in categories)], shards)
+    shard = _grow(rows, ["by_size", "by_id", *(f"by_{c}" for c in categories)], shards, tolerance)
     blocks = max(1, -(-total["n"] // (shards * BLOCK_ROWS)))
     placed = rows.select("id", "ord", "size", "crc", "h", shard.alias("shard"), F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
     # Slots: rows before a block in its shard (a table of shards x blocks rows), plus the place in the block.
