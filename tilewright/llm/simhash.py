@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, Words, id_order, materialize, slices, text_or_empty
+from .common import MAX_LONG, Words, id_order, materialize, slices, small_batches, text_or_empty
 from .components import connected_components
 
 MAX_DISTANCE = 3
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [*(batch.column(c) for c in ("id", "ord", "th")), pa.array(simhash_batch(batch.column("text"), shingle_words))], names=["id", "ord", "th", "fp"]
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), id_order(id_col).alias("ord"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     return rows.mapInArrow(run, "id long, ord long, th long, fp long")
 
@@ -150,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``max_distance`` or fewer bits, itself included.  Null or wordless text has fingerprint zero and is
     linked like any other.  Repeated rows share a fingerprint, so a component.  A null identifier sorts
     last: component_id is null only where a whole component has none.  An empty table gives no rows.
-    Only the two named columns are read, so other columns cannot clash.
+    Only the two named columns are read, so other columns cannot clash.  A long text is worked on whole.
     """
     found = _grouped(docs, id_col, text_col, max_distance, shingle_words, bucket_limit)
     return found.select(
