@@ -69,6 +69,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 
+
+def _quality_sql() -> str:
+    """op10 in DuckDB: the same counts, ratios, shrinkage and odds."""
+    bins = quality_bayes.BINS
+    of = {"symbols": ("symbols", "chars"), "upper": ("upper", "chars"), "stops": ("stops", "n"), "repeats": ("repeats", "n"), "pipes": ("pipes", "n"), "marks": ("marks", "n"), "length": ("chars", "n")}
+    binned = ", ".join(f"CASE WHEN {d} > 0 THEN {' + '.join(f'CAST(100 * {c} > {b} * {d} AS INT)' for b in bins[f])} ELSE -1 END AS {f}" for f, (c, d) in of.items())
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS feature, {len(bounds) + 2} AS width, {f} AS bin, y FROM known" for f, bounds in bins.items())
+    evidence = " + ".join(f"coalesce((SELECT ratio FROM cells WHERE feature = '{f}' AND cells.bin = r.{f}), 0)" for f in bins)
+    low, high, weight, scale = quality_bayes.MIN_STRENGTH, quality_bayes.MAX_STRENGTH, quality_bayes.WORD_WEIGHT, quality_bayes.WORD_SCALE
+
+    def strength(sites: str) -> str:
+        """Of a table (n, k, mean)."""
+        return f"""(SELECT CASE WHEN labels IS NULL OR labels = 0 OR scale <= 0 OR between_ - noise <= 0 THEN {high}::DOUBLE
+            ELSE least({high}::DOUBLE, greatest({low}::DOUBLE, scale / labels / ((between_ - noise) / greatest(free, 1)) - 1)) END
+            FROM (SELECT sum(n * pow(k / n::DOUBLE - mean, 2)) AS between_, sum(mean * (1 - mean)) AS noise, sum(n - 1) AS free, sum(n * mean * (1 - mean)) AS scale, sum(n) AS labels FROM {sites} WHERE n > 1))"""
+
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(lang, '') AS path, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             m AS (SELECT doc_id, host, path, len(words) AS n, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS chars, length(regexp_replace(text, '[^#*$%&<>]+', '', 'g')) AS symbols,
+                          length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS upper, len(list_filter(words, lambda w: list_contains([{_STOP}], w))) AS stops, len(words) - len(list_distinct(words)) AS repeats,
+                          length(regexp_replace(text, '[^|]+', '', 'g')) AS pipes, length(regexp_replace(text, '[^!?]+', '', 'g')) AS marks,
+                          list_distinct(list_transform(list_distinct(words), lambda w: CAST('0x' || substring(md5(w), 1, 3) AS INT))) AS buckets FROM d),
+             r AS (SELECT doc_id, host, path, buckets, {binned} FROM m),
+             known AS (SELECT r.*, quality AS y FROM r JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+             t AS (SELECT count(*)::DOUBLE AS n, coalesce(sum(y), 0)::DOUBLE AS k, (coalesce(sum(y), 0) + 1) / (count(*) + 2)::DOUBLE AS prior FROM known),
+             cells AS (SELECT feature, bin, ln(((good + 1) / (t.k + width)) / ((c.n - good + 1) / (t.n - t.k + width))) AS ratio FROM (SELECT feature, width, bin, sum(y)::DOUBLE AS good, count(*)::DOUBLE AS n FROM ({cells}) GROUP BY ALL) c, t),
+             words AS (SELECT bucket, floor({scale} * ln(((good + 1) / (t.k + 2)) / ((w.n - good + 1) / (t.n - t.k + 2))) + 0.5)::INT AS ratio
+                       FROM (SELECT bucket, sum(y)::DOUBLE AS good, count(*)::DOUBLE AS n FROM (SELECT y, unnest(buckets) AS bucket FROM known) GROUP BY bucket) w, t),
+             said AS (SELECT key, {weight} * coalesce(sum(ratio), 0) / ({scale} * count(*))::DOUBLE AS ratio FROM (SELECT key, unnest(buckets) AS bucket FROM (SELECT DISTINCT buckets, hash(buckets) AS key FROM r)) LEFT JOIN words USING (bucket) GROUP BY key),
+             h1 AS (SELECT host, count(*) AS n, sum(y) AS k, (SELECT prior FROM t) AS mean FROM known GROUP BY host),
+             h2 AS (SELECT host, n AS n_host, (k + s * mean) / (n + s) AS host_mean FROM h1, (SELECT {strength('h1')} AS s)),
+             p1 AS (SELECT known.host, path, count(*) AS n, sum(y) AS k, any_value(host_mean) AS mean FROM known JOIN h2 ON known.host = h2.host GROUP BY known.host, path),
+             p2 AS (SELECT host, path, n AS n_path, (k + s * mean) / (n + s) AS path_mean FROM p1, (SELECT {strength('p1')} AS s)),
+             e AS (SELECT r.doc_id, r.host, r.path, coalesce(n_host, 0) AS n_host, coalesce(n_path, 0) AS n_path, coalesce(host_mean, t.prior) AS host_mean, coalesce(path_mean, host_mean, t.prior) AS path_mean,
+                          {evidence} + coalesce(said.ratio, 0) AS evidence
+                   FROM r CROSS JOIN t LEFT JOIN said ON said.key = hash(r.buckets) LEFT JOIN h2 ON r.host = h2.host LEFT JOIN p2 ON r.host = p2.host AND r.path = p2.path)
+        SELECT doc_id, host, path, CAST(n_host AS BIGINT) AS n_host, CAST(n_path AS BIGINT) AS n_path, round(host_mean, 6) AS host_mean, round(path_mean, 6) AS path_mean, round(evidence, 6) AS evidence,
+               round(1 / (1 + exp(-(ln(path_mean / (1 - path_mean)) + evidence))), 6) AS score, 1 / (1 + exp(-(ln(path_mean / (1 - path_mean)) + evidence))) >= {quality_bayes.THRESHOLD} AS kept
+        FROM e
+    """
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -123,4 +165,5 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(s.kept, '')) AS kept_sha256
         FROM w LEFT JOIN s USING (doc_id)
     """,
+    "op10_hierarchical_quality": _quality_sql(),
 }
