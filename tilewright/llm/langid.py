@@ -17,10 +17,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, slices
+from .common import WordMemo, slices, small_batches
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -196,18 +196,22 @@ def _held_out(id_col: str):
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """At most ``per_language`` texts of each language from the training folds, by a hash of the identifier."""
+    """``per_language`` different (identifier, text) rows of each language from the training folds, or all where
+    there are fewer: those with the smallest hashes, whatever the tables' size and order."""
     usable = docs.where(~_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        share = F.lit(min(1_000_000, int(1.3 * per_language * 1_000_000 / n) + 1))
-        wanted = wanted | ((F.col(lang_col) == lang) & (draw < share))
-    out: dict[str, list[tuple]] = {}
-    for r in usable.where(wanted).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).limit(2 * per_language * max(1, len(counts))).collect():
-        out.setdefault(r["lang"], []).append((r["id"], r["text"]))
-    return {k: [t for _, t in sorted(v)[:per_language]] for k, v in out.items()}
+    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1).alias("h"))
+    # First a draw that is very likely wide enough and never much wider, then the smallest of it.
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # the model has a column for each
+    if not sizes:
+        return {}
+    below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(1 << 63) * (1.5 * per_language + 50) / r["n"])])
+    drawn = usable.where(F.col("h") < below[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = drawn.dropDuplicates(["lang", "h"]).withColumn("place", place).where(F.col("place") <= per_language)
+    out: dict[str, list[str]] = {}
+    for r in chosen.orderBy("lang", "h").collect():  # a bounded number of each language
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: CrfModel | None = None) -> DataFrame:
@@ -216,8 +220,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Unless a model is given, one is learned from texts and non-null languages of documents outside the
     held-out fold.  Null texts, texts without letters, and everything where there is nothing to learn from,
     are ``und`` with score 0.  A row with a null identifier is held out.  Repeated rows give equal rows; an
-    empty table gives no rows.  Only the three named columns are read, and the language only to train.
+    empty table gives no rows.  Of languages with equal mass the first in alphabetical order wins.  A long text
+    is worked on whole.  The model takes 65,536 numbers a language.  Only the three named columns are read, so
+    others cannot clash, and the language only to train.
     """
+    small_batches(docs.sparkSession)
     model = model or train(training_sample(docs, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: dimensions x labels
 
