@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Edges that one task of a round takes at least.
+EDGES_A_TASK = 100_000
+
+
 def _low(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
@@ -31,9 +35,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(_low(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        few = max(1, -(-mark["n"] // EDGES_A_TASK))  # a small graph does not write files for every shuffle partition
+        large = large.where("u != v").coalesce(few).distinct().coalesce(few)
         low = _low(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        state = materialize(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        small = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        state = materialize(small.coalesce(few).distinct().coalesce(few), "edges")
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
