@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import exact_dedup, langid, near, packing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, substring, warc
+from tilewright.llm import exact_dedup, fill_middle, langid, near, packing, periodic, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, substring, warc
 
 #: Names that operators use inside.
 TAKEN = (
@@ -28,6 +28,8 @@ OPERATORS = {
     "op8": substring.substring_dedup,
     "op9": sharding.kd_shards,
     "op10": lambda d: quality_bayes.classify(d, d.sparkSession.range(1, 5).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))),
+    "op11": lambda d: periodic.periodic_runs(d).select("doc_id", "n_words", F.col("runs").cast("string"), "collapsed"),
+    "op13": lambda d: fill_middle.fill_in_middle(d, rate=100),
     "near": lambda d: near.drop_similar(d).select("doc_id", "text"),
     "copies": lambda d: exact_dedup.drop_copies(d).select("doc_id", "text"),
     "repeats": lambda d: substring.cut_repeats(d).select("doc_id", "text"),
@@ -66,5 +68,7 @@ def test_one_long_text_through_all(spark, make_docs):
     assert all(r["exact"] for r in sentencepiece_codec.round_trip(docs.where("doc_id != 2")).collect())
     assert {r["doc_id"]: r["payload_bytes"] for r in warc.round_trip(docs.withColumn("url", F.lit("u")), "doc_id", "url", "text").collect()}[1] == len(long)
     assert {r["doc_id"]: r["size"] for r in sharding.kd_shards(docs).collect()}[1] == len(long) + 8
+    assert {r["doc_id"]: r["n_words"] for r in periodic.periodic_runs(docs).collect()} == {0: 6, 1: n, 2: n + 1, 3: 0}
+    assert {r["doc_id"]: r["n"] for r in fill_middle.fill_in_middle(docs).collect()} == {0: 6, 1: n, 2: n + 1, 3: 0}
     assert quality_bayes.classify(docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).count() == 4
     assert [r["n_removed"] for r in substring.substring_dedup(docs.where("doc_id < 2")).orderBy("doc_id").collect()] == [0, n - 40_011]

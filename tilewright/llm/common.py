@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
 
-__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "documents", "gather", "id_order", "materialize", "mix", "scratch_path", "slices", "small_batches", "text_or_empty"]
+__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "byte_offsets", "documents", "gather", "id_order", "is_space", "materialize", "mix", "scratch_path", "slices", "small_batches", "text_or_empty"]
 
 #: ``[\x20\x09-\x0D]``: the white space that separates words.
 WS = " \t\n\x0b\x0c\r"
@@ -24,6 +24,13 @@ _IS_SPACE[[ord(c) for c in WS]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+
+def is_space(raw: np.ndarray) -> np.ndarray:
+    """Which of the bytes are white space."""
+    return _IS_SPACE[raw]
+
+
 MAX_LONG = (1 << 63) - 1
 #: Bytes of one Arrow batch of documents.
 BATCH_BYTES = 4 << 20

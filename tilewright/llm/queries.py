@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, substring, warc
+from . import exact_dedup, fill_middle, langid, packing, periodic, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, substring, topk, warc
 from .common import documents
 
 
@@ -51,6 +52,40 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth, by the hash of their identifier, repeat their words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    g, n = F.col("__h").substr(F.lit(1), F.length("__h") - 1), F.size("__words")
+    g = F.coalesce(F.nullif(g, F.lit("")).cast("long"), F.lit(0))
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    taken = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("__words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    asked = docs.select("doc_id", "text", h.cast("string").alias("__h"), F.when(h % 10 == 0, words).alias("__words"))
+    return asked.select("doc_id", F.when(n > 0, F.array_join(taken, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.s")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.p")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_middle.restored(F.col("form"), F.col("output")), 256)}
+    return made.withColumns(digests).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_kd_sharding,
         op10_hierarchical_quality,
+        op11_periodic_runs,
+        op12_threshold_top_k,
+        op13_fill_in_middle,
     )
 }
 
@@ -166,4 +204,22 @@ ORACLES: dict[str, str] = {
         FROM w LEFT JOIN s USING (doc_id)
     """,
     "op10_hierarchical_quality": _quality_sql(),
+    "op12_threshold_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, sha256('42:' || doc_id) AS hex FROM documents),
+             h AS (SELECT doc_id, text, tokens, list_transform(range(4), lambda k: CAST('0x' || substring(hex, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),
+             c AS (SELECT *, least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a, greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+             p AS (SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
