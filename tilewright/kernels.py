@@ -83,6 +83,25 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+def encode_gif(pixels: np.ndarray) -> bytes:
+    """A GIF of at most 256 colours, without alpha.  Codes stay at their first width: the table is cleared before it
+    would need a wider one, so the file is larger than it could be, and exact."""
+    height, width, _ = pixels.shape
+    colours, which = np.unique(pixels[..., :3].reshape(-1, 3), axis=0, return_inverse=True)
+    if len(colours) > 256:
+        raise FormatError("ENCODE_ERROR", "more than 256 colours")
+    bits = max(2, int(len(colours) - 1).bit_length())
+    clear, room = 1 << bits, (1 << bits) - 2
+    blocks = [which.ravel()[a : a + room] for a in range(0, width * height, room)]
+    codes = np.concatenate([np.concatenate([[clear], b]) for b in blocks] + [[clear + 1]]).astype(np.uint16)
+    raw = np.packbits((codes[:, None] >> np.arange(bits + 1)) & 1, bitorder="little").tobytes()
+    palette = np.zeros((1 << bits, 3), dtype=np.uint8)
+    palette[: len(colours)] = colours
+    data = b"".join(bytes([len(raw[a : a + 255])]) + raw[a : a + 255] for a in range(0, len(raw), 255))
+    screen = struct.pack("<6sHHBBB", b"GIF89a", width, height, 0x80 | bits - 1 | (bits - 1) << 4, 0, 0)
+    return screen + palette.tobytes() + struct.pack("<BHHHHBB", 0x2C, 0, 0, width, height, 0, bits) + data + b"\0;"
+
+
 def _png_chunks(content: bytes) -> dict[bytes, bytes]:
     """Bodies of the chunks by kind, those of a kind joined; a chunk that is cut short ends the list."""
     at, found = 8, {}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..scratch import materialize
+from .scans import scan
 
 HIGH_PERCENT, LOW_PERCENT = 90, 70
 
@@ -103,29 +104,101 @@ def evict_pinned(entries: DataFrame, limit: int | Column, group: list[str] | Non
     return rows.withColumn("evict", ~F.col("pinned") & (F.col("__all") - F.col("__before") > limit)).drop("__free", "__all", "__before", "__total")
 
 
-def sweep_trigger(writes: DataFrame, threshold: int = P.DEFAULT.sweep_bytes, group: str = "root", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """Adds fires: bytes written since the last sweep reach the threshold; the count restarts at zero.
+class _Run:
+    """Bytes since the last sweep."""
+
+    def __init__(self, threshold: int, run: int = 0) -> None:
+        self.threshold, self.run = threshold, run
+
+    def step(self, size: int) -> bool:
+        run = self.run + size
+        fires = run >= self.threshold
+        self.run = 0 if fires else run
+        return fires
+
+    def end(self) -> int:
+        return self.run
+
+
+class _AnyRun:
+    """All numbers of bytes there can have been before: intervals of them whose sweeps last fell on the same row.
 
-    Each step depends on the one before, so a root's writes are folded in order; they are streamed from a
-    sorted partition with one number of state, never gathered.
+    ``quiet``: those below have not swept yet.  The others are in a queue by the bytes at their last sweep; who sweep on
+    the same row are one from then on.
     """
 
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in writes.schema]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, run = None, 0
-        for batch in batches:
-            fires = []
-            for root, size in zip(batch[group].tolist(), batch["size"].tolist()):
-                if root != current:
-                    current, run = root, 0
-                run += size
-                fires.append(run >= threshold)
-                if fires[-1]:
-                    run = 0
-            yield batch.assign(fires=fires)
-
-    return writes.repartition(group).sortWithinPartitions(group, *order).mapInPandas(fold, ", ".join(columns) + ", fires boolean")
+    def __init__(self, threshold: int) -> None:
+        self.threshold, self.total, self.quiet = threshold, 0, threshold
+        self.swept: deque[tuple[int, list[list[int]]]] = deque()
+
+    def step(self, size: int) -> tuple[bool | None, list | None]:
+        self.total += size
+        fires: list[list[int]] = []
+        while self.swept and self.total - self.swept[0][0] >= self.threshold:
+            fires += self.swept.popleft()[1]
+        left = max(0, self.threshold - self.total)
+        if left < self.quiet:
+            fires.append([left, self.quiet - 1])
+            self.quiet = left
+        if not fires:
+            return (False, None)
+        self.swept.append((self.total, _joined(fires)))
+        if len(self.swept) == 1 and not self.quiet:
+            return (True, None)
+        return (None, [tuple(x) for x in self.swept[-1][1]])
+
+    def end(self) -> dict:
+        return {"quiet": self.quiet, "total": self.total, "swept": [[self.total - at, spans] for at, spans in self.swept]}
+
+
+def _joined(spans: list[list[int]]) -> list[list[int]]:
+    """Intervals in order, adjacent ones as one."""
+    out: list[list[int]] = []
+    for low, high in sorted(spans):
+        if out and low == out[-1][1] + 1:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return out
+
+
+class _SweepFold:
+    columns, answer, cases = ("size",), "boolean", "array<struct<low:bigint,high:bigint>>"
+
+    def __init__(self, threshold: int) -> None:
+        self.threshold = threshold
+
+    def first(self) -> int:
+        return 0
+
+    def begin(self) -> _Run:
+        return _Run(self.threshold)
+
+    def unknown(self) -> _AnyRun:
+        return _AnyRun(self.threshold)
+
+    def resume(self, end: dict, start: int) -> int:
+        if start < end["quiet"]:
+            return start + end["total"]
+        return next(run for run, spans in end["swept"] if any(low <= start <= high for low, high in spans))
+
+    def pick(self, cases: Column, start: Column) -> Column:
+        return F.exists(cases, lambda c: start.between(c["low"], c["high"]))
+
+    def prepare(self, columns: list[pa.Array]) -> list[list]:
+        return [[max(0, v or 0) for v in columns[0].to_pylist()]]
+
+
+def sweep_trigger(writes: DataFrame, threshold: int = P.DEFAULT.sweep_bytes, group: str = "root", order: tuple[str, ...] = ("ts", "seq"), partitions: int | None = None) -> DataFrame:
+    """Adds fires: bytes written since the last sweep reach the threshold; the count restarts at zero.
+
+    Null roots are one root; a size that is null or negative counts as nothing.  A root's writes are cut over many tasks
+    (``scans``): where a range begins within one, a row keeps for which numbers of bytes before it would fire.  Numbers that
+    fire on the same row stay together, so there are never more kinds than rows in the last ``threshold`` bytes.
+    """
+    if threshold <= 0:
+        return writes.withColumn("fires", F.lit(True))
+    return scan(writes, _SweepFold(threshold), "fires", [group], list(order), partitions)
 
 
 def preload_delta(cached: DataFrame, needed: DataFrame) -> DataFrame:

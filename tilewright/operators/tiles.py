@@ -137,6 +137,11 @@ def encode_bmp(tiles: DataFrame, alpha: bool = True) -> DataFrame:
     return _map(tiles, lambda t: {"image_id": t.image_id, "z": t.z, "tx": t.tx, "ty": t.ty, "bmp": K.encode_bmp(_array(t), alpha)}, "image_id long, z int, tx int, ty int, bmp binary")
 
 
+def encode_gif(tiles: DataFrame) -> DataFrame:
+    """Opaque tiles of at most 256 colours, without loss."""
+    return _map(tiles, lambda t: {"image_id": t.image_id, "z": t.z, "tx": t.tx, "ty": t.ty, "gif": K.encode_gif(_array(t))}, "image_id long, z int, tx int, ty int, gif binary")
+
+
 def decode(files: DataFrame) -> DataFrame:
     """(image_id, content) to whole rasters, with ``error`` where a file cannot be read (data is null then)."""
 

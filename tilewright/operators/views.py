@@ -2,52 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..policy import DEFAULT
+from .scans import scan
 
 COARSER, FINER = 0.45, 1.1
+#: Levels beyond this are never chosen: the smallest scale is one of TINY_ZOOM.
+DEEPEST = 20
+
+
+def frame_limits(scale: np.ndarray, most: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of each frame: the level chosen without one before, the least and the greatest that are kept, and the last there is.
+    A frame without a scale (NaN) has -1 for all."""
+    none = np.isnan(scale)
+    scale = np.maximum(np.where(none, 1.0, scale), G.TINY_ZOOM)
+    most = np.maximum(most, 0)
+    fresh = np.clip(np.floor(np.log2(1 / scale)), 0, most)
+    steps = scale[:, None] * np.exp2(np.arange(DEEPEST + 1))
+    low = np.minimum((steps < COARSER).sum(axis=1), most)
+    high = np.maximum((steps <= FINER).sum(axis=1) - 1, 0)
+    return tuple(np.where(none, -1, v).astype(int).tolist() for v in (fresh, low, high, most))
 
 
 def next_level(scale: float, previous: int | None, most: int) -> int:
     """Level of detail with hysteresis."""
-    scale = max(scale, G.TINY_ZOOM)
-    if previous is None or previous < 0 or previous > most:
-        return int(min(max(np.floor(np.log2(1 / scale)), 0), most))
-    level = previous
-    while level < most and scale * 2**level < COARSER:
-        level += 1
-    while level > 0 and scale * 2**level > FINER:
-        level -= 1
-    return level
-
-
-def lod_select(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), session: str = "session_id") -> DataFrame:
+    state = _Levels(-1 if previous is None else previous)
+    return state.step(*(v[0] for v in frame_limits(np.array([scale], dtype=float), np.array([most]))))
+
+
+class _Levels:
+    """A session's level; -1 before its first frame."""
+
+    def __init__(self, level: int = -1) -> None:
+        self.level = level
+
+    def step(self, fresh: int, low: int, high: int, most: int) -> int | None:
+        if most < 0:
+            return None
+        level = self.level
+        if level < 0 or level > most:
+            level = fresh
+        else:
+            level = low if level < low else level
+            level = high if level > high else level
+        self.level = level
+        return level
+
+    def end(self) -> int:
+        return self.level
+
+
+class _AnyLevel:
+    """All levels that a session can have had, from -1 on; soon they are one."""
+
+    def __init__(self) -> None:
+        self.states, self.one = [_Levels(k) for k in range(-1, DEEPEST + 1)], False
+
+    def step(self, *limits: int) -> tuple[int | None, list[int] | None]:
+        if self.one:
+            return self.states[0].step(*limits), None
+        levels = [s.step(*limits) for s in self.states]
+        if levels[0] is None:
+            return None, None
+        self.one = len(set(levels)) == 1
+        return (levels[0], None) if self.one else (None, levels)
+
+    def end(self) -> list[int]:
+        return [self.states[0 if self.one else k].level for k in range(len(self.states))]
+
+
+class _LodFold:
+    columns, answer, cases = ("scale", "max_level"), "int", "array<int>"
+
+    def first(self) -> int:
+        return -1
+
+    def begin(self) -> _Levels:
+        return _Levels()
+
+    def unknown(self) -> _AnyLevel:
+        return _AnyLevel()
+
+    def resume(self, end: list[int], start: int) -> int:
+        return end[start + 1]
+
+    def pick(self, cases: Column, start: Column) -> Column:
+        return F.get(cases, (start + 1).cast("int"))
+
+    def prepare(self, columns: list[pa.Array]) -> list[list]:
+        scale, most = (c.cast(pa.float64()) for c in columns)
+        return list(frame_limits(scale.fill_null(float("nan")).to_numpy(), np.nan_to_num(most.fill_null(0.0).to_numpy())))
+
+
+def lod_select(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), session: str = "session_id", partitions: int | None = None) -> DataFrame:
     """Adds level: each frame's choice starts from the session's choice before.
 
-    ``events``: scale (zoom times pixel ratio), max_level.  Sessions are streamed from sorted partitions with
-    one number of state, so a long session is never gathered.
+    ``events``: scale (zoom times pixel ratio), max_level (null: 0).  A frame without a scale has no level and changes
+    nothing.  Null sessions are one session.  A long session is cut over many tasks (``scans``): a range that begins within
+    one keeps the answers for every level it can have had, which after a few frames are the same.
     """
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level = None, None
-        for batch in batches:
-            levels = []
-            for who, scale, most in zip(batch[session].tolist(), batch["scale"].tolist(), batch["max_level"].tolist()):
-                if who != current:
-                    current, level = who, None
-                level = next_level(scale, level, max(0, most))
-                levels.append(level)
-            yield batch.assign(level=np.array(levels, dtype=np.int32))
-
-    return events.repartition(session).sortWithinPartitions(session, *order).mapInPandas(fold, f"{columns}, level int")
+    return scan(events, _LodFold(), "level", [session], list(order), partitions)
 
 
 def with_ranges(events: DataFrame, tile_size: int) -> DataFrame:

@@ -58,14 +58,22 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.from_pixels(_odd(spark, sf_dir), 16)
 
 
+_ODD_NAMES = ("", "a b ", "#", "100% ", "%41 ", "what?", 'q"', "{x}", "a+b&c=", "[1]", "ü漢 ", "a;b,c'", "~^|`", "%", "$(x) ")
+
+
 def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters as BMP (every third) and PNG files; of every eleventh each, one is cut short and one is no image."""
+    """Rasters as BMP (every third) and PNG files, opaque ones of the latter as GIF where their number ends in 7; of every
+    eleventh each, one is cut short and one is no image.  Names hold what file names may hold."""
     rasters = _rasters(spark, sf_dir)
     bmp = tiles.encode_bmp(rasters.where("image_id % 3 = 0"), alpha=False).select("image_id", F.lit(".bmp").alias("ext"), F.col("bmp").alias("content"))
-    png = tiles.encode_png(rasters.where("image_id % 3 != 0")).select("image_id", F.lit(".png").alias("ext"), F.col("png").alias("content"))
+    opaque = rasters.join(_odd(spark, sf_dir).groupBy("image_id").agg(F.min("a").alias("low")), "image_id").where("image_id % 3 != 0")
+    gif_too = (F.col("image_id") % 10 == 7) & (F.col("low") == 255)
+    png = tiles.encode_png(opaque.where(~gif_too)).select("image_id", F.lit(".png").alias("ext"), F.col("png").alias("content"))
+    gif = tiles.encode_gif(opaque.where(gif_too)).select("image_id", F.lit(".gif").alias("ext"), F.col("gif").alias("content"))
     i = F.col("image_id")
     content = F.when(i % 11 == 0, F.encode(F.lit("no image"), "UTF-8")).when(i % 11 == 1, F.substring("content", 1, 20)).otherwise(F.col("content"))
-    return bmp.unionByName(png).select(F.concat(i.cast("string"), "ext").alias("name"), content.alias("content"))
+    odd = F.element_at(F.array(*map(F.lit, _ODD_NAMES)), (i % len(_ODD_NAMES)).cast("int") + 1)
+    return bmp.unionByName(png).unionByName(gif).select(F.concat(odd, i.cast("string"), "ext").alias("name"), content.alias("content"))
 
 
 @query(

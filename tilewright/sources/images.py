@@ -41,41 +41,48 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select(plain_path(F.col("path")).alias("path"), "content")
 
 
+def _origin_path(origin):
+    """The plain path of the image source's origin, a URI in which all but letters, digits and a few marks are escaped."""
+    return plain_path(F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))))
+
+
 def decode_images(spark: SparkSession, paths: list[str], upright: bool = True) -> DataFrame:
     """path, width, height, data (RGBA), orientation, converted and error of image files.
 
-    Spark's image source decodes JPEG, PNG, GIF (first frame) and BMP in the JVM; colour profiles and EXIF
-    orientations come from the files' bytes, and pixels are converted to sRGB and turned upright.  A file
-    that cannot be read is a row with a code, and the job goes on.  Files are rows here; rasters that are too
-    large for that are cut by ``cut_bmp``.
+    Spark's image source decodes JPEG, PNG, GIF (first frame) and BMP in the JVM; the task that holds the pixels reads the
+    colour profile and the EXIF orientation from the file, converts to sRGB and turns the pixels upright, so that pixels
+    are never shuffled.  Any file name will do.  A file that cannot be read is a row with a code, and the job goes on.
+    Files are rows here; rasters that are too large for that are cut by ``cut_bmp``.
     """
     seen = spark.read.format("image").option("ignoreMissingFiles", True).load(paths)
-    pixels = seen.select(plain_path(F.regexp_replace("image.origin", "%20", " ")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
-
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            contents = [bytes(c) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "orientation": list(map(K.exif_orientation, contents)), "icc": list(map(K.icc_profile, contents)), "error": ["DECODE_ERROR" if K.known_format(c) else "UNSUPPORTED_FORMAT" for c in contents]})
+    pixels = seen.select(F.col("image.origin").alias("origin"), _origin_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.itertuples():
-                if not t.width or t.width <= 0:
-                    out.append((t.path, None, None, None, None, None, t.error))
+            for t in batch.to_pylist():
+                try:
+                    with opened(t["path"] if t["path"].startswith("/") else t["origin"]) as f:
+                        content = f.read()
+                except (OSError, pa.ArrowInvalid):
+                    out.append((t["path"], None, None, None, None, None, "IO_ERROR"))
+                    continue
+                if not t["width"] or t["width"] <= 0:
+                    out.append((t["path"], None, None, None, None, None, "DECODE_ERROR" if K.known_format(content) else "UNSUPPORTED_FORMAT"))
                     continue
-                raw = np.frombuffer(t.data, dtype=np.uint8).reshape(t.height, t.width, t.nChannels)
-                block = np.full((t.height, t.width, 4), 255, dtype=np.uint8)
-                block[..., :3] = raw[..., 2::-1] if t.nChannels >= 3 else raw
-                if t.nChannels == 4:
+                raw = np.frombuffer(t["data"], dtype=np.uint8).reshape(t["height"], t["width"], t["nChannels"])
+                block = np.full((t["height"], t["width"], 4), 255, dtype=np.uint8)
+                block[..., :3] = raw[..., 2::-1] if t["nChannels"] >= 3 else raw
+                if t["nChannels"] == 4:
                     block[..., 3] = raw[..., 3]
-                block, done = K.icc_to_srgb(block, t.icc)
-                block = K.oriented(block, t.orientation) if upright else block
-                out.append((t.path, block.shape[1], block.shape[0], block.tobytes(), t.orientation, done, None))
-            yield pd.DataFrame(out, columns=DECODED).astype({"width": "Int32", "height": "Int32", "orientation": "Int32", "converted": "boolean"})
+                orientation = K.exif_orientation(content)
+                block, done = K.icc_to_srgb(block, K.icc_profile(content))
+                block = K.oriented(block, orientation) if upright else block
+                out.append((t["path"], block.shape[1], block.shape[0], block.tobytes(), orientation, done, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], type=t) for t in kinds], names=DECODED)
 
-    told = read_files(spark, paths).mapInPandas(facts, "path string, orientation int, icc binary, error string")
-    return told.join(pixels, "path", "left").mapInPandas(finish, "path string, width int, height int, data binary, orientation int, converted boolean, error string")
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.string()]
+    return pixels.mapInArrow(finish, "path string, width int, height int, data binary, orientation int, converted boolean, error string")
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
@@ -129,7 +136,7 @@ def bmp_info(headers: DataFrame, max_side: int = DEFAULT.bmp_max_side) -> DataFr
     return headers.withColumn("error", error).withColumn("bmp", F.when(F.col("error").isNull(), info))
 
 
-def _opened(path: str):
+def opened(path: str):
     store, at = fs.FileSystem.from_uri(path)
     return store.open_input_file(at)
 
@@ -143,7 +150,7 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
             data = []
             for path, start, length in zip(batch["path"], batch["start"], batch["length"]):
                 try:
-                    with _opened(path) as f:
+                    with opened(path) as f:
                         raw = f.read_at(int(length), int(start))
                     data.append(raw if len(raw) == length else None)
                 except (OSError, pa.ArrowInvalid):
@@ -176,7 +183,7 @@ def cut_bmp(info: DataFrame, tile_size: int, partitions: int | None = None) -> D
             for t in batch.itertuples():
                 bmp = t.bmp if isinstance(t.bmp, dict) else t.bmp.asDict()
                 shape = {"width": bmp["width"], "bits": bmp["bits"], "stride": bmp["row_stride"]}
-                with _opened(t.path) as f:
+                with opened(t.path) as f:
                     band = K.bmp_rows(f.read_at(t.length, t.start), shape, t.rows, bmp["bottom_up"])
                 out = []
                 for tx in range(-(-bmp["width"] // tile_size)):
@@ -203,7 +210,7 @@ def read_regions(rects: DataFrame) -> DataFrame:
                 w, h, size = min(t.rw, bmp["width"] - t.rx), min(t.rh, bmp["height"] - t.ry), bmp["bits"] // 8
                 if w > 0 and h > 0:
                     columns = np.arange(t.tw) * w // t.tw
-                    with _opened(t.path) as f:
+                    with opened(t.path) as f:
                         for v in range(t.th):
                             y = t.ry + v * h // t.th
                             row = bmp["height"] - 1 - y if bmp["bottom_up"] else y
