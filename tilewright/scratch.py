@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +30,65 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tilewright-{name}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+class _Scope:
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``'s table outlives this scope (and belongs to the one around it)."""
+        path = getattr(df, "_tilewright_path", None)
+        if self.paths.pop(path, None) is not None:
+            _note(path, df.sparkSession, self)
+        return df
+
+
+def _note(path: str, spark: SparkSession, below: _Scope | None = None) -> None:
+    """The innermost scope (around ``below``, if given) owns the table."""
+    stack = getattr(_scopes, "open", [])
+    stack = stack[: stack.index(below)] if below is not None else stack
+    if stack:
+        stack[-1].paths[path] = spark
+
+
+@contextmanager
+def temporary() -> Iterator[_Scope]:
+    """Tables that are materialised within are dropped at its end, but for those that the scope is told to keep.  What is
+    returned from within must not read the dropped ones."""
+    stack = _scopes.open = getattr(_scopes, "open", [])
+    scope = _Scope()
+    stack.append(scope)
+    try:
+        yield scope
+    finally:
+        stack.remove(scope)
+        for path, spark in scope.paths.items():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame | None) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    path = getattr(df, "_tilewright_path", None)
+    if path is not None:
+        for scope in getattr(_scopes, "open", []):
+            scope.paths.pop(path, None)
+        _delete(df.sparkSession, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost executor
     costs nothing that came before.  Columnar and compressed, unlike ``checkpoint()``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tilewright_path = path
+    _note(path, spark)
+    return made
