@@ -45,6 +45,23 @@ def test_word_tokenizer_equals_library(tokenizer, corpus):
                 assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_word_tokenizer_on_combining_marks(tokenizer):
+    """Capital and small letters before marks of all kinds, some of which compose with one of the two only."""
+    rng = random.Random(9)
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["\u0308", "\u0331", "\u030a", "\u030c", "\u0327", "\u05b0", "\u3099", "\u0345"]
+    letters = [chr(c) for c in range(65, 91)] + [chr(c) for c in range(97, 123)] + list("HJTWYhjtwy") * 3 + ["É", "ß", "İ", "Ω", "и"]
+    piece = lambda: rng.choice(letters) + "".join(rng.choice(marks) for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))
+    texts = ["".join(piece() + rng.choice(["", "", "", " ", ". ", "!\n", "-", "<|endoftext|>"]) for _ in range(rng.randint(1, 8))) for _ in range(100_000)]
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    for part in (texts[a : a + 5000] for a in range(0, len(texts), 5000)):
+        ids, ends = own.encode(pa.array(part, type=pa.string()))
+        for t, e, a, b in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), ends[:-1], ends[1:]):
+            assert ids[a:b].tolist() == e.ids, t
+            at += 1
+    assert at == 100_000 and own.encode(pa.array(["T\u0308", "t\u0308"]))[0].tolist() == tokenizer.encode("T\u0308", add_special_tokens=False).ids + tokenizer.encode("t\u0308", add_special_tokens=False).ids
+
+
 def test_word_tokenizer_on_random_texts(tokenizer):
     rng = random.Random(8)
     parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "the", "The", "ÉCOLE", "straße", "İx", "3", "42", "'s", "'LL", ".", ",!", "***", "&&&", "-", "é", "e\u0301", "\u00a0", "漢", "😀", "\x00", "_", "ß", "ǅ"]

@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, scratch_path
+from ..scratch import drop, materialize, scratch_path, temporary
 
-__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "byte_offsets", "documents", "gather", "id_order", "is_space", "materialize", "mix", "scratch_path", "slices", "small_batches", "text_or_empty"]
+__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "byte_offsets", "documents", "drop", "gather", "id_order", "is_space", "materialize", "mix", "scratch_path", "slices", "small_batches", "temporary", "text_or_empty"]
 
 #: ``[\x20\x09-\x0D]``: the white space that separates words.
 WS = " \t\n\x0b\x0c\r"

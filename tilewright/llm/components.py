@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 #: Edges that one task of a round takes at least.
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round hangs the larger neighbours of each node below its smallest neighbour, then the smaller
     ones likewise; the edge list never grows beyond its first size and settles in O(log n) rounds into
     stars.  A node's smallest neighbour is an aggregate, joined back on plain shuffles: the neighbours of a
-    hub are never gathered in one place.  Each round is written to the shared folder.  Loops and repeated
+    hub are never gathered in one place.  Each round is written to the shared folder, and the one before is dropped.  Loops and repeated
     edges are allowed; an edge with a null end is ignored; no edges give no rows.
     """
     clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u != v")
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = _low(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        state = materialize(small.coalesce(few).distinct().coalesce(few), "edges")
+        before, state = state, materialize(small.coalesce(few).distinct().coalesce(few), "edges")
+        drop(before)
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

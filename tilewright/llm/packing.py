@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, gather, materialize, slices, small_batches, text_or_empty
+from .common import WordMemo, byte_offsets, gather, materialize, slices, small_batches, text_or_empty
 
 WINDOW_TOKENS = 4096
 END_ID = 2
@@ -39,6 +39,8 @@ TASK_BYTES = 8 << 20
 #: What the tokeniser's own added tokens begin with: they are matched before letters are lower-cased.
 ADDED = "<|"
 
+#: Combining marks that compose with Latin letters, and the bytes they begin with.
+MARKS, MARK_LEADS = "[\u0300-\u036f]", (0xCC, 0xCD)
 #: Up to this letter, letters are composed already and have one lower case (but for U+0130).
 LAST_LATIN = "\u024f"
 
@@ -112,13 +114,17 @@ class WordTokenizer:
 
     @staticmethod
     def _lowered(texts: pa.Array) -> pa.Array:
-        """ASCII letters lower-cased, but not in words that may hold an added token."""
+        """ASCII letters lower-cased, but not in words that may hold an added token, nor in words with other letters where
+        there are combining marks: the library composes before it lower-cases, and some marks compose with the small letter
+        only."""
         texts = texts.fill_null("") if texts.null_count else texts
         lowered = pc.ascii_lower(texts)
         special = pc.match_substring(texts, ADDED)
+        if np.isin(byte_offsets(texts)[1], MARK_LEADS).any():
+            special = pc.or_(special, pc.match_substring_regex(texts, MARKS))
         if not pc.any(special).as_py():
             return lowered
-        kept = [re.sub(r"[^ \t\n\x0b\x0c\r]+", lambda m: m[0] if ADDED in m[0] else re.sub("[A-Z]+", lambda x: x[0].lower(), m[0]), t) for t in texts.filter(special).to_pylist()]
+        kept = [re.sub(r"[^ \t\n\x0b\x0c\r]+", lambda m: m[0].lower() if m[0].isascii() and ADDED not in m[0] else m[0], t) for t in texts.filter(special).to_pylist()]
         return pc.replace_with_mask(lowered, special, pa.array(kept, type=lowered.type))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS_CLASS, WindowHasher, Words, id_order, materialize, mix, slices, small_batches, text_or_empty
+from .common import WS_CLASS, WindowHasher, Words, id_order, materialize, mix, slices, small_batches, temporary, text_or_empty
 from .exact_dedup import KEY, tree_merge
 
 WINDOW_WORDS = 20
@@ -286,7 +286,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = text_or_empty(text_col)
     whole = docs.select(rest.alias("rest"), id_order(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))
     row = ["ord", "th"]
-    copies = materialize(_later_copies(docs, id_col, text_col), "copies")
+    with temporary() as tables:
+        copies = tables.keep(materialize(_later_copies(docs, id_col, text_col), "copies"))
     # Each join hashes the same rows on the same columns, so that the texts are shuffled once and the exchange reused.
     anchors = whole.join(copies, row, "left_anti").mapInArrow(_anchor_rows(window), "route long, ord long, th long, h long")
     repeated = anchors.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, "ord long, th long, h long")
