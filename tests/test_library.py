@@ -175,14 +175,40 @@ def test_neighbours(spark):
     assert ends["d/a"] == (False, True) and ends["d/e"] == (True, False)
 
 
-FILES = "path string, size long, mtime int"
-
-
-@pytest.mark.parametrize("sizes, limit, freed", [((30, 30, 30, 30), 100, 60), ((40, 50), 100, 0), ((100,), 0, 0)])
-def test_evict_watermark(spark, sizes, limit, freed):
-    files = spark.createDataFrame([(str(i), s, i) for i, s in enumerate(sizes)], FILES)
-    rows = caching.evict_watermark(files, limit).where("evict").collect()
-    assert sum(r["size"] for r in rows) == freed
+def slow_evictions(files, limit):
+    """Oldest first, one by one, while more than the low mark is left."""
+    gone = set()
+    for root in {f[0] for f in files}:
+        own = sorted((f for f in files if f[0] == root), key=lambda f: (f[2] is not None, f[2] or 0, f[1]))
+        left = sum(f[3] or 0 for f in own)
+        if limit > 0 and left > limit * 90 // 100:
+            for _, path, _, size in own:
+                if left > limit * 70 // 100:
+                    gone.add(path)
+                    left -= size or 0
+    return gone
+
+
+@pytest.mark.parametrize("times", [[5], [1, 2, 3], list(range(5000)), [-(1 << 62), 0, 3, 1 << 62, None], [1_700_000_000_000_000 + k * k * 997 for k in range(3000)]])
+def test_evict_watermark(spark, times):
+    rng = random.Random(len(times))
+    files = [(rng.choice([None, 1, 2, 3]), f"p{k}", rng.choice(times), rng.choice([0, 1, 7, 900, None])) for k in range(400)]
+    df = spark.createDataFrame(files, "root long, path string, mtime long, size long")
+    for limit in (0, 9_000, 40_000, 1 << 40):
+        got = caching.evict_watermark(df, limit, ["root"])
+        assert {r["path"] for r in got.where("evict").collect()} == slow_evictions(files, limit)
+        assert got.count() == 400
+    alone = caching.evict_watermark(df.where("root = 1").drop("root"), 20_000)
+    assert {r["path"] for r in alone.where("evict").collect()} == slow_evictions([f for f in files if f[0] == 1], 20_000)
+
+
+def test_evict_watermark_does_not_sort(spark, monkeypatch):
+    """Nothing is ranged or written but the cuts, and the files of just a cut's own time."""
+    written, real = [], caching.materialize
+    monkeypatch.setattr(caching, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    df = spark.createDataFrame([(k % 3, f"p{k}", k, 10) for k in range(300)], "root long, path string, mtime int, size long")
+    gone = caching.evict_watermark(df.withColumn("mtime", F.date_from_unix_date("mtime")), 500, ["root"]).where("evict").count()
+    assert gone == 3 * 65 and len(written) >= 2 and max(w.count() for w in written) == 3
 
 
 def test_evict_protected_and_pinned(spark):

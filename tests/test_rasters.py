@@ -265,3 +265,73 @@ def test_png_of_any_filter_is_fast_and_bounded():
             K.decode(content)
         assert e.value.code == code
     assert K.decode(head(3, 2) + chunk).shape == (2, 3, 4)
+
+
+def picture(rng, height, width):
+    """Smooth colours with an edge and a little noise, as photographs have."""
+    y, x = np.mgrid[0:height, 0:width]
+    base = np.stack([127 + 90 * np.sin(x / 17 + k) * np.cos(y / 23 - k) for k in range(3)], axis=-1)
+    base[:, width // 2 :] = base[:, width // 2 :] * 0.6 + 40
+    out = np.full((height, width, 4), 255, dtype=np.uint8)
+    out[..., :3] = np.clip(base + rng.normal(0, 2, base.shape), 0, 255)
+    return out
+
+
+def test_jpeg_through_another_decoder(spark, tmp_path):
+    """The JVM reads the files; the higher the quality, the smaller the error and the larger the file."""
+    rng = np.random.default_rng(1)
+    want, sizes = {}, {}
+    for height, width in ((1, 1), (8, 8), (7, 19), (64, 48), (150, 211)):
+        pixels = picture(rng, height, width)
+        for quality in (1, 30, 50, 75, 95, 100):
+            name = f"{height}x{width} q{quality}.jpg"
+            content = K.encode_jpeg(pixels, quality)
+            (tmp_path / name).write_bytes(content)
+            want[name], sizes[name] = (pixels, quality), len(content)
+    noise = rng.integers(0, 256, size=(40, 33, 4)).astype(np.uint8)
+    (tmp_path / "noise.jpg").write_bytes(K.encode_jpeg(noise, 90, background=0))
+    flat = noise[..., :3] * (noise[..., 3:] / 255)
+    errors = {}
+    for r in images.decode_images(spark, [str(tmp_path)]).collect():
+        name = r["path"].rpartition("/")[2]
+        got = np.frombuffer(r["data"], dtype=np.uint8).reshape(r["height"], r["width"], 4)[..., :3].astype(float)
+        pixels, quality = want.get(name, (np.dstack([flat, flat[..., :1]]), 90))
+        assert got.shape[:2] == pixels.shape[:2]
+        errors[name] = float(np.sqrt(np.mean((got - pixels[..., :3]) ** 2)))
+    assert len(errors) == len(want) + 1
+    for name, (_, quality) in want.items():
+        assert errors[name] <= {1: 90, 30: 9, 50: 6, 75: 4.5, 95: 2.5, 100: 1.5}[quality], (name, errors[name])
+    assert errors["noise.jpg"] < 25
+    big = [f"150x211 q{q}.jpg" for q in (1, 30, 50, 75, 95, 100)]
+    assert [sizes[n] for n in big] == sorted(sizes[n] for n in big) and sizes[big[3]] < len(K.encode_png(want[big[3]][0])) / 4
+    with pytest.raises(K.FormatError):
+        K.encode_jpeg(noise, 0)
+
+
+def test_code_lengths_are_prefix_codes_of_16_bits():
+    rng = np.random.default_rng(2)
+    for counts in (np.array([5]), np.ones(256, dtype=int), 2 ** np.minimum(np.arange(60), 40), rng.integers(0, 9, size=256)):
+        lengths = K._code_lengths(np.pad(counts, (0, 256 - len(counts))))
+        assert set(lengths) == set(np.flatnonzero(counts)) and max(lengths.values()) <= 16
+        assert sum(2.0**-n for n in lengths.values()) < 1 or len(lengths) == 1
+
+
+def test_viewport_reads_few_row_groups(spark, tmp_path):
+    """Tiles are clustered: a small box lies in a small share of the row groups."""
+    import pyarrow.dataset as ds
+
+    tiles_ = spark.range(128 * 96).select(F.lit(7).cast("long").alias("image_id"), F.lit(0).alias("z"), (F.col("id") % 128).cast("int").alias("tx"), F.floor(F.col("id") / 128).cast("int").alias("ty"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.encode(F.lpad(F.col("id").cast("string"), 200, "x"), "UTF-8").alias("data"))
+    path = str(tmp_path / "tiles")
+    tiles.tiles_sink(tiles_, path, group_bytes=20_000, partitions=6)
+    box = (20, 30, 31, 37)
+    found = tiles.read_viewport(spark, path, 7, 0, box)
+    assert found.count() == 12 * 8 and found.columns == tiles_.columns
+    groups = [g.statistics for f in ds.dataset(path).get_fragments() for g in f.row_groups]
+    opened = [g for g in groups if g["tx"]["min"] <= box[2] and g["tx"]["max"] >= box[0] and g["ty"]["min"] <= box[3] and g["ty"]["max"] >= box[1]]
+    assert len(groups) > 60 and len(opened) <= 0.12 * len(groups)
+    assert "PushedFilters: [IsNotNull(image_id)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_morton_keys_interleave(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (3, 5), (1 << 20, 1)], "x int, y int").select(tiles.morton(F.col("x"), F.col("y")).alias("m")).collect()
+    assert [r["m"] for r in rows] == [0, 1, 2, 0b100111, (1 << 40) + 2]

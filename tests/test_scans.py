@@ -108,3 +108,30 @@ def test_empty_and_other_columns(spark):
     assert caching.sweep_trigger(df).count() == 0
     rows = spark.createDataFrame([(1, 1, 1, 5)], WRITES).withColumns({"odd name": F.lit("x"), "when": F.current_timestamp(), "list": F.array(F.lit(1))})
     assert caching.sweep_trigger(rows, 5).drop("when").collect()[0].asDict() == {"root": 1, "ts": 1, "seq": 1, "size": 5, "odd name": "x", "list": [1], "fires": True}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tile_cover_equals_counting(spark, seed):
+    rng = random.Random(seed)
+    rects = []
+    for _ in range(120):
+        x, y = rng.randint(0, 12), rng.randint(0, 12)
+        rects.append((rng.randint(1, 3), rng.choice([0, 1]), x, x + rng.randint(-1, 6), y, y + rng.randint(-1, 6), rng.choice([1, 1, 2, -1])))
+    counts = {}
+    for image, z, x0, x1, y0, y1, n in rects:
+        for x in range(x0, x1 + 1):
+            for y in range(y0, y1 + 1):
+                counts[image, z, x, y] = counts.get((image, z, x, y), 0) + n
+    df = spark.createDataFrame(rects, "image_id long, z int, x0 long, x1 long, y0 long, y1 long, n long")
+    found = views.tile_cover(df)
+    assert {tuple(r)[:4]: r["n"] for r in found.collect()} == {k: v for k, v in counts.items() if v}
+    assert views.tile_cover(df.limit(0)).count() == 0
+
+
+def test_cover_makes_rows_for_ranges_not_for_their_tiles(spark):
+    """A thousand views of nearly the whole of one image: far fewer rows than the tiles that they show."""
+    rects = [(1, 0, k % 7, 390 - k % 5, k % 3, 390 - k % 11, 1) for k in range(1000)]
+    df = spark.createDataFrame(rects, "image_id long, z int, x0 long, x1 long, y0 long, y1 long, n long")
+    found = views.tile_cover(df)
+    rows = found.collect()
+    assert len(rows) == 391 * 391 and max(r["n"] for r in rows) == 1000

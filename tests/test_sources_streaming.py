@@ -1,13 +1,16 @@
 """File sources, JSON sources, streams and the driver contract."""
 
+import datetime
 import json
+import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright import kernels as K
 from tilewright.operators import tiles, views
-from tilewright.sources import documents, images
+from tilewright.sources import documents, images, store
 from tilewright.streaming import jobs
 
 
@@ -29,7 +32,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tiles")).count() == 3
     thumbs = spark.createDataFrame([("k", 160, bytearray(K.encode_png(block)))], "cache_key string, size int, content binary")
     images.thumbnails_sink(thumbs, str(tmp_path / "thumbs"))
-    assert spark.read.parquet(str(tmp_path / "thumbs")).where("size = 160").first()["cache_key"] == "k"
+    assert store.read_store(spark, str(tmp_path / "thumbs")).where("size = 160").first()["cache_key"] == "k"
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -76,29 +79,67 @@ def test_stream_thumbnails(spark, tmp_path):
     rows = [("k1", "a", 160), ("k1", "a", 160), ("k2", "b", 160), ("old", "c", 160)]
     spark.createDataFrame(rows, "cache_key string, path string, px int").withColumn("ts", at).coalesce(1).write.parquet(str(tmp_path / "in"))
     build = lambda work: work.select("cache_key", "px", F.lit(b"png").alias("content"))
-    store = str(tmp_path / "store")
-    build(spark.createDataFrame([("old", "c", 160)], "cache_key string, path string, px int")).write.parquet(store)
-    query = jobs.stream_thumbnails(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, build, str(tmp_path / "ck")).start()
+    path = str(tmp_path / "store")
+    store.publish(build(spark.createDataFrame([("old", "c", 160)], "cache_key string, path string, px int")), path)
+    query = jobs.stream_thumbnails(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, build, str(tmp_path / "ck")).start()
     query.processAllAvailable()
     query.stop()
-    assert sorted(r["cache_key"] for r in spark.read.parquet(store).collect()) == ["k1", "k2", "old"]
-
-
-def test_stream_lod_keeps_state(spark, tmp_path):
-    schema = "session_id long, event_id long, ts long, scale double, max_level int"
-    first = [(1, 1, 1, 0.1, 5), (2, 2, 1, 1.0, 5)]
-    second = [(1, 3, 2, 0.2, 5), (1, 4, 3, 0.9, 5), (2, 5, 2, 0.3, 5)]
-    source = feed(spark, tmp_path / "ev", first, schema)
-    query = jobs.stream_lod(source).writeStream.format("memory").queryName("lod").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.processAllAvailable()
-    feed(spark, tmp_path / "ev", second, schema)
-    query.processAllAvailable()
-    query.stop()
-    got = {r["event_id"]: r["level"] for r in spark.sql("select * from lod").collect()}
-    want, level = {}, {}
-    for s, e, _, scale, most in first + second:
-        level[s] = want[e] = views.next_level(scale, level.get(s), most)
-    assert got == want
+    assert sorted(r["cache_key"] for r in store.read_store(spark, path).collect()) == ["k1", "k2", "old"]
+
+
+@pytest.fixture
+def lod(spark, tmp_path):
+    """Feeds batches of frames (session, event, second, scale, max_level) to the level stream; gives what it answered so far."""
+    key, provider = jobs.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    schema = "session_id long, event_id long, ts timestamp, scale double, max_level int"
+    name, queries = f"lod_{uuid.uuid4().hex}", []
+
+    def run(rows, **options):
+        stamped = [(s, e, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t), x, m) for s, e, t, x, m in rows]
+        source = feed(spark, tmp_path / "ev", stamped, schema)
+        if not queries:
+            made = jobs.stream_lod(source, **options).writeStream.format("memory").queryName(name).outputMode("append")
+            queries.append(made.option("checkpointLocation", str(tmp_path / "ck")).start())
+        queries[0].processAllAvailable()
+        return {r["event_id"]: r["level"] for r in spark.sql(f"select * from {name}").collect()}
+
+    yield run
+    for q in queries:
+        q.stop()
+    spark.conf.set(key, before)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def folded(frames):
+    levels, out = {}, {}
+    for s, e, _, scale, most in sorted(frames, key=lambda f: (f[2], f[1])):
+        levels[s] = out[e] = views.next_level(scale, levels.get(s), most)
+    return out
+
+
+def test_stream_lod_keeps_state_and_order(lod):
+    """A frame that comes in a later batch, but within the time that is waited for, is answered in its place."""
+    first = [(1, 1, 10, 0.1, 5), (2, 2, 10, 1.0, 5), (1, 3, 30, 0.24, 5)]
+    late = [(1, 4, 20, 0.9, 5), (1, 5, 40, 0.3, 5), (None, 6, 21, 0.3, 5)]
+    rest = [(2, 7, 50, 0.3, 5), ((1 << 60) + 1, 8, 55, 0.2, 5), (1, 9, 200, 1.0, 5)]
+    assert set(lod(first, late="15 seconds")) == {1, 2}
+    got = lod(late)
+    assert {1, 2, 4, 6} <= set(got) and 5 not in got
+    got = lod(rest)
+    assert got == {e: v for e, v in folded(first + late + rest).items() if e != 9}
+    assert 9 in lod([(3, 10, 500, 1.0, 5)])
+
+
+def test_stream_lod_forgets_idle_sessions(lod):
+    one, two = [(1, 1, 0, 0.1, 5)], [(2, 2, 5000, 1.0, 5)]
+    lod(one, idle_seconds=60)
+    lod(two)
+    got = lod([(1, 3, 5001, 0.13, 5), (2, 4, 5010, 0.46, 5), (9, 5, 9000, 1.0, 5)])
+    assert got[3] == views.next_level(0.13, None, 5) != views.next_level(0.13, got[1], 5)
+    assert got[4] == views.next_level(0.46, got[2], 5) != views.next_level(0.46, None, 5)
 
 
 def test_stream_tile_demand_equals_batch(spark, tmp_path):

@@ -83,6 +83,118 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+#: Frequencies of an 8 x 8 block in order of their diagonals, alternately up and down.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+_COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+#: Luma and colour differences of RGB.
+_YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+
+
+def jpeg_steps(quality: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantisation steps of luma and colour (8 x 8) for a quality from 1 to 100: the finer, the lower the frequency."""
+    u, v = np.mgrid[0:8, 0:8]
+    scale = 50 / quality if quality < 50 else 2 - quality / 50
+    steps = lambda base, slope: np.clip(np.round((base + slope * (u + v) ** 1.25) * scale), 1, 255).astype(int)
+    return steps(10, 4.5), steps(14, 7.5)
+
+
+def _code_lengths(counts: np.ndarray, limit: int = 16) -> dict[int, int]:
+    """Lengths of the best prefix codes of at most ``limit`` bits, by merging packages of the cheapest; one code of the
+    longest length stays unused, as no code may be all ones."""
+    coins = sorted([(int(n), (s,)) for s, n in enumerate(counts) if n] + [(0, (-1,))])
+    if len(coins) == 2:
+        return {coins[1][1][0]: 1}
+    level: list[tuple[int, tuple[int, ...]]] = []
+    for _ in range(limit):
+        level = sorted(coins + [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2])])
+    used: dict[int, int] = {}
+    for _, symbols in level[: 2 * len(coins) - 2]:
+        for symbol in symbols:
+            used[symbol] = used.get(symbol, 0) + 1
+    used.pop(-1)
+    return used
+
+
+def _jpeg_table(counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A table's description, and code and length of each symbol."""
+    lengths = _code_lengths(counts)
+    order = sorted(lengths, key=lambda s: (lengths[s], s))
+    codes, sizes, code, size = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64), 0, 0
+    for symbol in order:
+        code <<= lengths[symbol] - size
+        size = lengths[symbol]
+        codes[symbol], sizes[symbol] = code, size
+        code += 1
+    return bytes(sum(lengths[s] == n for s in order) for n in range(1, 17)) + bytes(order), codes, sizes
+
+
+def _jpeg_symbols(blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(block, place, symbol, bits, number of bits) of a component's blocks (n x 64, in zigzag order); place 0 is the mean,
+    coded as the difference to the block before."""
+    n = len(blocks)
+    values = blocks.copy()
+    values[1:, 0] -= blocks[:-1, 0]
+    b, k = np.nonzero(values[:, 1:])
+    k = k + 1
+    before = np.zeros(len(b), dtype=np.int64)
+    before[1:] = np.where(b[1:] == b[:-1], k[:-1], 0)
+    gap = k - before - 1
+    long = gap >> 4  # sixteen zeros each have a symbol of their own
+    zeros_b, zeros_k = np.repeat(b, long), np.repeat(k, long)
+    last = np.zeros(n, dtype=np.int64)
+    np.maximum.at(last, b, k)
+    open_ = np.flatnonzero(last < 63)
+    value = np.concatenate([values[:, 0], values[b, k]])
+    size = np.frexp(np.abs(value).astype(float))[1]
+    bits = np.where(value < 0, value + (1 << size) - 1, value)
+    none = lambda m: np.zeros(m, dtype=np.int64)
+    block = np.concatenate([np.arange(n), b, zeros_b, open_])
+    place = np.concatenate([none(n), 2 * k + 1, 2 * zeros_k, none(len(open_)) + 128])
+    symbol = np.concatenate([none(n), (gap & 15) << 4, none(len(zeros_b)) + 0xF0, none(len(open_))])
+    symbol[: len(value)] |= size
+    more = none(len(zeros_b) + len(open_))
+    return block, place, symbol, np.concatenate([bits, more]), np.concatenate([size, more])
+
+
+def encode_jpeg(pixels: np.ndarray, quality: int = 85, background: int = 255) -> bytes:
+    """Baseline JPEG of RGBA pixels laid on a grey background: block cosine transform, quantisation, and prefix codes made
+    for the image's own symbols."""
+    height, width, _ = pixels.shape
+    if not 1 <= quality <= 100 or not (0 < width < 65536 and 0 < height < 65536):
+        raise FormatError("ENCODE_ERROR", "quality or sides")
+    alpha = pixels[..., 3:].astype(float) / 255
+    rgb = pixels[..., :3] * alpha + background * (1 - alpha)
+    rgb = np.pad(rgb, ((0, -height % 8), (0, -width % 8), (0, 0)), mode="edge")
+    planes = np.einsum("kc,yxc->kyx", _YCC, rgb)
+    planes[0] -= 128
+    steps = jpeg_steps(quality)
+    down, across = rgb.shape[0] // 8, rgb.shape[1] // 8
+    parts = []
+    for c in range(3):
+        blocks = planes[c].reshape(down, 8, across, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+        levels = np.round(_COSINES @ blocks @ _COSINES.T / steps[min(c, 1)]).astype(np.int64)
+        parts.append((c, *_jpeg_symbols(levels.reshape(-1, 64)[:, _ZIGZAG])))
+    component = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+    block, place, symbol, bits, size = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    order = np.lexsort((place, component, block))
+    component, place, symbol, bits, size = (x[order] for x in (component, place, symbol, bits, size))
+    kind = 2 * (component > 0) + (place > 0)  # luma means, luma rest, colour means, colour rest
+    tables = [_jpeg_table(np.bincount(symbol[kind == k], minlength=256)) for k in range(4)]
+    code, code_size = (np.stack([t[i] for t in tables])[kind, symbol] for i in (1, 2))
+    value, total = code << size | bits, code_size + size
+    within = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+    stream = np.repeat(value, total) >> (np.repeat(total, total) - 1 - within) & 1
+    stream = np.append(stream, np.ones(-len(stream) % 8, dtype=np.int64))
+    data = np.packbits(stream.astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+    segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, 2 + len(body)) + body
+    frame = struct.pack(">BHHB", 8, height, width, 3) + b"".join(bytes([c + 1, 0x11, min(c, 1)]) for c in range(3))
+    scan = b"\x03" + b"".join(bytes([c + 1, 0x11 * min(c, 1)]) for c in range(3)) + b"\x00\x3f\x00"
+    head = segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+    quant = b"".join(segment(0xDB, bytes([i]) + bytes(s.ravel()[_ZIGZAG].tolist())) for i, s in enumerate(steps))
+    huffman = b"".join(segment(0xC4, bytes([(k % 2) << 4 | k // 2]) + t[0]) for k, t in enumerate(tables))
+    return b"\xff\xd8" + head + quant + segment(0xC0, frame) + huffman + segment(0xDA, scan) + data + b"\xff\xd9"
+
+
 def encode_gif(pixels: np.ndarray) -> bytes:
     """A GIF of at most 256 colours, without alpha.  Codes stay at their first width: the table is cleared before it
     would need a wider one, so the file is larger than it could be, and exact."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -67,18 +68,61 @@ def ordered_before(df: DataFrame, value: str, order: list[str], group: list[str]
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     bases = sums.select(*group, "__part", F.coalesce(F.sum("__sum").over(over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__sum").over(over).alias("__total"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = ranged.withColumn("__inside", inside).join(bases, [*group, "__part"])
+    joined = _matched(ranged.withColumn("__inside", inside), bases, [*group, "__part"]).drop(*[f"__g_{c}" for c in (*group, "__part")])
     return joined.withColumn("__before", F.col("__base") + F.col("__inside")).drop("__base", "__inside", "__part")
 
 
+#: Bins of a histogram.
+BINS = 1024
+
+
 def evict_watermark(files: DataFrame, limit: int | Column, group: list[str] | None = None, high: int = HIGH_PERCENT, low: int = LOW_PERCENT, order: tuple[str, ...] = ("mtime", "path")) -> DataFrame:
     """Adds evict: once the total passes the high mark, the oldest go while more than the low mark is left.
-    Limit 0 is no limit."""
+    Limit 0 is no limit.
+
+    The files are not sorted.  Each group's cut, the time at which enough bytes are older, is found by histograms of the
+    first order column (a whole number, date or timestamp; null is the oldest): a pass adds up sizes in at most 1,024 bins a
+    group, and the next one looks into the bin that the cut is in, until that is a single time.  Files of just that time are
+    told apart by the other order columns.  Sizes are not negative; null ones count nothing.
+    """
     limit = F.lit(limit).cast("long") if isinstance(limit, int) else limit
+    group = group or []
     mark = lambda percent: F.call_function("div", limit * percent, F.lit(100).cast("long"))
-    rows = ordered_before(files, "size", list(order), group)
-    evict = (limit > 0) & (F.col("__total") > mark(high)) & (F.col("__total") - F.col("__before") > mark(low))
-    return rows.withColumn("evict", evict).drop("__before", "__total")
+    at = _ticks(files, order[0])
+    rows = files.withColumns({"__at": at, "__bytes": F.coalesce(F.col("size"), F.lit(0)).cast("long")})
+    free = F.sum("__bytes") - F.max(mark(low))  # the bytes that have to go
+    totals = rows.groupBy(*group).agg(free.alias("__need"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"), ((F.max(limit) > 0) & (F.sum("__bytes") > F.max(mark(high)))).alias("__over"))
+    open_ = materialize(totals.where("__over and __need > 0").select(*group, "__need", "__lo", "__hi"), "cuts")
+    while open_.where("__lo < __hi").limit(1).count():
+        inside = _matched(rows.select(*group, "__at", "__bytes"), open_, group).where(F.col("__at").between(F.col("__lo"), F.col("__hi")))
+        # differences of 64-bit times can pass 64 bits
+        width = F.greatest(F.ceil((F.col("__hi").cast("decimal(38,0)") - F.col("__lo") + 1) / BINS), F.lit(1)).cast("decimal(38,0)")
+        bins = inside.withColumn("__bin", F.floor((F.col("__at").cast("decimal(38,0)") - F.col("__lo")) / width).cast("long")).groupBy(*group, "__need", "__lo", "__hi", "__bin").agg(F.sum("__bytes").alias("__sum"), F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+        upto = F.coalesce(F.sum("__sum").over(Window.partitionBy(*group or [F.lit(0)]).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = bins.withColumn("__upto", upto).where("__upto < __need and __need <= __upto + __sum")
+        open_ = materialize(cut.select(*group, (F.col("__need") - F.col("__upto")).alias("__need"), F.col("__first").alias("__lo"), F.col("__last").alias("__hi")), "cuts")
+    cuts = open_.select(*group, "__need", F.col("__lo").alias("__cut"))
+    marked = _matched(rows, cuts, group, "left")
+    ties = marked.where("__at = __cut").select(*files.columns, "__bytes", "__need")
+    tied = ordered_before(ties, "__bytes", list(order), group).withColumn("evict", F.col("__before") < F.col("__need"))
+    older = marked.where("__cut is null or __at != __cut").withColumn("evict", F.coalesce(F.col("__at") < F.col("__cut"), F.lit(False)))
+    return older.select(*files.columns, "evict").unionByName(tied.select(*files.columns, "evict"))
+
+
+def _ticks(files: DataFrame, name: str) -> Column:
+    """A time column as a whole number; null before all others."""
+    kind = files.schema[name].dataType.simpleString()
+    c = F.col(name)
+    number = F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(c) if kind == "date" else c
+    return F.coalesce(number.cast("long"), F.lit(-(1 << 63)))
+
+
+def _matched(rows: DataFrame, cuts: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """Rows with their group's cut; without groups there is one cut at most, and null groups are a group."""
+    if not group:
+        return rows.join(F.broadcast(cuts), F.lit(True), how)  # one row
+    renamed = cuts.select(*[F.col(c).alias(f"__g_{c}") for c in group], *[c for c in cuts.columns if c not in group])
+    return rows.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in group]), how)
 
 
 def evict_protected(dirs: DataFrame, limit: int | Column, protected: DataFrame, group: list[str] | None = None, order: tuple[str, ...] = ("mtime", "path")) -> DataFrame:

@@ -7,10 +7,11 @@ one before, and no step holds a whole image.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import kernels as K
@@ -137,6 +138,11 @@ def encode_bmp(tiles: DataFrame, alpha: bool = True) -> DataFrame:
     return _map(tiles, lambda t: {"image_id": t.image_id, "z": t.z, "tx": t.tx, "ty": t.ty, "bmp": K.encode_bmp(_array(t), alpha)}, "image_id long, z int, tx int, ty int, bmp binary")
 
 
+def encode_jpeg(tiles: DataFrame, quality: int = 85) -> DataFrame:
+    """Lossy, on white where a tile is not opaque."""
+    return _map(tiles, lambda t: {"image_id": t.image_id, "z": t.z, "tx": t.tx, "ty": t.ty, "jpeg": K.encode_jpeg(_array(t), quality)}, "image_id long, z int, tx int, ty int, jpeg binary")
+
+
 def encode_gif(tiles: DataFrame) -> DataFrame:
     """Opaque tiles of at most 256 colours, without loss."""
     return _map(tiles, lambda t: {"image_id": t.image_id, "z": t.z, "tx": t.tx, "ty": t.ty, "gif": K.encode_gif(_array(t))}, "image_id long, z int, tx int, ty int, gif binary")
@@ -196,6 +202,24 @@ def to_srgb(rasters: DataFrame) -> DataFrame:
     return _map(rasters, change, TILE + ", converted boolean")
 
 
-def tiles_sink(tiles: DataFrame, path: str) -> None:
-    """Write tiles by image and level, in row order, so that a level of an image is read from few files."""
-    tiles.repartition("image_id", "z").sortWithinPartitions("image_id", "z", "ty", "tx").write.mode("append").parquet(path)
+def morton(tx: Column, ty: Column, bits: int = 24) -> Column:
+    """The bits of both numbers in turn: near tiles have near keys."""
+    bit = lambda c, k: F.shiftright(c.cast("long"), k).bitwiseAND(F.lit(1).cast("long"))
+    spread = lambda c, odd: reduce(lambda a, b: a + b, [F.shiftleft(bit(c, k), 2 * k + odd) for k in range(bits)])
+    return spread(tx, 0) + spread(ty, 1)
+
+
+def tiles_sink(tiles: DataFrame, path: str, group_bytes: int = 16 << 20, partitions: int | None = None) -> None:
+    """Write tiles clustered for viewports: ranged by image, level and Morton key, so that each row group is a compact patch of
+    one level and its least and greatest tx and ty tell readers whether to open it.  A large level is cut over many files."""
+    keyed = tiles.withColumn("morton", morton(F.col("tx"), F.col("ty")))
+    order = ["image_id", "z", "morton"]
+    ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode("append").option("parquet.block.size", str(group_bytes)).parquet(path)
+
+
+def read_viewport(spark: SparkSession, path: str, image_id: int, z: int, box: tuple[int, int, int, int]) -> DataFrame:
+    """The stored tiles of a level within (tx0, ty0, tx1, ty1), ends included."""
+    x0, y0, x1, y1 = box
+    where = (F.col("image_id") == image_id) & (F.col("z") == z) & F.col("tx").between(x0, x1) & F.col("ty").between(y0, y1)
+    return spark.read.parquet(path).where(where).drop("morton")

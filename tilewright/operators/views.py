@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -31,8 +31,12 @@ def frame_limits(scale: np.ndarray, most: np.ndarray) -> tuple[list[int], list[i
 
 def next_level(scale: float, previous: int | None, most: int) -> int:
     """Level of detail with hysteresis."""
-    state = _Levels(-1 if previous is None else previous)
-    return state.step(*(v[0] for v in frame_limits(np.array([scale], dtype=float), np.array([most]))))
+    return start_levels(previous).step(*(v[0] for v in frame_limits(np.array([scale], dtype=float), np.array([most]))))
+
+
+def start_levels(previous: int | None) -> _Levels:
+    """A session's state after the level ``previous`` (None: before its first frame)."""
+    return _Levels(-1 if previous is None else previous)
 
 
 class _Levels:
@@ -115,29 +119,44 @@ def with_ranges(events: DataFrame, tile_size: int) -> DataFrame:
     return rows.withColumn("range", G.tile_range(F.col("rect"), F.col("level"), F.col("w"), F.col("h"), tile_size))
 
 
-def visible_tiles(ranged: DataFrame) -> DataFrame:
-    """(image_id, z, tx, ty, views): tiles that views show, with how many.
+def tile_cover(rects: DataFrame, keys: tuple[str, ...] = ("image_id", "z"), value: str = "n") -> DataFrame:
+    """(keys, tx, ty, value): for each tile the sum of ``value`` over the rectangles (x0, x1, y0, y1, ends included) that hold it,
+    where that is not zero.  Rectangles of no tiles count nothing.
 
-    Equal ranges are counted first and exploded once, so the blow-up is by distinct ranges, not by events.
+    A rectangle is four corners of a difference array, whatever its size; corners that meet are added first.  Sums down each
+    column of corners tell how a row of tiles differs from the tile to its left, for runs of rows; sums along each row then
+    give the tiles.  So rows are made for corners, for the rows that a column of corners spans, and for the tiles that come
+    out, and never for the tiles of each rectangle.
     """
-    ranges = ranged.groupBy("image_id", F.col("level").alias("z"), "range").agg(F.count("*").alias("n")).where("range.tx0 <= range.tx1 and range.ty0 <= range.ty1")
-    rows = ranges.select("image_id", "z", "n", "range", F.explode(F.sequence(F.col("range.ty0"), F.col("range.ty1"))).alias("ty"))
-    tiles = rows.select("image_id", "z", "n", F.explode(F.sequence(F.col("range.tx0"), F.col("range.tx1"))).alias("tx"), "ty")
-    return tiles.groupBy("image_id", "z", "tx", "ty").agg(F.sum("n").alias("views"))
+    corner = lambda x, y, sign: F.struct(F.col(x[0]).cast("long") + x[1], F.col(y[0]).cast("long") + y[1], F.col(value) * sign)
+    ends = [(("x0", 0), ("y0", 0), 1), (("x1", 1), ("y0", 0), -1), (("x0", 0), ("y1", 1), -1), (("x1", 1), ("y1", 1), 1)]
+    named = F.array(*[corner(*e).cast("struct<tx:bigint,ty:bigint,d:bigint>") for e in ends])
+    corners = rects.where("x0 <= x1 and y0 <= y1").select(*keys, F.explode(named).alias("c")).groupBy(*keys, "c.tx", "c.ty").agg(F.sum("c.d").alias("d")).where("d != 0")
+    down = Window.partitionBy(*keys, "tx").orderBy("ty")
+    columns = corners.select(*keys, "tx", "ty", F.sum("d").over(down).alias("d"), F.lead("ty").over(down).alias("below")).where("d != 0")
+    steps = columns.select(*keys, "tx", F.explode(F.sequence("ty", F.col("below") - 1)).alias("ty"), "d")
+    along = Window.partitionBy(*keys, "ty").orderBy("tx")
+    runs = steps.select(*keys, "tx", "ty", F.sum("d").over(along).alias(value), F.lead("tx").over(along).alias("right")).where(f"{value} != 0")
+    return runs.select(*keys, F.explode(F.sequence("tx", F.col("right") - 1)).alias("tx"), "ty", value)
+
+
+def visible_tiles(ranged: DataFrame) -> DataFrame:
+    """(image_id, z, tx, ty, views): tiles that views show, with how many.  Work grows with views, not with the tiles they show."""
+    r = F.col("range")
+    rects = ranged.select("image_id", F.col("level").alias("z"), r["tx0"].alias("x0"), r["tx1"].alias("x1"), r["ty0"].alias("y0"), r["ty1"].alias("y1"), F.lit(1).cast("long").alias("views"))
+    return tile_cover(rects, value="views")
 
 
 def prefetch_ring(ranged: DataFrame, tile_size: int, radius: int = DEFAULT.prefetch_radius) -> DataFrame:
-    """(image_id, z, tx, ty, views): tiles around the visible ones, inside the level's grid."""
+    """(image_id, z, tx, ty, views): tiles around the visible ones, inside the level's grid: the widened ranges less the
+    ranges themselves."""
     scale = G.pow2(F.col("level"))
     last = lambda side: G.ceil_div(G.ceil_div(F.col(side), scale), tile_size) - 1
     r = F.col("range")
-    ranges = ranged.groupBy("image_id", F.col("level").alias("z"), "range", last("w").alias("mx"), last("h").alias("my")).agg(F.count("*").alias("n"))
-    box = ranges.select(
-        "image_id", "z", "n", "range", F.greatest(F.lit(0).cast("long"), r["tx0"] - radius).alias("ax"), F.least(F.col("mx"), r["tx1"] + radius).alias("bx"), F.greatest(F.lit(0).cast("long"), r["ty0"] - radius).alias("ay"), F.least(F.col("my"), r["ty1"] + radius).alias("by")
-    ).where("ax <= bx and ay <= by")
-    rows = box.withColumn("ty", F.explode(F.sequence("ay", "by"))).withColumn("tx", F.explode(F.sequence("ax", "bx")))
-    shown = F.col("tx").between(r["tx0"], r["tx1"]) & F.col("ty").between(r["ty0"], r["ty1"])
-    return rows.where(~shown).groupBy("image_id", "z", "tx", "ty").agg(F.sum("n").alias("views"))
+    rect = lambda x0, x1, y0, y1, n: F.struct(*[c.cast("long").alias(k) for c, k in zip((x0, x1, y0, y1, F.lit(n)), ("x0", "x1", "y0", "y1", "views"))])
+    wide = rect(F.greatest(F.lit(0), r["tx0"] - radius), F.least(last("w"), r["tx1"] + radius), F.greatest(F.lit(0), r["ty0"] - radius), F.least(last("h"), r["ty1"] + radius), 1)
+    shown = rect(r["tx0"], r["tx1"], r["ty0"], r["ty1"], -1)
+    return tile_cover(ranged.select("image_id", F.col("level").alias("z"), F.explode(F.array(wide, shown)).alias("r")).select("image_id", "z", "r.*"), value="views")
 
 
 def tile_priority(demand: DataFrame) -> DataFrame:

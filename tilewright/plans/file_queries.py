@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..operators import tiles
 from ..scratch import scratch_path
-from ..sources import images
+from ..sources import images, store
 from ..streaming import jobs
 from .derive import derived, table
 from .library_queries import _SUPPORTED
@@ -51,7 +51,8 @@ def stream_catalog(spark, sf_dir):
     """The same files as they come in."""
     root = _written(spark, _catalog_files(spark, sf_dir), "library")
     seen = _run(jobs.stream_catalog(spark, f"{root}/*").writeStream, spark, "arrivals")
-    return jobs.newest_scan(seen, seen.limit(0)).select(F.element_at(F.split("path", "/"), -2).alias("directory"), "name", "size")
+    before = seen.withColumns({"size": F.lit(0).cast("long"), "scanned_at": F.col("scanned_at") - F.expr("interval 1 hour")})
+    return jobs.newest_scan(before, seen).select(F.element_at(F.split("path", "/"), -2).alias("directory"), "name", "size")
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +119,13 @@ def read_region_bmp(spark, sf_dir):
 
 @query(_AREA.replace("SELECT image_id,", "SELECT md5(CAST(image_id AS VARCHAR)) AS cache_key, 4 AS size, image_id,", 1), "pixels", "odd_pixels")
 def thumbnails_sink(spark, sf_dir):
-    """Thumbnails stored under their keys, and read back."""
+    """Thumbnails published under their keys, twice, and read back."""
     path = scratch_path(spark, "thumbnails")
     encoded = tiles.encode_png(_rasters(spark, sf_dir)).select("image_id", F.col("png").alias("content"))
     thumbs = tiles.thumbnails(encoded, 4).select("image_id", F.md5(F.col("image_id").cast("string")).alias("cache_key"), F.lit(4).alias("size"), "content")
     images.thumbnails_sink(thumbs, path)
-    stored = spark.read.parquet(path)
+    images.thumbnails_sink(thumbs.unionByName(thumbs), path)
+    stored = store.read_store(spark, path)
     return tiles.to_pixels(tiles.decode(stored), 16).select(*_COLUMNS).join(stored.select("image_id", "cache_key", "size"), "image_id")
 
 

@@ -13,7 +13,6 @@ from .library_queries import _FACTS, _LARGE, _MODE, _SUPPORTED, _SYSTEM
 from .registry import query
 
 _FORMATS = ("jpg", "png", "gif", "bmp", "webp", "tif", "heic", "jxl")
-_i = F.col("image_id")
 
 
 def _big(v: Column | int, n: int) -> Column:
@@ -44,15 +43,16 @@ def _box(kind: str, *body: Column | str) -> Column:
 
 def _contents(w: Column, h: Column) -> list[Column]:
     """One file of each format, in hexadecimal digits."""
+    i = F.col("image_id")
     block = lambda marker, n: _text(f"FF{marker}", _big(n + 2, 2), _filler(n))
-    frame = F.when(_i % 16 == 0, "C0").otherwise("C2")
-    jpeg = _text("FFD8", block("E0", F.lit(14)), block("E1", (_i * 53) % 60000), F.repeat(F.lit("FF"), (_i % 5).cast("int")), block("C4", F.lit(28)), "FF", frame, "001108", _big(h, 2), _big(w, 2), "03012200021101031101FFDA")
+    frame = F.when(i % 16 == 0, "C0").otherwise("C2")
+    jpeg = _text("FFD8", block("E0", F.lit(14)), block("E1", (i * 53) % 60000), F.repeat(F.lit("FF"), (i % 5).cast("int")), block("C4", F.lit(28)), "FF", frame, "001108", _big(h, 2), _big(w, 2), "03012200021101031101FFDA")
     png = _text("89504E470D0A1A0A0000000D", _ascii("IHDR"), _big(w, 4), _big(h, 4), "0806000000")
-    gif = _text(F.when(_i % 16 == 2, _ascii("GIF87a")).otherwise(_ascii("GIF89a")), _little(w, 2), _little(h, 2), "F00000")
-    down = F.when(_i % 16 == 3, F.lit(1 << 32) - h).otherwise(h)  # a negative height: rows from the top
+    gif = _text(F.when(i % 16 == 2, _ascii("GIF87a")).otherwise(_ascii("GIF89a")), _little(w, 2), _little(h, 2), "F00000")
+    down = F.when(i % 16 == 3, F.lit(1 << 32) - h).otherwise(h)  # a negative height: rows from the top
     bmp = _text("424D", "00" * 8, "36000000", "28000000", _little(w, 4), _little(down, 4), "0100", "1800", "00" * 24)
     sides = (w - 1) + F.call_function("shiftleft", (h - 1).cast("long"), F.lit(14))
-    kind = F.floor(_i / 8) % 3
+    kind = F.floor(i / 8) % 3
     webp = _text(
         _ascii("RIFF"), "00000000", _ascii("WEBP"),
         F.when(kind == 0, _text(_ascii("VP8X"), "0A000000", "10000000", _little(w - 1, 3), _little(h - 1, 3)))
@@ -60,14 +60,14 @@ def _contents(w: Column, h: Column) -> list[Column]:
         .otherwise(_text(_ascii("VP8 "), "20000000", "B04000", "9D012A", _little(w, 2), _little(h, 2))),
         "00" * 8,
     )
-    gap = (_i * 7) % 2500 * 2
-    entry = lambda n, tag, v: _text(n(tag, 2), F.when(_i % 3 == 0, _text(n(3, 2), n(1, 4), n(v, 2), "0000")).otherwise(_text(n(4, 2), n(1, 4), n(v, 4))))
+    gap = (i * 7) % 2500 * 2
+    entry = lambda n, tag, v: _text(n(tag, 2), F.when(i % 3 == 0, _text(n(3, 2), n(1, 4), n(v, 2), "0000")).otherwise(_text(n(4, 2), n(1, 4), n(v, 4))))
     directory = lambda n: _text(n(gap + 8, 4), _filler(gap), n(2, 2), entry(n, 256, w), entry(n, 257, h), "00000000")
-    tiff = F.when(_i % 16 == 5, _text("49492A00", directory(_little))).otherwise(_text("4D4D002A", directory(_big)))
+    tiff = F.when(i % 16 == 5, _text("49492A00", directory(_little))).otherwise(_text("4D4D002A", directory(_big)))
     ispe = lambda x, y: _box("ispe", "00000000", _big(x, 4), _big(y, 4))
-    owned = _box("ipma", "00000000", "00000002", F.when(_i % 3 == 0, "0001010100020102").otherwise("0002010200010101"))
+    owned = _box("ipma", "00000000", "00000002", F.when(i % 3 == 0, "0001010100020102").otherwise("0002010200010101"))
     meta = _box("meta", "00000000", _box("pitm", "00000000", "0002"), _box("iprp", _box("ipco", ispe(160, 120), ispe(w, h)), owned))
-    heif = _text(_box("ftyp", _ascii("heic"), "00000000", _ascii("mif1")), F.when(_i % 16 == 6, _box("mdat", _filler((_i * 31) % 9000))).otherwise(F.lit("")), meta)
+    heif = _text(_box("ftyp", _ascii("heic"), "00000000", _ascii("mif1")), F.when(i % 16 == 6, _box("mdat", _filler((i * 31) % 9000))).otherwise(F.lit("")), meta)
     bits = F.lit(2 << 1) + F.call_function("shiftleft", (h - 1).cast("long"), F.lit(3)) + F.lit(2 << 24) + F.call_function("shiftleft", (w - 1).cast("long"), F.lit(26))
     jxl = _text("FF0A", _little(bits, 6), "00" * 12)
     return [jpeg, png, gif, bmp, webp, tiff, heif, jxl]
@@ -75,14 +75,15 @@ def _contents(w: Column, h: Column) -> list[Column]:
 
 def _headed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name and content; of every 13 files one is cut short, of every 17 one is no image."""
+    i = F.col("image_id")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), ((F.col("p_partkey") * 37) % 14000 + 1).cast("long").alias("w"), ((F.col("p_partkey") * 101) % 9000 + F.col("p_size")).cast("long").alias("h"))
-    which = (_i % len(_FORMATS)).cast("int")
+    which = (i % len(_FORMATS)).cast("int")
     made = None
     for k, digits in enumerate(_contents(F.col("w"), F.col("h"))):
         made = F.when(which == k, digits) if made is None else made.when(which == k, digits)
     cut = F.when(which == 2, 8).when(which == 7, 4).otherwise(20)
-    content = F.when(_i % 17 == 0, F.encode(F.repeat(F.lit("no image "), 9), "UTF-8")).when(_i % 13 == 0, F.unhex(F.substring(made, F.lit(1), 2 * cut))).otherwise(F.unhex(made))
-    return rows.select(F.concat(_i.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _FORMATS)), which + 1)).alias("name"), content.alias("content"))
+    content = F.when(i % 17 == 0, F.encode(F.repeat(F.lit("no image "), 9), "UTF-8")).when(i % 13 == 0, F.unhex(F.substring(made, F.lit(1), 2 * cut))).otherwise(F.unhex(made))
+    return rows.select(F.concat(i.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _FORMATS)), which + 1)).alias("name"), content.alias("content"))
 
 
 _NAMES = "['jpg', 'png', 'gif', 'bmp', 'webp', 'tif', 'heic', 'jxl']"

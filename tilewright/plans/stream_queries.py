@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..scratch import scratch_path
-from ..streaming import jobs
+from ..sources import store
+from ..streaming import jobs, snapshots
 from .derive import derived, table
 from .library_queries import _KEYED, _STORE, _store
 from .registry import query
@@ -46,7 +47,13 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_lod(spark, sf_dir):
     """Levels chosen frame by frame with each session's last level in state."""
     events = _views(spark, sf_dir).select("session_id", "event_id", "ts", (F.col("zoom") * F.col("dpr")).alias("scale"), F.lit(5).alias("max_level"))
-    return _run(jobs.stream_lod(events).writeStream.outputMode("append"), spark, "lod").select("event_id", "level")
+    key, provider = jobs.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        return _run(jobs.stream_lod(events, idle_seconds=10**8).writeStream.outputMode("append"), spark, "lod").select("event_id", "level")
+    finally:
+        spark.conf.set(key, before)
 
 
 @query(ORACLES["visible_tiles"])
@@ -66,7 +73,25 @@ def stream_thumbnails(spark, sf_dir):
     files = derived(spark, sf_dir, "catalog").select("image_id", "path", "size", "modified_ms")
     keyed = requests.join(files, "image_id").select(N.cache_key(F.col("path"), F.col("size"), F.col("modified_ms"), F.col("px")).alias("cache_key"), "path", "px")
     path = scratch_path(spark, "thumbnails")
-    _store(spark, sf_dir).select("cache_key", F.lit(160).alias("px"), F.lit(False).alias("built")).write.parquet(f"{path}/store")
+    store.publish(_store(spark, sf_dir).select("cache_key", F.lit(160).alias("px"), F.lit(False).alias("built")), f"{path}/store")
     build = lambda work: work.select("cache_key", "px", F.lit(True).alias("built"))
     jobs.stream_thumbnails(keyed, f"{path}/store", build, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/store").where("built").select("cache_key", "px")
+    return store.read_store(spark, f"{path}/store").where("built").select("cache_key", "px")
+
+
+_SCANS = """s AS (SELECT '/library/' || CAST(l_suppkey % 40 AS VARCHAR) AS directory, CAST(l_linenumber % 3 AS BIGINT) AS token, CAST(l_orderkey AS VARCHAR) || '.png' AS path, max(l_partkey) AS size FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"WITH {_SCANS} SELECT directory, token, path, CAST(size AS BIGINT) AS size FROM s WHERE token = (SELECT max(token) FROM s AS o WHERE o.directory = s.directory)")
+def catalog_upsert(spark, sf_dir):
+    """Scans of directories come in pieces and out of order; the newest complete one of each directory stays."""
+    li = table(spark, sf_dir, "lineitem")
+    directory = F.concat(F.lit("/library/"), (F.col("l_suppkey") % 40).cast("string"))
+    rows = li.groupBy(directory.alias("directory"), (F.col("l_linenumber") % 3).cast("long").alias("token"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".png")).alias("path")).agg(F.max("l_partkey").cast("long").alias("size"))
+    files = rows.groupBy("directory", "token").agg(F.count("*").alias("files"))
+    scans = rows.join(files, ["directory", "token"]).select("directory", "token", "files", "path", F.col("path").alias("name"), "size", F.lit(0).cast("long").alias("modified_ms"))
+    path = scratch_path(spark, "scans")
+    scans.repartition(4, "path").write.parquet(f"{path}/in")
+    seen = spark.readStream.schema(snapshots.SCANS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    snapshots.stream_scans(seen, f"{path}/catalog", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return snapshots.CatalogTable(spark, f"{path}/catalog").read().where("state = 'live'").select("directory", "token", "path", "size")

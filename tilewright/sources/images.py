@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import naming as N
 from ..policy import DEFAULT
+from .store import publish
 
 HEADER_BYTES = 64
 DECODED = ["path", "width", "height", "data", "orientation", "converted", "error"]
@@ -223,6 +224,7 @@ def read_regions(rects: DataFrame) -> DataFrame:
     return wanted.mapInPandas(run, "rect_id long, width int, height int, data binary")
 
 
-def thumbnails_sink(thumbs: DataFrame, path: str) -> None:
-    """Append thumbnails (cache_key, size, content, ...) by size; the commit publishes them at once."""
-    thumbs.write.mode("append").partitionBy("size").parquet(path)
+def thumbnails_sink(thumbs: DataFrame, path: str) -> int:
+    """Publish thumbnails (cache_key, size, content, ...) under their keys, at once and each key once, whoever else writes;
+    returns the store's version.  ``store.read_store`` reads them."""
+    return publish(thumbs, path)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import naming as N
 from ..operators import caching, views
+from ..sources import store
 from ..sources.images import plain_path
 
 FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -35,49 +35,86 @@ def stream_thumbnails(requests: DataFrame, store_path: str, build: Callable[[Dat
     """Build what is requested and not stored yet, each key once; returns the running query.
 
     ``requests``: cache_key, path, px.  A batch's repeats are folded, and its keys are held against the store,
-    so no request is too late and no state grows.  A batch that is run again finds its own keys and writes
-    nothing twice.
+    so no request is too late and no state grows.  What is built is published at once under its keys: a batch that is
+    run again, or another job's, writes nothing twice.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         work = caching.request_dedup(batch).drop("waiting")
-        work = caching.cache_miss(work, spark.read.parquet(store_path)) if there else work
-        build(work).write.mode("append").parquet(store_path)
+        if store.latest_version(store_path):
+            work = caching.cache_miss(work, store.read_store(batch.sparkSession, store_path))
+        store.publish(build(work), store_path)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-#: Rows of a session that are in memory at once.
-FRAME_ROWS = 100_000
-
-
-def stream_lod(events: DataFrame) -> DataFrame:
+#: What the session has to set before a query of ``stream_lod`` starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Frames that go to the state at once.
+FRAMES = 1000
+
+
+class _Frames(StatefulProcessor):
+    """A session's frames wait in a list until the watermark has passed them, and are then answered in order; the level is a
+    value that goes when the session has been idle.  Times are event times, in milliseconds and microseconds."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, scale double, max_level int")
+        self.level = handle.getValueState("level", "level int, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, first = [], None
+        for r in rows:
+            held.append((r["us"], r["event_id"], r["scale"], r["max_level"]))
+            first = r["us"] if first is None else min(first, r["us"])
+            if len(held) == FRAMES:
+                self.waiting.appendList(held)
+                held = []
+        if held:
+            self.waiting.appendList(held)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for r in self.waiting.get():
+            (due if r[0] // 1000 <= now else rest).append(tuple(r))
+        known = self.level.get() if self.level.exists() else None
+        if due:
+            due.sort(key=lambda r: r[:2])
+            state = views.start_levels(known[0] if known else None)
+            scales, most = (np.array([default if r[k] is None else r[k] for r in due], dtype=float) for k, default in ((2, np.nan), (3, 0)))
+            answers = [state.step(*limits) for limits in zip(*views.frame_limits(scales, most))]
+            seen = due[-1][0] // 1000
+            self.level.update((state.end(), seen))
+            self.handle.registerTimer(seen + self.idle_ms)
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest) // 1000)
+            else:
+                self.waiting.clear()
+            for r, level in zip(due, answers):
+                yield Row(session_id=key[0], event_id=r[1], level=level)
+        elif known and not rest and known[1] + self.idle_ms <= now:
+            self.level.clear()
+
+
+def stream_lod(events: DataFrame, late: str = "0 seconds", idle_seconds: int = 3600) -> DataFrame:
     """session_id, event_id, level: each choice starts from the session's level kept in state.
 
-    ``events``: session_id, event_id, ts, scale, max_level; rows of a batch are taken in order of
-    (ts, event_id).  A session's state is one number.  Frames of a session arrive unordered, so their numbers (28
-    bytes a row) are gathered and sorted, and its answers leave in pieces; a batch bounds them (the source's
-    limits, such as maxFilesPerTrigger, bound a batch).
+    ``events``: session_id, event_id, ts (timestamp), scale, max_level.  Frames are answered in order of (ts, event_id)
+    across batches: they wait until the watermark, ``late`` behind the newest frame, has passed them; frames later than
+    that are dropped.  A session's state is its waiting frames and one number, and is removed after ``idle_seconds`` of
+    event time, from when on the session begins anew.  A batch's frames go to the state in pieces.  ``STATE_STORE`` has to be set.
     """
-
-    def choose(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else None
-        held = [np.rec.fromarrays([f["ts"].to_numpy().astype("int64"), f["event_id"].to_numpy(), f["scale"].to_numpy("f8"), f["max_level"].to_numpy("i4")], names="ts,event_id,scale,most") for f in frames]
-        rows = np.concatenate(held)
-        del held
-        rows = rows[np.lexsort((rows["event_id"], rows["ts"]))]
-        for at in range(0, len(rows), FRAME_ROWS):
-            part, levels = rows[at : at + FRAME_ROWS], []
-            for scale, most in zip(part["scale"].tolist(), part["most"].tolist()):
-                level = views.next_level(scale, level, max(0, most))
-                levels.append(level)
-            yield pd.DataFrame({"session_id": key[0], "event_id": part["event_id"], "level": np.array(levels, dtype=np.int32)})
-        state.update((level,))
-
-    return events.groupBy("session_id").applyInPandasWithState(choose, "session_id long, event_id long, level int", "level int", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).withColumn("max_level", F.col("max_level").cast("int"))
+    return keyed.groupBy("session_id").transformWithState(_Frames(1000 * idle_seconds), "session_id long, event_id long, level int", "Append", "EventTime")
 
 
 def stream_tile_demand(events: DataFrame, images: DataFrame, tile_size: int, radius: int = 1) -> DataFrame:
