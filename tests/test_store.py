@@ -140,3 +140,36 @@ def test_version_that_was_not_logged_is_not_read(spark, tmp_path):
     assert table_of(table.read().collect()) == {("d", "a", 1, "live")}
     table.apply(spark.createDataFrame(scan("d", 2, ["b"]), snapshots.SCANS), 1)
     assert table_of(table.read().collect()) == {("d", "a", 2, "gone"), ("d", "b", 2, "live")}
+
+
+# The job from listing to store
+
+
+def test_thumbnail_job(spark, tmp_path):
+    """What is stored is not built again, what changed is, and what cannot be made is told each time."""
+    import os
+
+    import numpy as np
+
+    from tilewright import kernels as K
+    from tilewright.policy import Policy
+    from tilewright.sources import thumbnails
+
+    root, path = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    put = lambda name, value: (root / name).write_bytes(K.encode_png(np.full((6, 9, 4), value, dtype=np.uint8)))
+    for k, name in enumerate(["a.png", "b [1]*?.png", "c {x}%.png"]):
+        put(name, 40 * k)
+    (root / "cut.png").write_bytes(K.encode_png(np.zeros((6, 9, 4), np.uint8))[:40])
+    (root / "pic.svg").write_bytes(b"<svg/>")
+    run = lambda **o: {r["path"].rpartition("/")[2]: r["error"] for r in thumbnails.build_thumbnails(spark, [str(root)], path, 3, **o).collect()}
+    small = Policy(decode_max_side=8)
+    assert set(run(policy=small).values()) == {"IMAGE_TOO_LARGE", "UNSUPPORTED_FORMAT"} and store.latest_version(path) == 0
+    assert run() == {"a.png": None, "b [1]*?.png": None, "c {x}%.png": None, "cut.png": "DECODE_ERROR", "pic.svg": "UNSUPPORTED_FORMAT"}
+    first = store.read_store(spark, path).collect()
+    assert len(first) == 3 and all((r["width"], r["height"]) == (3, 2) for r in first)
+    assert sorted(K.decode_png(bytes(r["content"]))[0, 0, 0] for r in first) == [0, 40, 80]
+    assert set(run()) == {"cut.png", "pic.svg"} and store.latest_version(path) == 1
+    put("a.png", 200)
+    os.utime(root / "a.png", (2_000_000_000, 2_000_000_000))
+    assert set(run()) == {"a.png", "cut.png", "pic.svg"} and store.read_store(spark, path).count() == 4

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..operators import tiles
 from ..scratch import scratch_path
-from ..sources import images, store
+from ..sources import images, store, thumbnails
 from ..streaming import jobs
 from .derive import derived, table
 from .library_queries import _SUPPORTED
@@ -91,6 +91,19 @@ def decode_images(spark, sf_dir):
     return tiles.to_pixels(good, 16).select(*_COLUMNS, F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
+@query("SELECT image_id, CAST(max(x) + 1 AS INT) AS width, CAST(max(y) + 1 AS INT) AS height, true AS close FROM odd_pixels GROUP BY image_id", "pixels", "odd_pixels")
+def encode_jpeg(spark, sf_dir):
+    """Lossy files, read by the JVM's decoder; ``close``: the error, on white, is within what the quality allows."""
+    rasters = _rasters(spark, sf_dir)
+    files = tiles.encode_jpeg(rasters, 95).select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("name"), F.col("jpeg").alias("content"))
+    found = images.decode_images(spark, [_written(spark, files, "lossy")])
+    back = found.select(_id_of(F.col("path")).alias("image_id"), F.lit(0).alias("z"), F.lit(0).alias("tx"), F.lit(0).alias("ty"), "width", "height", "data")
+    flat = lambda c: F.col(f"o.{c}") * F.col("o.a") / 255 + 255 - F.col("o.a")
+    pairs = tiles.to_pixels(back, 16).alias("p").join(_odd(spark, sf_dir).alias("o"), ["image_id", "x", "y"])
+    error = F.sqrt(F.avg(sum(((F.col(f"p.{c}") - flat(c)) * (F.col(f"p.{c}") - flat(c)) for c in "rgb"), F.lit(0)) / 3))
+    return pairs.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), (error <= 10).alias("close"))
+
+
 def _bmp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, path, bmp) of BMP files, and their headers read back."""
     rasters = tiles.from_pixels(derived(spark, sf_dir, "pixels").select(*_COLUMNS[:-1], F.lit(255).alias("a")), 16)
@@ -129,6 +142,22 @@ def thumbnails_sink(spark, sf_dir):
     return tiles.to_pixels(tiles.decode(stored), 16).select(*_COLUMNS).join(stored.select("image_id", "cache_key", "size"), "image_id")
 
 
+@query(
+    """SELECT DISTINCT image_id, CASE image_id % 11 WHEN 0 THEN 'UNSUPPORTED_FORMAT' WHEN 1 THEN 'DECODE_ERROR' END AS error, image_id % 11 > 1 AS stored,
+    CASE WHEN image_id % 11 < 2 THEN 1 ELSE 0 END AS again FROM odd_pixels""",
+    "pixels",
+    "odd_pixels",
+)
+def thumbnail_job(spark, sf_dir):
+    """From listing to stored thumbnails, run twice: the second run finds only what cannot be made."""
+    root, path = _written(spark, _image_files(spark, sf_dir), "images"), scratch_path(spark, "thumbnails")
+    first = thumbnails.build_thumbnails(spark, [root], path, 4)
+    second = thumbnails.build_thumbnails(spark, [root], path, 4).groupBy("path").agg(F.count("*").alias("n"))
+    stored = store.read_store(spark, path).select("cache_key", F.lit(True).alias("kept"))
+    rows = first.join(stored, "cache_key", "left").join(second, "path", "left")
+    return rows.select(_id_of(F.col("path")).alias("image_id"), "error", F.coalesce("kept", F.lit(False)).alias("stored"), F.coalesce("n", F.lit(0)).cast("int").alias("again"))
+
+
 @query("SELECT image_id, x, y, r, g, b, a FROM odd_pixels", "pixels", "odd_pixels")
 def tiles_sink(spark, sf_dir):
     path = scratch_path(spark, "tiles")
