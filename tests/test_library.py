@@ -49,7 +49,7 @@ def test_natural_order(spark):
     from functools import cmp_to_key
 
     rng = random.Random(1)
-    names = {"img2.png", "img10.png", "IMG10.png", "img02.png", "a", "A", "", "007", "7", "a1b2", "a01b2"}
+    names = {"scan9", "Scan09", "scan11", "SCAN11", "scan011", "", "0", "00", "z", "Z", "p3q7", "p03q7", "p3q07"}
     names |= {"".join(rng.choice("aB0129._ -") for _ in range(rng.randint(1, 9))) for _ in range(400)}
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = [r["name"] for r in catalog.natural_sort(df).collect()]
@@ -114,14 +114,28 @@ def test_format_size(spark):
 
 
 def test_levels(spark):
-    rows = spark.createDataFrame([(19200, 16384), (1000, 1000), (513, 1), (512, 512)], "w int, h int").select(G.max_level(F.col("w"), F.col("h"), 512).alias("m")).collect()
-    assert [r["m"] for r in rows] == [6, 1, 1, 0]
-    sides = spark.range(1).select(*[G.level_side(F.lit(100), z).alias(str(z)) for z in (1, 2, 3)]).first()
-    assert list(sides) == [50, 25, 13]
-    fits = spark.createDataFrame([(100, 100), (8000, 4000), (4000, 8000), (8192, 8192)], "w int, h int").select(G.fit_within(F.col("w"), F.col("h"), 4096).alias("f")).collect()
-    assert [tuple(r["f"]) for r in fits] == [(100, 100), (4096, 2048), (2048, 4096), (4096, 4096)]
-    sides = spark.createDataFrame([(14386, 10481), (40000, 30000)], "w int, h int").select(G.raster_max_side(F.col("w"), F.col("h")).alias("s")).collect()
-    assert sides[0]["s"] is None and 3 * sides[1]["s"] * (sides[1]["s"] * 3 // 4) <= P.DEFAULT.raster_max_bytes
+    """Levels halve both sides, rounding up, until one tile holds the image; boxes keep the longer side's bound."""
+    rng = random.Random(17)
+    shapes = [(rng.randint(1, 40_000), rng.randint(1, 40_000)) for _ in range(60)] + [(256, 256), (257, 256), (1, 1), (1, 70_000)]
+    df = spark.createDataFrame(shapes, "w int, h int")
+    for tile in (256, 1024):
+        for r in df.select("w", "h", G.max_level(F.col("w"), F.col("h"), tile).alias("m")).collect():
+            level, side = 0, max(r["w"], r["h"])
+            while side > tile:
+                level, side = level + 1, -(-side // 2)
+            assert r["m"] == level
+    for r in df.select("w", *[G.level_side(F.col("w"), z).alias(f"z{z}") for z in range(6)]).collect():
+        assert [r[f"z{z}"] for z in range(6)] == [-(-r["w"] // 2**z) for z in range(6)]
+    for r in df.select("w", "h", G.fit_within(F.col("w"), F.col("h"), 3000).alias("f")).collect():
+        w, h = tuple(r["f"])
+        if max(r["w"], r["h"]) <= 3000:
+            assert (w, h) == (r["w"], r["h"])
+        else:
+            assert max(w, h) == 3000 and abs(w * r["h"] - h * r["w"]) <= max(r["w"], r["h"])
+    for r in df.select("w", "h", G.raster_max_side(F.col("w"), F.col("h")).alias("s")).collect():
+        if r["s"] is not None:
+            share = r["s"] / max(r["w"], r["h"])
+            assert share < 1 and 3 * (r["w"] * share) * (r["h"] * share) <= P.DEFAULT.raster_max_bytes * 1.001
 
 
 def view(spark, rows):
@@ -129,10 +143,18 @@ def view(spark, rows):
 
 
 def test_visible_rect(spark):
-    shape = (1.0, 10.0, 5.0, 40.0, 20.0, 100, 80)
-    rows = view(spark, [(*shape, 0), (*shape, 90), (*shape, 180), (*shape, 270), (2.0, -20.0, -10.0, 40.0, 20.0, 100, 80, 0)])
-    got = [tuple(r["k"]) for r in rows.select("i", G.visible_rect(G.View.of_columns()).alias("k")).orderBy("i").collect()]
-    assert got == [(0, 0, 30, 15), (0, 50, 15, 80), (70, 65, 100, 80), (85, 0, 100, 30), (10, 5, 30, 15)]
+    """The corners of the window, taken back through rotation, offset and zoom, bound what is seen."""
+    rng = random.Random(23)
+    rows = []
+    for _ in range(80):
+        w, h = rng.randint(50, 900), rng.randint(50, 900)
+        rows.append((rng.choice([0.5, 1.0, 3.0]), rng.uniform(-500, 200), rng.uniform(-500, 200), 320.0, 200.0, w, h, rng.choice([0, 90, 180, 270])))
+    back = {0: lambda x, y, w, h: (x, y), 90: lambda x, y, w, h: (y, h - x), 180: lambda x, y, w, h: (w - x, h - y), 270: lambda x, y, w, h: (w - y, x)}
+    for r in view(spark, rows).select("*", G.visible_rect(G.View.of_columns()).alias("k")).collect():
+        corners = [back[r["rotation"]]((sx - r["ox"]) / r["zoom"], (sy - r["oy"]) / r["zoom"], r["w"], r["h"]) for sx in (0, r["vw"]) for sy in (0, r["vh"])]
+        clip = lambda v, most: min(max(v, 0), most)
+        xs, ys = sorted(clip(x, r["w"]) for x, _ in corners), sorted(clip(y, r["h"]) for _, y in corners)
+        assert tuple(r["k"]) == pytest.approx((xs[0], ys[0], xs[-1], ys[-1]))
 
 
 def test_level_choice():
@@ -165,14 +187,18 @@ def test_lod_across_batches(spark):
 
 
 def test_neighbours(spark):
-    placed = catalog.position(spark.createDataFrame([("d", f"d/{n}", n) for n in "abcde"], "directory string, path string, name string"))
+    """Nearer ones first, and of two as near the one before; nobody beyond the ends."""
+    names = [f"n{k}" for k in range(7)]
+    placed = catalog.position(spark.createDataFrame([("d", f"d/{n}", n) for n in names] + [("e", "e/x", "x")], "directory string, path string, name string"))
     got = {}
-    for r in catalog.neighbours(placed, 2).orderBy("path", "rank").collect():
-        got.setdefault(r["path"], []).append(r["neighbour"][-1])
-    assert got["d/c"] == list("bdae") and got["d/a"] == list("bc") and got["d/e"] == list("dc")
-    assert catalog.neighbours(placed, 0).count() == 0
+    for r in catalog.neighbours(placed, 3).orderBy("path", "rank").collect():
+        got.setdefault(r["path"], []).append(r["neighbour"])
+    for i, name in enumerate(names):
+        steps = [i + s for d in (1, 2, 3) for s in (-d, d)]
+        assert got[f"d/{name}"] == [f"d/{names[j]}" for j in steps if 0 <= j < len(names)]
+    assert "e/x" not in got and catalog.neighbours(placed, 0).count() == 0
     ends = {r["path"]: (r["has_previous"], r["has_next"]) for r in placed.collect()}
-    assert ends["d/a"] == (False, True) and ends["d/e"] == (True, False)
+    assert ends["d/n0"] == (False, True) and ends["d/n6"] == (True, False) and ends["d/n3"] == (True, True) and ends["e/x"] == (False, False)
 
 
 def slow_evictions(files, limit):
@@ -212,11 +238,18 @@ def test_evict_watermark_does_not_sort(spark, monkeypatch):
 
 
 def test_evict_protected_and_pinned(spark):
-    dirs = spark.createDataFrame([("old", "old", 60, 1), ("live", "live", 60, 2), ("new", "new", 60, 3)], "hash string, path string, size long, mtime int")
-    gone = {r["hash"] for r in caching.evict_protected(dirs, 100, dirs.where("hash = 'live'")).where("evict").collect()}
-    assert gone == {"old", "new"}
-    entries = spark.createDataFrame([("a", 40, True, 1), ("b", 30, False, 2), ("c", 20, False, 3)], "key string, size long, pinned boolean, seq int")
-    assert {r["key"] for r in caching.evict_pinned(entries, 60).where("evict").collect()} == {"b"}
+    """One by one in order, those that may not go passed over, until the rest is within the limit."""
+    rng = random.Random(31)
+    rows = [(f"h{k}", rng.randint(1, 50), rng.randint(0, 9), rng.random() < 0.3) for k in range(60)]
+    df = spark.createDataFrame(rows, "hash string, size long, mtime int, kept boolean").withColumns({"path": F.col("hash"), "key": F.col("hash"), "pinned": F.col("kept"), "seq": F.struct("mtime", "hash")})
+    for limit in (100, 900, 10_000):
+        left, gone = sum(r[1] for r in rows), set()
+        for name, size, _, kept in sorted(rows, key=lambda r: (r[2], r[0])):
+            if left > limit and not kept:
+                gone.add(name)
+                left -= size
+        assert {r["hash"] for r in caching.evict_protected(df, limit, df.where("kept")).where("evict").collect()} == gone
+        assert {r["hash"] for r in caching.evict_pinned(df, limit).where("evict").collect()} == gone
 
 
 def test_sweep_trigger(spark):

@@ -5,13 +5,13 @@ from dataclasses import dataclass
 MB = 1024 * 1024
 
 #: File extensions by what can be done with them.
-SUPPORTED = tuple("jpg jpeg png webp avif jxl gif bmp svg tiff tif heic heif dng cr2 cr3 nef arw raf orf rw2 pef".split())
+SUPPORTED = ("jpg", "jpeg", "png", "webp", "avif", "jxl", "gif", "bmp", "svg", "tiff", "tif", "heic", "heif", "dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "pef")
 NO_THUMBNAIL = ("svg", "pef")
 TIFF = ("tif", "tiff")
-RAW = tuple("dng cr2 cr3 nef arw raf orf rw2".split())
-SYSTEM = (*"heic heif avif jxl".split(), *RAW)
+RAW = ("dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2")
+SYSTEM = ("heic", "heif", "avif", "jxl", *RAW)
 #: ISO-BMFF brands of HEIF and AVIF files.
-HEIF_BRANDS = tuple("heic heix heim heis hevc hevx hevm hevs mif1 msf1 avif avis".split())
+HEIF_BRANDS = ("heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs", "mif1", "msf1", "avif", "avis")
 THUMB_SIZES = (96, 160, 256)
 DEFAULT_THUMB = 160
 ALLOWED = {"previewMaxSize": (2048, 4096, 8192), "tileSize": (256, 512, 1024), "thumbnailSize": THUMB_SIZES}

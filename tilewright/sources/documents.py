@@ -27,6 +27,7 @@ def load_manifest(manifests: DataFrame, level_files: DataFrame, version: int = P
     return levels.join(whole, "hash", "left_semi")
 
 
+#: Names and defaults of the settings file.
 _LARGE = {"fileSizeThresholdMB": 300, "pixelThreshold": 50_000_000, "sideThreshold": 12_000, "previewMaxSize": 4096, "tileSize": 512, "prefetchRadius": 1, "neighborPrefetchCount": 1}
 _CACHE = {"pyramidCacheLimitMB": 1024, "memoryCacheLimitMB": 512, "diskCacheLimitMB": 2048}
 _PERFORMANCE = {"preloadNormalCount": 2}
