@@ -85,10 +85,10 @@ def sniff_heif(header: Column) -> Column:
     return F.coalesce((n >= 12) & (at(4) == b"ftyp".hex().upper()) & (at(8).isin(brands) | compatible), F.lit(False))
 
 
-def format_size(size: Column) -> Column:
-    """Bytes for people: B, then KB to TB with one decimal from 10 on, else two."""
+def format_size(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """Bytes for people: B, then ``units`` with one decimal from 10 on, else two; the last unit has no upper end."""
     out = None
-    for step, name in reversed(list(enumerate(("KB", "MB", "GB", "TB")))):
+    for step, name in reversed(list(enumerate(units))):
         scaled = size / F.lit(float(1024 ** (step + 1)))
         text = F.concat(F.when(scaled >= 10, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.2f", scaled)), F.lit(f" {name}"))
         out = F.when(size >= 1024 ** (step + 1), text) if out is None else out.when(size >= 1024 ** (step + 1), text)
