@@ -31,7 +31,7 @@ def both(spark, folder, name):
     return Counter(map(tuple, entry.queries()[name](spark, folder).select(*columns).collect())), Counter(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["format_size", "open_paths"])
+@pytest.mark.parametrize("name", ["format_size", "open_paths", "preload_delta"])
 def test_same_as_sql(spark, tables, name):
     got, want = both(spark, tables, name)
     assert got == want

@@ -245,9 +245,9 @@ def sweep_trigger(writes: DataFrame, threshold: int = P.DEFAULT.sweep_bytes, gro
     return scan(writes, _SweepFold(threshold), "fires", [group], list(order), partitions)
 
 
-def preload_delta(cached: DataFrame, needed: DataFrame) -> DataFrame:
-    """path and action: keep (cached and needed), drop (only cached), add (only needed)."""
-    have, want = cached.select("path").distinct(), needed.select("path").distinct()
+def preload_delta(cached: DataFrame, needed: DataFrame, key: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The key's columns and action of each item: keep (cached and needed), drop (only cached), add (only needed)."""
+    have, want = cached.select(*key).distinct(), needed.select(*key).distinct()
     act = lambda df, name: df.withColumn("action", F.lit(name))
     return act(have.intersect(want), "keep").unionByName(act(have.subtract(want), "drop")).unionByName(act(want.subtract(have), "add"))
 
