@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import drop, materialize, scratch_path, temporary
 
-__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "byte_offsets", "documents", "drop", "gather", "id_order", "is_space", "materialize", "mix", "scratch_path", "slices", "small_batches", "temporary", "text_or_empty"]
+__all__ = ["MAX_LONG", "WS", "WS_CLASS", "WindowHasher", "WordMemo", "Words", "byte_offsets", "documents", "drop", "gather", "id_order", "is_space", "materialize", "merged", "mix", "scratch_path", "slices", "small_batches", "temporary", "text_or_empty"]
 
 #: ``[\x20\x09-\x0D]``: the white space that separates words.
 WS = " \t\n\x0b\x0c\r"
@@ -45,6 +45,12 @@ def id_order(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not broadcast.  Spark guesses a table's size from its compressed files and takes
+    an explode for no larger than its input; what is broadcast has to fit the driver."""
+    return df.hint("merge")
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

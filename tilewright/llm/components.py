@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, merged
 
 
 #: Edges that one task of a round takes at least.
@@ -34,11 +34,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_low(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(merged(_low(both)), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         few = max(1, -(-mark["n"] // EDGES_A_TASK))  # a small graph does not write files for every shuffle partition
         large = large.where("u != v").coalesce(few).distinct().coalesce(few)
         low = _low(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(merged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         before, state = state, materialize(small.coalesce(few).distinct().coalesce(few), "edges")
         drop(before)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, Words, id_order, materialize, slices, small_batches, text_or_empty
+from .common import MAX_LONG, Words, id_order, materialize, merged, slices, small_batches, text_or_empty
 from .components import connected_components
 
 MAX_DISTANCE = 3
@@ -97,15 +97,15 @@ def hamming_links(fps: DataFrame, max_distance: int = MAX_DISTANCE, bucket_limit
     )
     probes = table.select(F.explode(ball).alias("probe"), "key", F.col("fp").alias("from_fp"))
     counts = table.groupBy("key").agg(F.count("*").alias("n"))
-    entries = table.join(counts, "key").select(F.col("key").alias("to_key"), F.col("fp").alias("to_fp"), "n")
+    entries = table.join(merged(counts), "key").select(F.col("key").alias("to_key"), F.col("fp").alias("to_fp"), "n")
     apart = F.bit_count(F.col("from_fp").bitwiseXOR(F.col("to_fp")))
     once = (F.col("probe") != F.col("key")) | (F.col("from_fp") < F.col("to_fp"))
-    near = probes.join(entries, (F.col("probe") == F.col("to_key")) & (F.col("n") <= bucket_limit) & once & (apart <= max_distance))
+    near = merged(probes).join(entries, (F.col("probe") == F.col("to_key")) & (F.col("n") <= bucket_limit) & once & (apart <= max_distance))
     links = near.select(F.col("from_fp").alias("u"), F.col("to_fp").alias("v"))
     crowded = materialize(counts.where(F.col("n") > bucket_limit).select(F.col("key").alias("probe")), "crowded")
     if crowded.isEmpty():
         return links
-    return links.unionByName(_crowded_links(probes.join(crowded, "probe"), max_distance))
+    return links.unionByName(_crowded_links(probes.join(merged(crowded), "probe"), max_distance))
 
 
 def _crowded_links(members: DataFrame, max_distance: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _crowded_links(members: DataFrame, max_distance: int) -> DataFrame:
         .select("probe", "fp", F.col("rest").bitwiseXOR(F.col("mask")).alias("point"), ((F.col("far") == 0) & (F.bit_count("mask") <= anchor)).alias("anchor"))
     )
     centre = named.where("anchor").groupBy("probe", "point").agg(F.min("fp").alias("v"))
-    return named.join(centre, ["probe", "point"]).select(F.col("fp").alias("u"), "v").where("u != v").distinct()
+    return named.join(merged(centre), ["probe", "point"]).select(F.col("fp").alias("u"), "v").where("u != v").distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, max_distance: int, shingle_words: int, bucket_limit: int) -> DataFrame:
@@ -138,10 +138,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, max_distance: int, shi
     classes = materialize(marked.groupBy("fp").agg(F.min(F.struct("ord", "th")).alias("low"), F.count("*").alias("n")), "classes")
     links = hamming_links(classes.select("fp"), max_distance, bucket_limit)
     labels = connected_components(links).select(F.col("node").alias("fp"), "component")
-    placed = classes.join(labels, "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
+    placed = classes.join(merged(labels), "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     heads = placed.groupBy("component").agg(F.min("low").alias("head"), F.sum("n").alias("group_size"))
     # Copies share one fingerprint: both sides are plain shuffled inputs, which adaptive execution splits.
-    return marked.join(placed.join(heads, "component").select("fp", "head", "group_size"), "fp")
+    return marked.join(merged(placed.join(merged(heads), "component").select("fp", "head", "group_size")), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, shingle_words: int = SHINGLE_WORDS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -170,4 +170,4 @@ def drop_near_duplicates(
     found = _grouped(docs, id_col, text_col, max_distance, shingle_words, bucket_limit)
     heads = found.where("ord = head.ord and th = head.th").select(F.col("ord").alias("__tw_ord"), F.col("th").alias("__tw_th")).distinct()
     keyed = docs.withColumns({"__tw_ord": id_order(id_col), "__tw_th": F.xxhash64(text_or_empty(text_col))})
-    return keyed.join(heads, ["__tw_ord", "__tw_th"], "left_semi").dropDuplicates(["__tw_ord", "__tw_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(merged(heads), ["__tw_ord", "__tw_th"], "left_semi").dropDuplicates(["__tw_ord", "__tw_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
