@@ -26,3 +26,10 @@ def test_simhash_joins_are_merged(spark, make_docs, corpus, plans, limit):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert found.count() == len(corpus) and not any("BroadcastExchange" in p for p in plans)
     assert any("SortMergeJoin" in p for p in plans)
+
+
+def test_near_joins_are_merged(spark, make_docs, corpus, plans):
+    found = near.drop_similar(make_docs(corpus))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() and not any("BroadcastExchange" in p for p in plans)
+    assert any("SortMergeJoin" in p for p in plans)
