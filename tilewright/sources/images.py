@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import naming as N
 from ..policy import DEFAULT
+from .listing import list_files
 from .store import publish
 
 HEADER_BYTES = 64
@@ -28,12 +29,10 @@ def plain_path(path):
 def scan_catalog(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """Supported files of the directories themselves, not below: directory, path, name, size, modified_ms.
 
-    Contents are pruned, so no file is opened; files that vanish meanwhile are skipped.  Spark does not list
-    names that begin with a dot or an underscore, nor files of no bytes.
+    Tasks list the directories, so no file is opened, and the driver holds none; files that vanish meanwhile are skipped.  As
+    with Spark's own listing, names that begin with a dot or an underscore are left out, and files of no bytes.
     """
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(dirs)
-    rows = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"))
-    named = rows.select(N.parent_dir(F.col("path")).alias("directory"), "path", N.base_name(F.col("path")).alias("name"), "size", "modified_ms")
+    named = list_files(spark, dirs).select(N.parent_dir(F.col("path")).alias("directory"), "path", N.base_name(F.col("path")).alias("name"), "size", "modified_ms")
     return named.where(N.is_supported(F.col("name")))
 
 
