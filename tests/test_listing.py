@@ -8,6 +8,7 @@ from pyspark.sql import DataFrameReader
 
 from tilewright import kernels as K
 from tilewright.sources import headers, images, listing
+from tilewright.streaming import jobs
 
 ODD = ["a b.png", "#.png", "%41.png", "[1].png", "{x}.png", "q?.png", "ü漢.png", "back\\slash.png", "star*.png"]
 
@@ -55,3 +56,22 @@ def test_patterns(spark, folder, pattern, want):
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         listing.list_files(spark, [str(tmp_path / "none")])
+
+
+def test_stream_of_files(spark, folder, tmp_path_factory):
+    """A file comes once, also after a restart, and again when it was changed."""
+    state, out = (str(tmp_path_factory.mktemp(n)) for n in ("state", "out"))
+
+    def run():
+        rows = jobs.stream_catalog(spark, f"{folder}/*")
+        assert "FileStreamSource" not in rows._jdf.queryExecution().logical().toString()
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted(os.path.basename(r["path"]) for r in spark.read.parquet(out).collect())
+
+    assert run() == sorted([*ODD, "top.png"])
+    (folder / "two" / "late.png").write_bytes(b"x")
+    os.utime(folder / "two" / "late.png", (1, 1))  # older than all that has been seen
+    (folder / "top.png").write_bytes(b"changed")
+    os.utime(folder / "top.png", (10**9, 10**9))
+    want = sorted([*ODD, "top.png", "top.png", "late.png"])
+    assert run() == want and run() == want

@@ -17,7 +17,7 @@ from .derive import derived, table
 from .library_queries import _SUPPORTED
 from .raster_queries import _AREA, _COLUMNS, _odd
 from .registry import ORACLES, query
-from .stream_queries import _run
+from .stream_queries import _run, with_state_store
 
 
 def _written(spark: SparkSession, files: DataFrame, name: str) -> str:
@@ -50,7 +50,7 @@ def scan_catalog(spark, sf_dir):
 def stream_catalog(spark, sf_dir):
     """The same files as they come in."""
     root = _written(spark, _catalog_files(spark, sf_dir), "library")
-    seen = _run(jobs.stream_catalog(spark, f"{root}/*").writeStream, spark, "arrivals")
+    seen = with_state_store(spark, lambda: _run(jobs.stream_catalog(spark, f"{root}/*").writeStream, spark, "arrivals"))
     before = seen.withColumns({"size": F.lit(0).cast("long"), "scanned_at": F.col("scanned_at") - F.expr("interval 1 hour")})
     return jobs.newest_scan(before, seen).select(F.element_at(F.split("path", "/"), -2).alias("directory"), "name", "size")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ def _run(writer, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+def with_state_store(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """``run`` with state that need not fit memory."""
+    key, provider = jobs.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        return run()
+    finally:
+        spark.conf.set(key, before)
+
+
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view log of ``derive.VIEWS``, as a stream."""
     e = F.col("event_id")
@@ -47,13 +60,8 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_lod(spark, sf_dir):
     """Levels chosen frame by frame with each session's last level in state."""
     events = _views(spark, sf_dir).select("session_id", "event_id", "ts", (F.col("zoom") * F.col("dpr")).alias("scale"), F.lit(5).alias("max_level"))
-    key, provider = jobs.STATE_STORE
-    before = spark.conf.get(key)
-    spark.conf.set(key, provider)
-    try:
-        return _run(jobs.stream_lod(events, idle_seconds=10**8).writeStream.outputMode("append"), spark, "lod").select("event_id", "level")
-    finally:
-        spark.conf.set(key, before)
+    answered = with_state_store(spark, lambda: _run(jobs.stream_lod(events, idle_seconds=10**8).writeStream.outputMode("append"), spark, "lod"))
+    return answered.select("event_id", "level")
 
 
 @query(ORACLES["visible_tiles"])

@@ -12,16 +12,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import naming as N
 from ..operators import caching, views
 from ..sources import store
-from ..sources.images import plain_path
-
-FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+from ..sources.listing import stream_files
 
 
 def stream_catalog(spark: SparkSession, directory: str) -> DataFrame:
-    """Supported files of a directory as they appear: path, name, size, modified_ms, scanned_at."""
-    files = spark.readStream.format("binaryFile").schema(FILES).load(directory)
-    rows = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"))
-    named = rows.select("path", N.base_name(F.col("path")).alias("name"), "size", "modified_ms", F.current_timestamp().alias("scanned_at"))
+    """Supported files of a directory as they appear: path, name, size, modified_ms, scanned_at.
+
+    What has been seen is state on the executors, not a list on the driver; with ``STATE_STORE`` set, it need not fit memory.
+    """
+    named = stream_files(spark, directory).select("path", N.base_name(F.col("path")).alias("name"), "size", "modified_ms", F.current_timestamp().alias("scanned_at"))
     return named.where(N.is_supported(F.col("name")))
 
 
