@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,7 +89,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
+    return _made(spark, path, df.schema)
+
+
+def materialize_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, within: Callable[[], AbstractContextManager] = nullcontext) -> DataFrame:
+    """``materialize`` of some tables of one schema, one after the other (at least one); each is asked for and written ``within``."""
+    path, schema, parts = scratch_path(spark, name), None, iter(parts)
+    while True:
+        with within():
+            part = next(parts, None)
+            if part is None:
+                return _made(spark, path, schema)
+            part.write.mode("append").parquet(path)
+            schema = part.schema
+
+
+def _made(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    made = spark.read.schema(schema).parquet(path)
     made._tilewright_path = path
     _note(path, spark)
     return made

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions import naming as N
 from ..policy import DEFAULT
-from .listing import list_files
+from ..scratch import materialize, materialize_parts, temporary
+from .listing import list_files, place
 from .store import publish
 
 HEADER_BYTES = 64
+#: So many files are handed to Spark's image source at once: it keeps all of its files on the driver.
+NAMED = 20_000
+RASTERS = "path string, width int, height int, data binary, orientation int, converted boolean, error string"
 DECODED = ["path", "width", "height", "data", "orientation", "converted", "error"]
 
 
@@ -47,14 +52,67 @@ def _origin_path(origin):
 
 
 def decode_images(spark: SparkSession, paths: list[str], upright: bool = True) -> DataFrame:
-    """path, width, height, data (RGBA), orientation, converted and error of image files.
+    """``decode_files`` of the files of some folders, patterns of paths or files."""
+    return decode_files(list_files(spark, paths).select("path"), upright)
+
+
+def decode_files(files: DataFrame, upright: bool = True, each: Callable[[DataFrame], DataFrame] = lambda rasters: rasters) -> DataFrame:
+    """``each`` of the rasters of ``files`` (path; each path once): path, width, height, data (RGBA), orientation, converted and error of image files.
 
     Spark's image source decodes JPEG, PNG, GIF (first frame) and BMP in the JVM; the task that holds the pixels reads the
     colour profile and the EXIF orientation from the file, converts to sRGB and turns the pixels upright, so that pixels
     are never shuffled.  Any file name will do.  A file that cannot be read is a row with a code, and the job goes on.
     Files are rows here; rasters that are too large for that are cut by ``cut_bmp``.
+
+    Files are read by name, ``NAMED`` at a time; what ``each`` makes of them is written where there are more.  ``each`` sees some of
+    the files at once, so it has to work row by row, or by joins on the path.
     """
-    seen = spark.read.format("image").option("ignoreMissingFiles", True).load(paths)
+    spark = files.sparkSession
+    with temporary() as tables:
+        named = tables.keep(materialize(files.select("path"), "named"))
+    pieces = -(-named.count() // NAMED)
+
+    def names(piece: int) -> list[str]:
+        rows = named if pieces == 1 else named.where(F.pmod(F.xxhash64("path"), F.lit(pieces)) == piece)
+        return still_there([r["path"] for r in rows.collect()])
+
+    empty = spark.createDataFrame([], RASTERS)
+    read = lambda piece: each(_decoded(spark, found, upright)) if (found := names(piece)) else each(empty)
+    if pieces <= 1:
+        with _small_files(spark):
+            return read(0)
+    return materialize_parts(spark, (read(k) for k in range(pieces)), "decoded", lambda: _small_files(spark))
+
+
+def still_there(paths: list[str]) -> list[str]:
+    """Those of some files of one store that have not vanished."""
+    if not paths:
+        return []
+    store = place(paths[0])[0]
+    return [p for p, f in zip(paths, store.get_file_info([place(p)[1] for p in paths])) if f.type == fs.FileType.File]
+
+
+def _escaped(path: str) -> str:
+    """A path that is read as it is, not as a pattern."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
+
+
+@contextmanager
+def _small_files(spark: SparkSession) -> Iterator[None]:
+    """Named files are looked up in one go, not by a task each, and small ones share tasks."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.threshold": str(2 * NAMED), "spark.sql.files.openCostInBytes": str(64 << 10)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _decoded(spark: SparkSession, paths: list[str], upright: bool) -> DataFrame:
+    seen = spark.read.format("image").option("ignoreMissingFiles", True).load([_escaped(p) for p in paths])
     pixels = seen.select(F.col("image.origin").alias("origin"), _origin_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +140,7 @@ def decode_images(spark: SparkSession, paths: list[str], upright: bool = True) -
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], type=t) for t in kinds], names=DECODED)
 
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.string()]
-    return pixels.mapInArrow(finish, "path string, width int, height int, data binary, orientation int, converted boolean, error string")
+    return pixels.mapInArrow(finish, RASTERS)
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
