@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import DataFrameReader
 
 from tilewright import kernels as K
-from tilewright.sources import headers, images, listing
+from tilewright.sources import headers, images, listing, thumbnails
 from tilewright.streaming import jobs
 
 ODD = ["a b.png", "#.png", "%41.png", "[1].png", "{x}.png", "q?.png", "ü漢.png", "back\\slash.png", "star*.png"]
@@ -58,6 +58,32 @@ def test_missing_folder(spark, tmp_path):
         listing.list_files(spark, [str(tmp_path / "none")])
 
 
+@pytest.mark.parametrize("named", [2, 1000])
+def test_decoding_by_names(spark, folder, loads, monkeypatch, named):
+    monkeypatch.setattr(images, "NAMED", named, raising=False)
+    whole = [images.decode_images(spark, [f"{folder}/*"]).collect() for _ in range(2)]
+    for rows in whole:
+        assert {os.path.basename(r["path"]): r["error"] or r["data"][0] for r in rows} == {n: 10 * k + 5 for k, n in enumerate(ODD)} | {"top.png": "UNSUPPORTED_FORMAT"}
+    assert loads and all(os.path.isfile(p.replace("\\", "")) or "\\" in p for paths in loads for p in paths)
+    assert (max(map(len, loads)) < len(ODD) + 1) == (named == 2)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4MB", "4194304b", "4194304")
+
+
+def test_thumbnails_read_only_what_lacks(spark, folder, loads, monkeypatch, tmp_path_factory):
+    """More files than are named at once, of which one is new in the second run: that one is read."""
+    monkeypatch.setattr(images, "NAMED", 2, raising=False)
+    monkeypatch.setattr(thumbnails, "NAMED", 2, raising=False)
+    store = str(tmp_path_factory.mktemp("store"))
+    assert {r["error"] for r in thumbnails.build_thumbnails(spark, [str(folder / "one"), str(folder / "two")], store, 2).collect()} == {None}
+    for k in range(3):
+        (folder / "two" / f"bad{k}.png").write_bytes(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\3\0\0\0\2\x08\6\0\0\0")
+    loads.clear()
+    again = thumbnails.build_thumbnails(spark, [str(folder / "one"), str(folder / "two")], store, 2).collect()
+    assert {os.path.basename(r["path"]): r["error"] for r in again} == {f"bad{k}.png": "DECODE_ERROR" for k in range(3)}
+    assert {os.path.basename(p) for paths in loads for p in paths if p.endswith(".png")} == {f"bad{k}.png" for k in range(3)}
+    assert not any(os.path.isdir(p) and str(folder) in p for paths in loads for p in paths)
+
+
 def test_stream_of_files(spark, folder, tmp_path_factory):
     """A file comes once, also after a restart, and again when it was changed."""
     state, out = (str(tmp_path_factory.mktemp(n)) for n in ("state", "out"))

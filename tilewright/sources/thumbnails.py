@@ -11,9 +11,6 @@ from ..policy import DEFAULT, Policy
 from ..scratch import materialize, temporary
 from . import headers, images, store
 
-#: So many missing files are read by name; where there are more, their folders are read and the others left out.
-NAMED = 10_000
-
 
 def wanted_thumbnails(listed: DataFrame, px: int, stored: DataFrame | None, policy: Policy = DEFAULT) -> DataFrame:
     """path, cache_key, error of the listed files (path, name, size, modified_ms) whose thumbnail is not stored.  A changed file
@@ -32,20 +29,15 @@ def build_thumbnails(spark: SparkSession, dirs: list[str], path: str, px: int, p
     """
     with temporary() as tables:
         there = store.read_store(spark, path).select("cache_key") if store.latest_version(path) else None
-        wanted = materialize(wanted_thumbnails(images.scan_catalog(spark, dirs), px, there, policy), "wanted")
+        listed = materialize(images.scan_catalog(spark, dirs), "listed")
+        wanted = materialize(wanted_thumbnails(listed, px, there, policy), "wanted")
         able = wanted.where("error is null").select("path", "cache_key")
-        names = [r["path"] for r in able.select("path").limit(NAMED + 1).collect()]
         told = wanted
-        if names:
-            rasters = images.decode_images(spark, dirs if len(names) > NAMED else [_escaped(n) for n in names])
-            thumbs = materialize(tiles.raster_thumbnails(rasters.join(able.select("path"), "path", "left_semi"), px).join(able, "path"), "thumbs")
+        if not able.isEmpty():
+            small = images.decode_files(able, each=lambda rasters: tiles.raster_thumbnails(rasters, px))
+            thumbs = materialize(small.join(able.hint("merge"), "path"), "thumbs")
             made = thumbs.where("error is null").select("cache_key", F.lit(px).alias("size"), "width", "height", "content")
             images.thumbnails_sink(made, path)
             failed = thumbs.where("error is not null").select("path", F.col("error").alias("failed"))
             told = wanted.join(failed, "path", "left").select("path", "cache_key", F.coalesce("error", "failed").alias("error"))
         return tables.keep(materialize(told, "built"))
-
-
-def _escaped(path: str) -> str:
-    """A path that is read as it is, not as a pattern."""
-    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
