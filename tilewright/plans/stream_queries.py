@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
-from ..scratch import scratch_path
+from ..scratch import scratch_path, shuffles_dropped
 from ..sources import store
 from ..streaming import jobs, snapshots
 from .derive import derived, table
@@ -96,10 +96,11 @@ def catalog_upsert(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     directory = F.concat(F.lit("/library/"), (F.col("l_suppkey") % 40).cast("string"))
     rows = li.groupBy(directory.alias("directory"), (F.col("l_linenumber") % 3).cast("long").alias("token"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".png")).alias("path")).agg(F.max("l_partkey").cast("long").alias("size"))
-    files = rows.groupBy("directory", "token").agg(F.count("*").alias("files"))
-    scans = rows.join(files, ["directory", "token"]).select("directory", "token", "files", "path", F.col("path").alias("name"), "size", F.lit(0).cast("long").alias("modified_ms"))
+    files = rows.groupBy("directory", "token").agg(F.count("*").alias("files"))  # 120 rows at most
+    scans = rows.join(F.broadcast(files), ["directory", "token"]).select("directory", "token", "files", "path", F.col("path").alias("name"), "size", F.lit(0).cast("long").alias("modified_ms"))
     path = scratch_path(spark, "scans")
-    scans.repartition(4, "path").write.parquet(f"{path}/in")
+    with shuffles_dropped(spark):
+        scans.repartition(4, "path").write.parquet(f"{path}/in")
     seen = spark.readStream.schema(snapshots.SCANS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     snapshots.stream_scans(seen, f"{path}/catalog", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return snapshots.CatalogTable(spark, f"{path}/catalog").read().where("state = 'live'").select("directory", "token", "path", "size")
